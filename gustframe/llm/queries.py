@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustframe.llm import bpe
+from gustframe.llm import bpe, chat, lcp, minhash, secrets_ledger, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,75 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"]), ranks)
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and read back from the output. One more conversation says control strings of other templates."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    read = chat.read_back(chat.format_conversations(turns.unionByName(more)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of documents on sets of four-word shingles."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, threshold_percent=80)
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; each document is a path with one version, the ledger is empty."""
+    found = secrets_ledger.findings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("secret_spans")
+    base = F.filter(spans, lambda s: s["rank"] < len(secrets_ledger.BASE_RULES))
+
+    def count(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(secrets_ledger.joined_spans(base).cast("binary"), 256).alias("base_sha256"),
+        secrets_ledger.joined_spans(spans).alias("spans"),
+    )
+
+
+def op9_lcp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    made = lcp.fingerprint_with_next(_table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents shuffled into eight shards whose row counts differ by one at most."""
+    shuffled = sharding.external_shuffle(_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8, seed=10)
+    return shuffled.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op3_chat": op3_chat,
+        "op5_minhash": op5_minhash,
+        "op6_secrets": op6_secrets,
+        "op9_lcp": op9_lcp,
+        "op10_sharding": op10_sharding,
     }
 
 
