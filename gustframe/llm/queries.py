@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustframe.llm import bpe, chat, lcp, minhash, secrets_ledger, sharding
+from gustframe.llm import bpe, chat, lcp, minhash, quality_fm, secrets_ledger, sharding, toxicity_kn
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,22 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; the held-out fold's labels are never read."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = quality_fm.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = quality_fm.score(docs, machine, keep=["doc_id"])
+    return scored.select("doc_id", (quality_fm.fold() == 2).alias("held_out"), "score", (F.col("score") >= quality_fm.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; the held-out fold's labels are never read."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_kn.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity_kn.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", (toxicity_kn.fold() == 2).alias("held_out"), "score", (F.col("score") >= toxicity_kn.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_lcp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     made = lcp.fingerprint_with_next(_table(spark, sf_dir, "documents"))
@@ -90,6 +106,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat": op3_chat,
         "op5_minhash": op5_minhash,
         "op6_secrets": op6_secrets,
+        "op7_quality": op7_quality,
+        "op8_toxicity": op8_toxicity,
         "op9_lcp": op9_lcp,
         "op10_sharding": op10_sharding,
     }
