@@ -217,3 +217,18 @@ def near_duplicates(df: DataFrame, words: int = 5, threshold_percent: int = 80,
     named = nodes.select(F.col("set"), "node").join(final.withColumnRenamed("id", "node"), "node", "left").select("set", F.coalesce("component", "node").alias("component"))
     out = docs.select("id", "n", "set").join(named, "set", "left")
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(False)).alias("kept"))
+
+
+def deduplicated(df: DataFrame, words: int = 5, threshold_percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """df with one document of each group, the one with the least doc_id; all columns stay. Rows that repeat a doc_id and its text
+    are one document. Documents without words stay, and rows without doc_id, which no other row can stand for."""
+    found = written(near_duplicates(df, words, threshold_percent, doc_id, text), "groups")
+    gone = found.filter(~F.col("kept") & F.col(doc_id).isNotNull()).select(doc_id).distinct()
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    left = df.join(gone, doc_id, "left_anti")
+    again = found.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).count().filter("count > 1").select(doc_id)
+    if again.limit(1).count():
+        once = left.join(again, doc_id, "left_semi").dropDuplicates([doc_id, text])
+        left = left.join(again, doc_id, "left_anti").unionByName(once)
+    return left.select(*df.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustframe.llm import bpe, chat, lcp, minhash, quality_fm, secrets_ledger, sharding, toxicity_kn
+from gustframe.llm import bpe, chat, decontam, lcp, license_scan, minhash, oracles, quality_fm, secrets_ledger, sharding, toxicity_kn
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"]), ranks)
 
 
+def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every overlap of a document with a benchmark item."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontam.mark(docs, _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return marked.select("doc_id", F.inline("overlaps"))
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph of a document that speaks of licences, with its family."""
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, and read back from the output. One more conversation says control strings of other templates."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -103,7 +115,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_decontam": op2_decontam,
         "op3_chat": op3_chat,
+        "op4_licenses": op4_licenses,
         "op5_minhash": op5_minhash,
         "op6_secrets": op6_secrets,
         "op7_quality": op7_quality,
@@ -114,4 +128,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat": oracles.CHAT, "op5_minhash": oracles.NEAR, "op6_secrets": oracles.SECRETS}

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: What one bucket may hold, in bytes of text.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 64 << 20
 
 
 def external_shuffle(df: DataFrame, shards: int = 8, seed: int = 0, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -32,7 +32,8 @@ def external_shuffle(df: DataFrame, shards: int = 8, seed: int = 0, key: str = "
     # The text's hash spreads rows that share a key or have none.
     scatter = F.xxhash64(F.lit(seed), F.col(key), F.xxhash64(text))
     total = df.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64).alias("b")).first()["b"] or 0
-    buckets = max(1, -(-int(total) // bucket_bytes))
+    # At least as many buckets as a shuffle has tasks, so that all of them have work.
+    buckets = max(1, -(-int(total) // bucket_bytes), min(int(total) >> 16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     scattered = df.withColumn("__hash", scatter).withColumn("__bucket", F.pmod("__hash", F.lit(buckets)).cast("int"))
     counts = dict(scattered.groupBy("__bucket").count().collect())  # one row a bucket
     starts, n = {}, 0
