@@ -57,7 +57,7 @@ def impute(df: DataFrame, by: str, ts: str, columns: list[str], k: int = 5, zero
     time = cyclic(ts)
     given = df.withColumns({f"__{n}": c for n, c in time.items()})
     schema = T.StructType([T.StructField(f.name, T.DoubleType()) if f.name in columns else f for f in df.schema.fields])
-    extra = [f"__{n}" for n in time]
+    extra, names = [f"__{n}" for n in time], df.columns
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ts, kind="stable")
@@ -69,6 +69,6 @@ def impute(df: DataFrame, by: str, ts: str, columns: list[str], k: int = 5, zero
         dev = np.where((dev == 0) | np.isnan(dev), 1.0, dev)
         y = knn_fill((x - mean) / dev, k) * dev + mean
         y = np.where(np.abs(y) < zero, 0.0, y) / factor
-        return pdf.assign(**{c: y[:, i] for i, c in enumerate(columns)})[df.columns]
+        return pdf.assign(**{c: y[:, i] for i, c in enumerate(columns)})[names]
 
     return given.groupBy(by).applyInPandas(fill, schema).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})

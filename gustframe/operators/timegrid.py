@@ -30,7 +30,7 @@ def resample(df: DataFrame, by: str, ts: str, rules: dict[str, str], seconds: in
         # Each bin emits itself and the empty ones before the next, so no second read and no join is needed.
         w = W.partitionBy(by).orderBy("__bin")
         gap = F.coalesce(F.lead("__bin").over(w), F.col("__bin") + 1)
-        found = found.withColumn("__fill", F.explode(F.sequence(F.col("__bin"), gap - 1)))
+        found = found.withColumn("__next", gap).withColumn("__fill", F.explode(F.sequence(F.col("__bin"), F.col("__next") - 1)))
         own = F.col("__fill") == F.col("__bin")
         empty = {c: F.lit(0.0) if r == "sum" else F.lit(None) for c, r in rules.items()}
         found = found.select(by, "__start", F.col("__fill").alias("__bin"), *[F.when(own, F.coalesce(F.col(c), F.lit(0.0)) if r == "sum" else F.col(c)).otherwise(empty[c]).alias(c) for c, r in rules.items()])

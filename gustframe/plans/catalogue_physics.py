@@ -212,9 +212,9 @@ def q_soil_loss(t: Tables):
     return t("events").select("event_id", r6(solar.soiling_loss(F.col("value") / 10), 9).alias("loss"))
 
 
-@query("select event_id, round(value * (1 - (1 - 0.98::double * 0.97::double * 0.995::double)), 6) as power from events")
+@query("select event_id, round(value * (1 - (1 - 0.98::double * 0.97::double * 0.995::double)), 9) as power from events")
 def q_system_losses(t: Tables):
-    return t("events").select("event_id", r6(solar.with_losses("value", [2.0, 3.0, 0.5])).alias("power"))
+    return t("events").select("event_id", r6(solar.with_losses("value", [2.0, 3.0, 0.5]), 9).alias("power"))
 
 
 @query()

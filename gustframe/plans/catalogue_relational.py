@@ -20,7 +20,7 @@ def q_project_rename_drop(t: Tables):
     return relational.drop_matching(df, "event_type", "ts").withColumns({"wind_speed_kmh": F.col("wind_speed") * 3.6, "source": F.lit("synthetic")})
 
 
-@query("select event_id, epoch(ts)::bigint as t from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-11'")
+@query("select event_id, epoch_us(ts) // 1000000 as t from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-11'")
 def q_time_slice(t: Tables):
     from gustframe.functions.times import in_days
 
@@ -85,7 +85,7 @@ def q_multiway_inner(t: Tables):
     return relational.join_all([l, o], ["o_orderkey"]).join(c, "o_custkey").select(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber", F.col("o_custkey").alias("c_custkey"), "o_totalprice")
 
 
-_DAILY = """with d as (select user_id as station_id, (epoch(ts)::bigint // 86400) as day, event_type, count(*)::bigint as n, round(avg(value), 6) as v from events group by all),
+_DAILY = """with d as (select user_id as station_id, (epoch_us(ts) // 86400000000) as day, event_type, count(*)::bigint as n, round(avg(value), 6) as v from events group by all),
 a as (select station_id, day, n, v from d where event_type = (select min(event_type) from events)), b as (select station_id, day, n, v from d where event_type = (select max(event_type) from events))"""
 
 
@@ -246,7 +246,7 @@ def q_multi_agg(t: Tables):
     )
 
 
-@query("select (epoch(ts)::bigint // 3600) as hour, round(avg(value), 6) as v, round(avg(event_id), 4) as e from events group by 1")
+@query("select (epoch_us(ts) // 3600000000) as hour, round(avg(value), 6) as v, round(avg(event_id), 4) as e from events group by 1")
 def q_group_mean(t: Tables):
     return t("events").groupBy(F.expr("unix_seconds(cast(ts as timestamp)) div 3600").alias("hour")).agg(r6(F.avg("value")).alias("v"), r6(F.avg("event_id"), 4).alias("e"))
 
@@ -397,9 +397,9 @@ def q_topn_of_each(t: Tables):
     return sampling.top_n_of_each(t("orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", 2, F.desc("o_totalprice"), "o_orderkey")
 
 
-@query("select o_custkey, arg_min(o_orderkey, o_totalprice) as o_orderkey, max(o_orderdate)::date as last from orders group by 1")
+@query("select o_custkey, arg_min(o_orderkey, o_totalprice) as o_orderkey, strftime(max(o_orderdate), '%Y-%m-%d') as last from orders group by 1")
 def q_argmin(t: Tables):
-    return t("orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", "o_totalprice").alias("o_orderkey"), F.max("o_orderdate").cast("date").alias("last"))
+    return t("orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", "o_totalprice").alias("o_orderkey"), F.max("o_orderdate").cast("date").cast("string").alias("last"))
 
 
 @query()
@@ -454,7 +454,7 @@ def q_park_arrays(t: Tables):
     return reshape.park(p)
 
 
-@query("select p_partkey, lpad(p_partkey::varchar, greatest(5, length(p_partkey::varchar)), '0') as id5, lower(trim(p_name)) as lowered, length(p_name)::int as n, p_brand || '-' || p_size::varchar as label, contains(p_name, 'e') as has_e from part")
+@query("select p_partkey, lpad(p_partkey::varchar, greatest(5, length(p_partkey::varchar))::int, '0') as id5, lower(trim(p_name)) as lowered, length(p_name)::int as n, p_brand || '-' || p_size::varchar as label, contains(p_name, 'e') as has_e from part")
 def q_strings(t: Tables):
     return t("part").select("p_partkey", text.station_id("p_partkey").alias("id5"), F.lower(F.trim("p_name")).alias("lowered"), F.length("p_name").alias("n"), F.format_string("%s-%d", "p_brand", "p_size").alias("label"), F.contains("p_name", F.lit("e")).alias("has_e"))
 
@@ -508,7 +508,7 @@ def q_dates(t: Tables):
     return t("orders").select("o_orderkey", day_after("o_orderdate", 30).alias("later"), F.year("o_orderdate").cast("long").alias("year"), F.dayofyear("o_orderdate").cast("long").alias("doy"), F.date_format("o_orderdate", "yyyyMMddHHmm").alias("stamp"))
 
 
-@query("select event_id, epoch(ts)::bigint + (event_id % 48) * 3600 as valid from events")
+@query("select event_id, epoch_us(ts) // 1000000 + (event_id % 48) * 3600 as valid from events")
 def q_leadtime(t: Tables):
     from gustframe.functions.times import valid_time
 
@@ -526,10 +526,10 @@ def q_age_days(t: Tables):
     return t("orders").select("o_orderkey", age_days(now, F.col("o_orderdate")).alias("days"), r6(age_years(now, F.col("o_orderdate")), 9).alias("years"), r6(age_years(now, F.col("o_orderdate"), 365), 9).alias("years365"))
 
 
-@query("select s_suppkey, n_name, s_acctbal as altitude, null::date as commissioning_date from supplier join nation on s_nationkey = n_nationkey")
+@query("select s_suppkey, n_name, s_acctbal as altitude, null::varchar as commissioning_date from supplier join nation on s_nationkey = n_nationkey")
 def q_param_projection(t: Tables):
     s = t("supplier").select("s_suppkey", F.struct(F.col("s_nationkey").alias("n_nationkey"), F.col("s_acctbal").alias("altitude"), F.lit(None).cast("date").alias("commissioning_date")).alias("p")).select("s_suppkey", "p.*")
-    return relational.lookup(s, t("nation"), "n_nationkey", ["n_name"]).select("s_suppkey", "n_name", "altitude", "commissioning_date")
+    return relational.lookup(s, t("nation"), "n_nationkey", ["n_name"]).select("s_suppkey", "n_name", "altitude", F.col("commissioning_date").cast("string").alias("commissioning_date"))
 
 
 @query("select o_orderkey, round(datediff('day', o_orderdate::date, date '2024-12-31') / 365.0::double, 9) as age from orders where o_orderstatus <> 'P'")
@@ -537,10 +537,10 @@ def q_lifetime_age(t: Tables):
     return t("orders").filter(F.col("o_orderstatus") != "P").select("o_orderkey", r6(F.datediff(F.lit("2024-12-31").cast("date"), F.to_date("o_orderdate")) / 365.0, 9).alias("age"))
 
 
-@query("with f as (select ts::date as day, case when event_id % 97 <> 0 then value end as a, case when event_id % 193 <> 0 then value end as b from events) select day, count(*) filter (where a is null)::bigint as a, count(*) filter (where b is null)::bigint as b from f group by 1 having bool_or(a is null or b is null)")
+@query("with f as (select strftime(ts, '%Y-%m-%d') as day, case when event_id % 97 <> 0 then value end as a, case when event_id % 193 <> 0 then value end as b from events) select day, count(*) filter (where a is null)::bigint as a, count(*) filter (where b is null)::bigint as b from f group by 1 having bool_or(a is null or b is null)")
 def q_daily_nulls(t: Tables):
     f = t("events").select("ts", F.when(F.col("event_id") % 97 != 0, F.col("value")).alias("a"), F.when(F.col("event_id") % 193 != 0, F.col("value")).alias("b"))
-    return quality.daily_nulls(f, "ts", ["a", "b"])
+    return quality.daily_nulls(f, "ts", ["a", "b"]).withColumn("day", F.col("day").cast("string"))
 
 
 @query(

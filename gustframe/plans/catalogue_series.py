@@ -147,7 +147,7 @@ def q_dup_counter(t: Tables):
     return sequences.duplicate_names(t("part"), "p_brand", "p_partkey", "unique_name").select("p_partkey", "unique_name")
 
 
-@query(f"with f as ({FEED}) select station_id, min(epoch(ts)::bigint) filter (where v > 200) as first, max(epoch(ts)::bigint) filter (where v > 200) as last from f group by 1")
+@query(f"with f as ({FEED}) select station_id, min(epoch_us(ts) // 1000000) filter (where v > 200) as first, max(epoch_us(ts) // 1000000) filter (where v > 200) as last from f group by 1")
 def q_nonzero_bounds(t: Tables):
     f = t.stations().select("station_id", epoch("timestamp").alias("i"), (F.col("v") - 200).alias("over"))
     return sequences.nonzero_bounds(f, "station_id", "i", "over")
@@ -216,7 +216,7 @@ def q_cyclic_scale(t: Tables):
 
 
 @query(
-    """with p as (select user_id as station_id, (epoch(ts)::bigint // 1800) as b, value as s, case when event_id % 3 <> 0 then value * 0.8::double + event_id % 7 end as r from events),
+    """with p as (select user_id as station_id, (epoch_us(ts) // 1800000000) as b, value as s, case when event_id % 3 <> 0 then value * 0.8::double + event_id % 7 end as r from events),
 h as (select station_id, b, avg(s) as s, avg(r) as r from p group by 1, 2), j as (select * from h where r is not null)
 select station_id, round(1 - sum((r - s) * (r - s)) / (sum(r * r) - count(*) * power(avg(r), 2)), 5) as r2, round(avg(abs(r - s)) / 500, 6) as mae, round(avg(s - r), 6) as bias, round(sum(s), 4) as energy_synthetic, round(sum(r), 4) as energy_real, count(*)::bigint as n
 from j group by 1 having count(*) > 5"""
@@ -251,7 +251,7 @@ def q_valid_stations(t: Tables):
 
 @query(
     f"""with f as ({FEED}), e as (select distinct station_id, ts, v from f where event_id % 2 = 0), w as (select distinct station_id, ts, v * 2 as u from f where event_id % 3 = 0)
-select station_id, epoch(ts)::bigint as t, v as wind_speed, u as temperature from e join w using (station_id, ts) where ts >= timestamp '2024-01-05'"""
+select station_id, epoch_us(ts) // 1000000 as t, v as wind_speed, u as temperature from e join w using (station_id, ts) where ts >= timestamp '2024-01-05'"""
 )
 def q_variable_frames(t: Tables):
     from gustframe.plans.ingest import frames
