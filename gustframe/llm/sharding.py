@@ -5,8 +5,8 @@ in a task's memory. Pass two permutes each bucket by Fisher-Yates, seeded by the
 long random order, which the shards cut into runs whose lengths differ by one at most.
 
 The order depends on the seed and the rows alone, not on the machines: a task that runs again gives the same rows the same slots.
-Null keys and repeated rows are scattered by the whole record and by their rank among equals, so that no bucket is larger for
-them. Null texts have size 1. Empty tables give no rows. Columns of the input pass through.
+Rows that share a key, or have none, are scattered by their text; if equal rows still overfill a bucket, all rows are scattered by
+their place in a written copy too. Null texts have size 1. Empty tables give no rows. Columns of the input pass through.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gustframe.llm.shared import written
+
 #: What one bucket may hold, in bytes of text.
 BUCKET_BYTES = 64 << 20
 
@@ -29,13 +31,27 @@ def external_shuffle(df: DataFrame, shards: int = 8, seed: int = 0, key: str = "
     Law "rows": the shards' row counts differ by one at most. bucket_bytes bounds what a task holds in pass two.
     """
     names = df.columns
-    # The text's hash spreads rows that share a key or have none.
-    scatter = F.xxhash64(F.lit(seed), F.col(key), F.xxhash64(text))
-    total = df.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64).alias("b")).first()["b"] or 0
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row_bytes = F.coalesce(F.octet_length(text), F.lit(0)) + 64
+    total = int(df.agg(F.sum(row_bytes).alias("b")).first()["b"] or 0)
     # At least as many buckets as a shuffle has tasks, so that all of them have work.
-    buckets = max(1, -(-int(total) // bucket_bytes), min(int(total) >> 16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    scattered = df.withColumn("__hash", scatter).withColumn("__bucket", F.pmod("__hash", F.lit(buckets)).cast("int"))
-    counts = dict(scattered.groupBy("__bucket").count().collect())  # one row a bucket
+    buckets = max(1, -(-total // bucket_bytes), min(total >> 16, spread))
+
+    def scatter(frame: DataFrame, *salt: str) -> DataFrame:
+        # The text's hash spreads rows that share a key or have none.
+        hashed = frame.withColumn("__hash", F.xxhash64(F.lit(seed), F.col(key), F.xxhash64(text), *salt))
+        return hashed.withColumn("__bucket", F.pmod("__hash", F.lit(buckets)).cast("int"))
+
+    def held(frame: DataFrame) -> list:
+        return frame.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes).alias("b")).collect()  # one row a bucket
+
+    scattered = scatter(df)
+    counted = held(scattered)
+    if buckets > 1 and max((r["b"] for r in counted), default=0) > 4 * bucket_bytes:
+        # Rows that are equal share a hash. Their places in a written copy, which don't change, tell them apart.
+        scattered = scatter(written(df.withColumn("__salt", F.monotonically_increasing_id()), "salted"), "__salt")
+        counted = held(scattered)
+    counts = {r["__bucket"]: r["n"] for r in counted}
     starts, n = {}, 0
     for b in range(buckets):
         starts[b], n = n, n + counts.get(b, 0)
