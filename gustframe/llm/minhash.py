@@ -5,9 +5,10 @@ shingles' hashes once, pi is applied to them shifted around the ring by 0, 1, 2,
 one coordinate. Bands of `rows` coordinates that agree make candidates; every link is confirmed on the full sets.
 
 The graph of links can have as many edges as pairs in a group, so they are not listed. Equal sets are one node. In each bucket all
-nodes are held against the least one first. Nodes that are connected by then need no more; the rest of a bucket, those that its
-first node did not connect, is held against the nodes of other components in it, unless sizes or the distances to the first node
-(Jaccard distance is a metric) rule a link out. After that no pair of a bucket is both unconnected and untested.
+nodes are held against the least one first. Nodes that are connected by then need no more; the rest, those that a first node did not
+connect, is held against the nodes of other components that met the same first node, unless counts rule a link out: the sizes, or
+how much each differs from the first node and how much of that no other node has. After that no pair of a bucket is both
+unconnected and able to link, but untested.
 
 Null and empty texts have empty sets, link with nothing and stay. Rows with one doc_id are one node. A row without doc_id takes its
 group's component but names none; alone, its component is null and it isn't kept. Repeated rows get equal results.
@@ -58,7 +59,8 @@ _HASHES = WordHash()
 
 def words_of(text: str | None) -> list[str]:
     """A-Z in lower case; runs without ASCII white space."""
-    return _WORD.findall((text or "").translate(_UPPER) if not (text or "").isascii() else text.lower())
+    text = text or ""
+    return _WORD.findall(text.lower() if text.isascii() else text.translate(_UPPER))
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -157,6 +159,14 @@ def _full_sets(df: DataFrame, ids: DataFrame, words: int, doc_id: str, text: str
     return map_texts(wanted, "text", ["id"], make, [T.StructField("hashes", T.ArrayType(T.LongType(), False))])
 
 
+def _alone(sets: DataFrame, met: DataFrame) -> DataFrame:
+    """(node, alone): how many shingles of a node are in no other node of met, first nodes included. No link can rest on these."""
+    ids = met.select(F.col("node").alias("id")).unionByName(met.select(F.col("pivot").alias("id"))).distinct()
+    each = sets.join(ids, "id", "left_semi").select("id", F.explode("hashes").alias("h"))
+    once = each.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("node")).filter("k = 1")
+    return once.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id that each id of `edges` (a, b) reaches. Alternates large and small stars until nothing changes."""
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
@@ -195,20 +205,23 @@ def near_duplicates(df: DataFrame, words: int = 5, threshold_percent: int = 80,
     tested = written(_common(stars, sets, t), "stars")
     edges = tested.filter(linked).select("a", "b")
     comps = components(edges)
-    # What a bucket's first node did not connect, against the rest of the bucket.
-    c = F.coalesce("component", "node")
-    at = held.join(comps.withColumnRenamed("id", "node"), "node", "left").select("bucket", "node", "n", "pivot", c.alias("c"))
-    at = at.join(comps.select(F.col("id").alias("pivot"), F.col("component").alias("pc")), "pivot", "left").withColumn("pc", F.coalesce("pc", "pivot"))
-    far = tested.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-    at = written(at.filter("node <> pivot").join(far, ["node", "pivot"]).select("bucket", "node", "n", "c", "pc", "d"), "members")
-    stray = at.filter("c <> pc").select("bucket", F.col("node").alias("a"), F.col("n").alias("xn"), F.col("c").alias("xc"), F.col("d").alias("xd"))
-    other = at.join(stray.select("bucket").distinct(), "bucket", "left_semi").select("bucket", F.col("node").alias("b"), F.col("n").alias("yn"), F.col("c").alias("yc"), F.col("pc"), F.col("d").alias("yd"))
-    reach = 1 - t / 100 + 1e-9
+    # What a first node did not connect, against the others that met the same first node. apart: size of the symmetric difference to it.
+    c = comps.select(F.col("id").alias("a"), F.col("component").alias("c"))
+    pc = comps.select(F.col("id").alias("b"), F.col("component").alias("pc"))
+    met = tested.join(c, "a", "left").join(pc, "b", "left").select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.col("na").alias("n"), (F.col("na") + F.col("nb") - 2 * F.col("common")).alias("apart"), F.coalesce("c", "a").alias("c"), F.coalesce("pc", "b").alias("pc"))
+    met = written(met, "members")
+    stray = met.filter("c <> pc")
+    held_by = met.join(stray.select("pivot").distinct(), "pivot", "left_semi")
+    shared = written(held_by.join(_alone(sets, held_by), "node", "left").withColumn("shared", F.col("apart") - F.coalesce("alone", F.lit(0))).drop("alone"), "shared")
+    x = shared.filter("c <> pc").select("pivot", F.col("node").alias("a"), F.col("n").alias("xn"), F.col("c").alias("xc"), F.col("apart").alias("xd"), F.col("shared").alias("xs"))
+    y = shared.select("pivot", F.col("node").alias("b"), F.col("n").alias("yn"), F.col("c").alias("yc"), "pc", F.col("apart").alias("yd"), F.col("shared").alias("ys"))
+    # Two nodes differ by what each differs from the first node, less twice what these differences share.
+    least = F.greatest(F.abs(F.col("xd") - F.col("yd")), F.col("xd") + F.col("yd") - 2 * F.least("xs", "ys"))
     more = (
-        stray.join(other, "bucket")
+        x.join(y, "pivot")
         .filter((F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("pc")) | (F.col("a") < F.col("b"))))
         .filter((F.col("xn") * t <= F.col("yn") * 100) & (F.col("yn") * t <= F.col("xn") * 100))
-        .filter(F.abs(F.col("xd") - F.col("yd")) <= reach)
+        .filter((100 + t) * least <= (100 - t) * (F.col("xn") + F.col("yn")))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
