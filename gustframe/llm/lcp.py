@@ -146,7 +146,7 @@ def _successors(df: DataFrame, key: str, text: str, partitions: int) -> DataFram
     firsts = {r["b"]: (None if r["hole"] else r["m"]) for r in ids.groupBy(ranged.alias("b")).agg(F.min("k").alias("m"), F.bool_or(F.col("k").isNull()).alias("hole")).collect()}
     filled = sorted(firsts)
     if not filled:
-        return base.withColumn("tail", F.lit(False)).withColumn("b", F.lit(0))
+        return base.withColumns({"tail": F.lit(False), "b": F.lit(0), "h": F.xxhash64("t")})
     # The first row of a range is the tail of the one before; that of the first range ends the last one.
     before = {b: filled[i - 1] for i, b in enumerate(filled)}
     table = df.sparkSession.createDataFrame([(b, firsts[b], before[b]) for b in filled], "b int, m long, p int")
