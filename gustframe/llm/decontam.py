@@ -9,7 +9,8 @@ An overlap is reported where thirteen words in a row (all words of a shorter ite
 
 Words are runs of letters and digits in lower case; whole texts are read. The benchmark is joined in blocks: an index of at most
 BLOCK_BYTES of text is sent to every executor, a larger benchmark takes several passes. Items of fewer than LEAST_WORDS words
-say too little and are not looked for; for items shorter than a mask, the whole item is one. Null texts have no words. Repeated
+say too little and are not looked for; items shorter than a mask have to be met word for word, and those of ten to twelve words survive
+one substitution. Null texts have no words. Repeated
 rows are judged alike, repeated item ids are items of their own. Empty tables have no overlaps. Other columns are kept.
 """
 
