@@ -10,9 +10,9 @@ A text is compared by its log likelihoods under the two models, normalised by le
 over its most toxic words, and as shares of words that the toxic model likes much better. A logistic curve through these,
 fitted on labelled documents that gave no counts, turns them into a probability.
 
-Counts come from all labelled documents outside the held-out fold and one calibration fold, by one distributed count. What
-scorers receive is bounded: at most MAX_GRAMS grams of each order. Where there are more, the least count that fits is the
-cut-off, and rarer grams use their back-off.
+Counts come from all labelled documents outside the held-out fold and one calibration fold, by one distributed count, and likelihoods
+are joined and added up in written tables. Every gram that was counted is in the model, and the model is sent whole to the scorers: it
+grows with the distinct grams of the labelled texts. Where it outgrows the driver, the run fails; no gram is left out.
 
 Texts are read whole. Null and empty texts get the curve's value at no evidence. Rows are scored one by one, repeated rows alike.
 Without usable labels of both classes every score is the share of toxic labels (0 if there are none). Other columns are kept.
@@ -32,12 +32,11 @@ from pyspark.sql import types as T
 
 from gustframe.llm.shared import map_texts, slices, written
 
-#: Letters of the longest gram. A letter has ten bits of a gram's key, the last one the lowest; 0 is what stands before a word.
-ORDER, BITS = 6, 10
+#: Letters of the longest gram, and what stands before and after a word. A gram of n letters is a string of n characters.
+ORDER, BEFORE, AFTER = 6, " ", "."
 DISCOUNT = 0.75
 #: The lower order's share is at least this.
 LEAST_SHARE = 0.4
-MAX_GRAMS = 1 << 19
 #: Labelled documents of the calibration fold that the curve is fitted on, at most.
 MAX_CURVE = 20_000
 #: Words of a window; log likelihood ratios above which a word counts as liked by the toxic model.
@@ -55,20 +54,48 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def gram_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For every letter of every word, and for the end of each: the key of the ORDER letters that end there, and the word's index."""
-    s = np.frombuffer(("\0" + "\0".join(words) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    limit = 1 << BITS
-    letters = np.where(s < limit, s, s % (limit - 32) + 32)
-    borders = np.flatnonzero(letters == 0)
-    sizes = np.diff(borders)
-    inside = np.arange(1, len(letters)) - np.repeat(borders[:-1], sizes)  # letters since the border
-    key = np.where(letters[1:] == 0, 1, letters[1:])  # 1 is a word's end
-    for k in range(1, ORDER):
-        before = np.zeros_like(key)
-        before[k:] = letters[1:-k]
-        key |= np.where(inside > k, before, 0) << (BITS * k)
-    return key, np.repeat(np.arange(len(words)), sizes)
+def grams(word: str) -> list[str]:
+    """For every letter of a word, and for its end: the ORDER letters that end there."""
+    whole = BEFORE * (ORDER - 1) + word + AFTER
+    return [whole[i : i + ORDER] for i in range(len(word) + 1)]
+
+
+def _letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _more(h: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Keys of grams with one more letter before them. A key is a 64-bit hash of the whole letters, begun with 0 after the last one."""
+    h = (h ^ letters) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def gram_keys(words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For every letter of every word, and for the end of each: keys of the 1, 2, ... ORDER letters that end there, and the word's index."""
+    pad = BEFORE * (ORDER - 1)
+    s = _letters("".join(f"{pad}{w}{AFTER}" for w in words))
+    of = np.repeat(np.arange(len(words)), [len(w) + 1 for w in words])
+    ends = np.arange(len(of)) + (ORDER - 1) * (of + 1)
+    keys, h = [], np.zeros(len(of), np.uint64)
+    for k in range(ORDER):
+        h = _more(h, s[ends - k])
+        keys.append(h)
+    return keys, of
+
+
+def _with_grams(words: DataFrame) -> DataFrame:
+    """A row for each gram of each row's word: the columns of words and `key`."""
+    schema = T.StructType([*words.schema.fields, T.StructField("key", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices([batch], "word", 1 << 17):
+                found = [grams(w) for w in part.column(part.schema.get_field_index("word")).to_pylist()]
+                of = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                yield pa.RecordBatch.from_arrays([*part.take(of).columns, pa.array([k for f in found for k in f], pa.string())], names=[*part.schema.names, "key"])
+
+    return words.mapInArrow(run, schema)
 
 
 def fold(doc_id: str = "doc_id"):
@@ -86,7 +113,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, label: str, folds: list[int],
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
-    """(key, r0, r1) over rows (y, text): how often each longest gram occurs in each class. Each slice is counted before the shuffle."""
+    """(key, r0, r1) over rows (y, text): how often each longest gram occurs in each class. Each slice's words are counted before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 16 << 20):
@@ -94,14 +121,13 @@ def gram_counts(rows: DataFrame) -> DataFrame:
             for y, t in zip(part.column(part.schema.get_field_index("y")).to_pylist(), part.column(part.schema.get_field_index("text")).to_pylist(), strict=True):
                 words[y].update(words_of(t))
             for y in (0, 1):
-                if words[y]:
-                    keys, of = gram_keys(list(words[y]))
-                    key, at = np.unique(keys, return_inverse=True)
-                    n = np.bincount(at, np.fromiter(words[y].values(), np.float64)[of]).astype(np.int64)
-                    own = [n, np.zeros_like(n)]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own[y]), pa.array(own[1 - y])], names=["key", "r0", "r1"])
+                n = np.fromiter(words[y].values(), np.int64, len(words[y]))
+                own = [n, np.zeros_like(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(words[y]), pa.string()), pa.array(own[y]), pa.array(own[1 - y])], names=["word", "r0", "r1"])
 
-    return rows.select("y", "text").mapInArrow(run, "key long, r0 long, r1 long").groupBy("key").agg(F.sum("r0").alias("r0"), F.sum("r1").alias("r1"))
+    sums = [F.sum(c).alias(c) for c in ("r0", "r1")]
+    words = rows.select("y", "text").mapInArrow(run, "word string, r0 long, r1 long").groupBy("word").agg(*sums)
+    return _with_grams(words).groupBy("key").agg(*sums)
 
 
 Table = tuple[np.ndarray, np.ndarray]
@@ -110,43 +136,30 @@ Table = tuple[np.ndarray, np.ndarray]
 class Model:
     """For each order, sorted keys of grams and the log likelihood ratio of their last letter; toxic over ordinary. And the curve."""
 
-    def __init__(self, counts: dict[int, Table]):
-        """counts: by order, sorted keys and the (2, keys) counts of each class: occurrences for the longest grams and for those at a
-        word's beginning, else continuation counts.
-
-        Counts of the larger class are scaled down to the smaller one's size before they are discounted."""
+    def __init__(self, likelihoods: dict[int, DataFrame]):
+        """likelihoods: as from _likelihoods()."""
         self.ratio: dict[int, Table] = {}
-        keys, low = np.zeros(0, np.int64), np.zeros((2, 0))
-        for n in sorted(counts):
-            key, count = counts[n]
-            scaled = count * (count.sum(1).min() / np.maximum(count.sum(1), 1))[:, None]
-            kept = np.maximum(scaled - DISCOUNT, 0)
-            history, of = np.unique(key >> BITS, return_inverse=True)
-            mass = np.stack([np.bincount(of, k, len(history)) for k in kept])
-            # Histories that one class doesn't know leave their letters to the lower order.
-            share = np.clip(DISCOUNT * np.bincount(of, minlength=len(history)) / np.maximum(np.bincount(of, scaled.sum(0), len(history)), 1e-9), LEAST_SHARE, 1)
-            share = np.where((mass > 0).all(0), share, 1.0)[of]
-            lower = np.full((2, len(key)), 1.0 / max(1, len(key)))
-            if len(keys):
-                tail = key & ((1 << BITS * (n - 1)) - 1)
-                at = np.minimum(np.searchsorted(keys, tail), len(keys) - 1)
-                lower = np.where(keys[at] == tail, low[:, at], low.min())
-            low = (1 - share) * kept / np.maximum(mass[:, of], 1e-9) + share * lower
-            keys = key
-            self.ratio[n] = (key, np.log(low[1] / low[0]).astype(np.float32))
+        for n in sorted(likelihoods):
+            got = likelihoods[n].select("key", "ratio").toArrow()
+            letters = _letters("".join(got["key"].to_pylist())).reshape(-1, n)
+            key = np.zeros(len(letters), np.uint64)
+            for k in range(n):
+                key = _more(key, letters[:, n - 1 - k])
+            order = np.argsort(key)
+            self.ratio[n] = (key[order], got["ratio"].to_numpy()[order].astype(np.float32))
         self.curve = np.zeros(1 + len(EVIDENCE))
         self.known: dict[str, float] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}}
 
-    def of_grams(self, keys: np.ndarray) -> np.ndarray:
+    def of_grams(self, keys: list[np.ndarray]) -> np.ndarray:
         """A gram that isn't in its order's table has the ratio of the one without its first letter: the classes share the back-off."""
-        out, todo = np.zeros(len(keys)), np.arange(len(keys))
+        out, todo = np.zeros(len(keys[0])), np.arange(len(keys[0]))
         for n in range(max(self.ratio), 0, -1):
             own, ratio = self.ratio[n]
             if len(own) and len(todo):
-                key = keys[todo] & ((1 << BITS * n) - 1)
+                key = keys[n - 1][todo]
                 at = np.minimum(np.searchsorted(own, key), len(own) - 1)
                 hit = own[at] == key
                 out[todo[hit]] = ratio[at[hit]]
@@ -184,27 +197,45 @@ class Model:
 EVIDENCE = ("whole", "window", "top", "liked", "liked_much")
 
 
-def _tables(counts: DataFrame) -> dict[int, Table]:
-    """What Model takes, from all grams; each order is pruned to MAX_GRAMS when it is collected."""
-    out: dict[int, Table] = {}
+def _tables(counts: DataFrame) -> dict[int, DataFrame]:
+    """By order, (key, c0, c1): occurrences for the longest grams and for those at a word's beginning, else continuation counts."""
+    out: dict[int, DataFrame] = {}
     table = counts.select("key", "r0", "r1", F.col("r0").alias("c0"), F.col("r1").alias("c1"))
     for n in range(ORDER, 0, -1):
         if n < ORDER:
-            mask, first = (1 << BITS * n) - 1, BITS * (n - 1)
-            sums = table.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(*[F.sum(f"r{c}").alias(f"r{c}") for c in (0, 1)], *[F.count_if(F.col(f"r{c}") > 0).alias(f"t{c}") for c in (0, 1)])
+            sums = table.groupBy(F.substring("key", 2, n).alias("key")).agg(*[F.sum(f"r{c}").alias(f"r{c}") for c in (0, 1)], *[F.count_if(F.col(f"r{c}") > 0).alias(f"t{c}") for c in (0, 1)])
             # A gram at a word's beginning has one context only.
-            begins = F.shiftright("key", first) == 0
+            begins = F.substring("key", 1, 1) == BEFORE
             table = sums.select("key", "r0", "r1", *[F.when(begins, F.col(f"r{c}")).otherwise(F.col(f"t{c}")).alias(f"c{c}") for c in (0, 1)])
-        table = written(table, f"grams{n}")
-        of = F.col("r0") + F.col("r1")
-        least, held = 1001, 0
-        for r in sorted(table.groupBy(F.least(of, F.lit(1000)).alias("n")).count().collect(), key=lambda r: -r["n"]):
-            held += r["count"]
-            if held > MAX_GRAMS:
-                break
-            least = r["n"]
-        got = table.filter(of >= least).select("key", "c0", "c1").toArrow().sort_by("key")
-        out[n] = (got["key"].to_numpy(), np.stack([got["c0"].to_numpy(), got["c1"].to_numpy()]).astype(np.float64))
+        table = written(table, f"counts{n}")
+        out[n] = table.select("key", "c0", "c1")
+    return out
+
+
+def _likelihoods(counts: dict[int, DataFrame]) -> dict[int, DataFrame]:
+    """By order, (key, low0, low1, ratio) from _tables(): the likelihood of a gram's last letter in each class, and the log of toxic over
+    ordinary. Counts of the larger class are scaled down to the smaller one's size before they are discounted."""
+    out: dict[int, DataFrame] = {}
+    for n in sorted(counts):
+        size, *whole = counts[n].agg(F.count(F.lit(1)), F.sum("c0"), F.sum("c1")).first()
+        scaled = [F.col(f"c{c}") * F.lit(min(whole) / max(whole[c], 1)) for c in (0, 1)]
+        # The letters after a history are no more than the alphabet has. They are added up in order, to give the same sum each time.
+        rows = counts[n].select(F.substring("key", 1, n - 1).alias("history"), F.struct("key", *[F.greatest(s - DISCOUNT, F.lit(0.0)).alias(f"k{c}") for c, s in enumerate(scaled)], *[s.alias(f"s{c}") for c, s in enumerate(scaled)]).alias("x"))
+        after = rows.groupBy("history").agg(F.array_sort(F.collect_list("x")).alias("x"))
+        mass = [F.aggregate("x", F.lit(0.0), lambda acc, x: acc + x["k0"]), F.aggregate("x", F.lit(0.0), lambda acc, x: acc + x["k1"])]
+        total = F.aggregate("x", F.lit(0.0), lambda acc, x: acc + x["s0"] + x["s1"])
+        after = after.select(F.inline("x"), *[m.alias(f"mass{c}") for c, m in enumerate(mass)], F.size("x").alias("letters"), total.alias("total"))
+        share = F.least(F.greatest(F.lit(DISCOUNT) * F.col("letters") / F.greatest("total", F.lit(1e-9)), F.lit(LEAST_SHARE)), F.lit(1.0))
+        # Histories that one class doesn't know leave their letters to the lower order.
+        after = after.withColumn("share", F.when((F.col("mass0") > 0) & (F.col("mass1") > 0), share).otherwise(F.lit(1.0)))
+        if n > 1:
+            lower = out[n - 1].select(F.col("key").alias("tail"), F.col("low0").alias("b0"), F.col("low1").alias("b1"))
+            after = after.withColumn("tail", F.substring("key", 2, n - 1)).join(lower, "tail")
+        else:
+            after = after.withColumns({f"b{c}": F.lit(1.0 / max(1, size)) for c in (0, 1)})
+        low = [(F.lit(1.0) - F.col("share")) * F.col(f"k{c}") / F.greatest(f"mass{c}", F.lit(1e-9)) + F.col("share") * F.col(f"b{c}") for c in (0, 1)]
+        after = after.select("key", *[x.alias(f"low{c}") for c, x in enumerate(low)])
+        out[n] = written(after.withColumn("ratio", F.log(F.col("low1") / F.col("low0"))), f"grams{n}")
     return out
 
 
@@ -229,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     r0, r1 = counts.agg(F.sum("r0"), F.sum("r1")).first()
     if not r0 or not r1:
         return float(bool(r1))
-    model = Model(_tables(counts))
+    model = Model(_likelihoods(_tables(counts)))
     held = docs.sparkSession.sparkContext.broadcast(model)
     # The calibration sample: the least hashes of labelled documents of fold 3.
     known = labels.filter(F.col(doc_id).isNotNull() & fold(doc_id).isin(3)).select(doc_id, label).orderBy(F.xxhash64(F.lit(8), doc_id), label).limit(MAX_CURVE)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 
 from gustframe.llm import quality_fm, queries, toxicity_kn
@@ -67,3 +69,46 @@ def test_odd_rows_and_no_labels(spark):
         assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
         assert module.score(odd.limit(0), model).count() == 0
         assert {r["score"] for r in module.score(odd, module.fit(docs, labels.limit(0), "toxic")).collect()} == {without}
+
+
+def _slow_ratios(rows):
+    """Word -> log likelihood ratio by all grams of rows (y, text), without Spark."""
+    order, cut, least = toxicity_kn.ORDER, toxicity_kn.DISCOUNT, toxicity_kn.LEAST_SHARE
+    raw = Counter((k, y) for y, t in rows for w in toxicity_kn.words_of(t) for k in toxicity_kn.grams(w))
+    by, low = {}, {}
+    for n in range(order, 0, -1):
+        by[n] = {k: [raw[k, 0], raw[k, 1]] for k, _ in raw}
+        if n < order:
+            for k in by[n]:
+                if not k.startswith(" "):
+                    by[n][k] = [sum(1 for (g, c), v in longer.items() if c == y and v and g[1:] == k) for y in (0, 1)]
+        longer, raw = raw, sum((Counter({(k[1:], y): v}) for (k, y), v in raw.items()), Counter()) if n > 1 else raw
+    for n in range(1, order + 1):
+        whole = [sum(c[y] for c in by[n].values()) for y in (0, 1)]
+        scaled = {k: [c[y] * min(whole) / whole[y] for y in (0, 1)] for k, c in by[n].items()}
+        low[n] = {}
+        for k, own in scaled.items():
+            after = [v for g, v in scaled.items() if g[:-1] == k[:-1]]
+            mass = [sum(max(v[y] - cut, 0) for v in after) for y in (0, 1)]
+            share = min(max(cut * len(after) / sum(map(sum, after)), least), 1) if min(mass) > 0 else 1
+            back = low[n - 1][k[1:]] if n > 1 else [1 / len(scaled)] * 2
+            low[n][k] = [(1 - share) * max(own[y] - cut, 0) / max(mass[y], 1e-9) + share * back[y] for y in (0, 1)]
+
+    def ratio(key):
+        return next((np.log(low[n][key[-n:]][1] / low[n][key[-n:]][0]) for n in range(order, 0, -1) if key[-n:] in low[n]), 0.0)
+
+    return lambda word: sum(map(ratio, toxicity_kn.grams(word)))
+
+
+def test_toxicity_counts_every_gram_and_letter(spark, monkeypatch):
+    """Ratios of words like those from all grams: no table is cut off, and letters 992 apart are not the same one."""
+    monkeypatch.setattr(toxicity_kn, "MAX_GRAMS", 4, raising=False)
+    far = chr(0x4E00), chr(0x4E00 + 992)
+    rows = [(0, f"kind calm words {far[0] * 2} {'rare' if i else ''}") for i in range(4)] + [(1, f"vile nasty words {far[1] * 2} {'rarely' if i else ''}") for i in range(3)]
+    counts = toxicity_kn.gram_counts(spark.createDataFrame(rows, "y int, text string"))
+    model = toxicity_kn.Model(toxicity_kn._likelihoods(toxicity_kn._tables(counts)))
+    words = ["kind", "vile", "rare", "rarely", "kindly", "zzz", far[0], far[1] * 2]
+    got = dict(zip(words, model.of_words([words])[0], strict=True))
+    slow = _slow_ratios(rows)
+    assert np.allclose([got[w] for w in words], [slow(w) for w in words], atol=1e-5)
+    assert got[far[0]] < 0 < got[far[1] * 2]
