@@ -30,7 +30,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secrets_ledger.findings(docs)
+    found = secrets_ledger.findings(docs, rules=secrets_ledger.MASK_RULES)
     masked = F.when(F.size("secret_spans") > 0, secrets_ledger.redacted(F.col("text"), F.col("secret_spans"))).otherwise(F.col("text"))
     return found.withColumn("text", masked).withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

@@ -47,6 +47,13 @@ MORE_RULES = (
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE_RULES + MORE_RULES
+#: A private key from its heading over header lines and base64 (line breaks may be written \n) to its END line; without one, to the last
+#: line that is base64 alone. The long runs are of single characters, which Java matches without recursion.
+_PEM = r"[A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+_PEM_HEADERS = r"(?:(?:\s|\\[rn]){1,80}(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID|Content-Domain):[^\r\n\\]*){0,20}"
+PRIVATE = rf"-----BEGIN {_PEM}{_PEM_HEADERS}(?:[A-Za-z0-9+/=\\\s]*+-----END {_PEM}|(?:(?!(?<=\S)[ \t]++\S)[A-Za-z0-9+/=\\\s])*(?<=\S)(?![^\r\n\"'])|)"
+#: For redaction: the whole key. RULES find its heading, as the SQL of op6_secrets does, whose regular expressions can't look around.
+MASK_RULES = tuple(Rule("private", 2, PRIVATE) if r.kind == "private" else r for r in RULES)
 SPAN = "struct<start:int,rank:int,kind:string,end:int>"
 
 
