@@ -14,9 +14,9 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -28,10 +28,10 @@ from pyspark.sql import types as T
 
 from gustframe.llm.shared import map_texts
 
-#: Pieces whose ids a worker remembers; beyond that it starts afresh.
-CACHE_PIECES = 1 << 18
+#: Chunks, and half as many pieces of them, whose ids a worker remembers in each of two halves, the recent and the older one.
+CACHE_PIECES = 1 << 17
 #: Pairs whose compatibility a worker remembers.
-CACHE_PAIRS = 1 << 20
+CACHE_PAIRS = 1 << 18
 #: White space, by Unicode's property of that name.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Runs without white space and the one blank before them, or white space. Splitting these one by one gives the same pieces as
@@ -41,27 +41,47 @@ CHUNKS = f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 CACHE_CHARS = 64
 
 
-class Vocabulary(dict):
-    """Ranks of a tiktoken file. As a dict: piece -> its ids, filled on demand."""
+class Remembered(dict):
+    """text -> made(text), filled on demand. Beyond `most` texts the dict becomes the older half, from which those in use come back."""
 
-    def __init__(self, path: str):
+    def __init__(self, made: Callable[[str], bytes], most: int):
         super().__init__()
+        self.made, self.most, self.older = made, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.pop(key, None)
+        if found is None:
+            found = self.made(key)
+        if len(key) <= CACHE_CHARS:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
+class Vocabulary:
+    """Ranks of a tiktoken file."""
+
+    def __init__(self, path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a).decode("latin-1"): int(b) for a, b in map(bytes.split, f)}
+        missing = [b for b in range(256) if chr(b) not in ranks]
+        if missing:
+            raise ValueError(f"bytes without a token: {missing[:5]}")
         self.rank = ranks
         self.longest = ahocorasick.Automaton()
         for token, r in ranks.items():
-            self.longest.add_word(token, r)
+            self.longest.add_word(token, (len(token) - 1, r))
         self.longest.make_automaton()
-        self.shorter: dict[int, int] = {}  # the longest proper prefix that is a token
+        self.prefixes: dict[int, tuple[int, ...]] = {}  # a token and those it begins with, longest first
         self.halves: dict[int, tuple[int, int]] = {}  # the last merge that makes a token
         self.merged: dict[tuple[int, int], int] = {}
         self.known: dict[int, bool] = {}  # by left << 32 | right: whether the two can be neighbours
         self.size = {r: len(t) for t, r in ranks.items()}
         for token, r in sorted(ranks.items(), key=lambda x: x[1]):
             prefixes = [k for k in range(len(token) - 1, 0, -1) if token[:k] in ranks]
-            if prefixes:
-                self.shorter[r] = ranks[token[: prefixes[0]]]
+            self.prefixes[r] = (r, *(ranks[token[:k]] for k in prefixes))
             for k in prefixes:
                 left, right = ranks[token[:k]], ranks.get(token[k:])
                 if right is not None and left < r and right < r and self._stay_apart(left, right):
@@ -93,67 +113,63 @@ class Vocabulary(dict):
         whole = self.rank.get(s)
         if whole is not None:
             return [whole]
-        n, size, shorter, known = len(s), self.size, self.shorter.get, self.known
-        first: list[int | None] = [None] * (n + 1)
-        for end, r in self.longest.iter(s):  # ends ascend, so the longest comes last
-            first[end - size[r] + 1] = r
-        dead = bytearray(n + 1)
-        ids: list[int] = []
-        at, candidate, last = 0, first[0], -1
+        size, known, ids, last = self.size, self.known, [], -1
+        # The longest match each time: for about half of the pieces no step has to be taken back.
+        for _, (_, r) in self.longest.iter_long(s):
+            if last >= 0 and not known.get(last << 32 | r):
+                break
+            ids.append(r)
+            last = r
+        else:
+            return ids
+        n = len(s)
+        first: list[int] = [0] * n
+        for end, (back, r) in self.longest.iter(s):  # ends ascend, so the longest comes last
+            first[end - back] = r
+        dead, prefixes = bytearray(n + 1), self.prefixes
+        ids, at, last, options = [], 0, -1, prefixes[first[0]]
         while at < n:
-            while candidate is not None:
-                if not dead[at + size[candidate]]:
+            for r in options:
+                end = at + size[r]
+                if not dead[end]:
                     if last < 0:
                         break
-                    apart = known.get(pair := last << 32 | candidate)
+                    apart = known.get(pair := last << 32 | r)
                     if apart is None:
                         if len(known) >= CACHE_PAIRS:
                             known.clear()
-                        apart = known[pair] = self._stay_apart(last, candidate)
+                        apart = known[pair] = self._stay_apart(last, r)
                     if apart:
                         break
-                candidate = shorter(candidate)
-            if candidate is not None:
-                ids.append(candidate)
-                at += size[candidate]
-                candidate, last = first[at], candidate
-            elif ids:
-                dead[at] = 1
-                at -= size[last]
-                candidate = shorter(ids.pop())
-                last = ids[-1] if ids else -1
             else:
-                raise ValueError("a byte of the text isn't in the vocabulary")
-        return ids
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.split(piece.encode("utf-8", "surrogatepass")))
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = ids
+                dead[at] = 1
+                r = ids.pop()
+                at -= size[r]
+                last, options = ids[-1] if ids else -1, prefixes[r][1:]
+                continue
+            ids.append(r)
+            at, last = end, r
+            if at < n:
+                options = prefixes[first[at]]
         return ids
 
 
-class Encoder(dict):
-    """Ids of whole texts. As a dict: chunk -> its ids, filled on demand."""
+class Encoder:
+    """Ids of whole texts, as int32 in bytes."""
 
     def __init__(self, words: Vocabulary, pattern: str, chunks: str | None):
-        super().__init__()
-        self.words, self.pieces = words, regex.compile(pattern).findall
+        self.pieces = regex.compile(pattern).findall
         self.chunks = re.compile(chunks).findall if chunks else None
+        self.of_pieces = Remembered(lambda piece: array("i", words.split(piece.encode("utf-8", "surrogatepass"))).tobytes(), CACHE_PIECES // 2)
+        self.of_chunks = Remembered(self.of_chunk, CACHE_PIECES)
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        ids = tuple(chain.from_iterable(map(self.words.__getitem__, self.pieces(chunk))))
-        if len(chunk) <= CACHE_CHARS:
-            if len(self) >= 2 * CACHE_PIECES:
-                self.clear()
-            self[chunk] = ids
-        return ids
+    def of_chunk(self, chunk: str) -> bytes:
+        found = self.pieces(chunk)
+        return self.of_pieces.made(chunk) if found == [chunk] else b"".join(map(self.of_pieces.__getitem__, found))
 
     def encode(self, text: str | None) -> np.ndarray:
-        parts = map(self.__getitem__, self.chunks(text or "")) if self.chunks else map(self.words.__getitem__, self.pieces(text or ""))
-        return np.fromiter(chain.from_iterable(parts), np.int32)
+        parts = map(self.of_chunks.__getitem__, self.chunks(text or "")) if self.chunks else map(self.of_pieces.__getitem__, self.pieces(text or ""))
+        return np.frombuffer(b"".join(parts), np.int32)
 
 
 @lru_cache(2)

@@ -10,22 +10,22 @@ connect, is held against the nodes of other components that met the same first n
 how much each differs from the first node and how much of that no other node has. After that no pair of a bucket is both
 unconnected and able to link, but untested.
 
-Null and empty texts have empty sets, link with nothing and stay. Rows with one doc_id are one node. A row without doc_id takes its
-group's component but names none; alone, its component is null and it isn't kept. Repeated rows get equal results.
+Null and empty texts have empty sets, link with nothing and stay. Rows that share a doc_id are told apart by their texts. A row
+without doc_id takes the component of documents with an equal set but names none; else its component is null and it isn't kept.
+Repeated rows get equal results. Texts of any length are read whole. Columns besides doc_id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gustframe.llm.shared import map_texts, written
+from gustframe.llm.shared import discard, map_texts, word_hashes, written
 
 #: Bands and their rows: two sets with a similarity of 0.8 share no band once in eight million times.
 BANDS, ROWS = 40, 5
@@ -42,21 +42,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHash(dict):
-    """word -> 64-bit hash, the same in every process."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) >= 1 << 18:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-_HASHES = WordHash()
-
-
 def words_of(text: str | None) -> list[str]:
     """A-Z in lower case; runs without ASCII white space."""
     text = text or ""
@@ -68,7 +53,7 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     found = words_of(text)
     if not found:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+    h = np.fromiter(map(word_hashes().__getitem__, found), np.uint64, len(found))
     n = max(1, len(h) - words + 1)
     acc = np.full(n, np.uint64(min(words, len(h))))
     for k in range(min(words, len(h))):
@@ -97,8 +82,14 @@ def signature(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def _digest(hashes: np.ndarray) -> bytes | None:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
+
+
 def _sets(df: DataFrame, words: int, bands: int, rows: int, doc_id: str, text: str) -> DataFrame:
-    """(id, n, set: hash of the whole set, bands: array<long>) per row of df."""
+    """(id, h: hash of the text, n, set: hash of the whole set, bands: array<long>) per row of df."""
 
     def make():
         salt = _mixed(np.arange(1, bands + 1, dtype=np.uint64))
@@ -108,12 +99,9 @@ def _sets(df: DataFrame, words: int, bands: int, rows: int, doc_id: str, text: s
             for t in texts:
                 h = shingle_hashes(t, words)
                 n.append(len(h))
+                whole.append(_digest(h))
                 if not len(h):
-                    whole.append(None)
                     continue
-                import xxhash
-
-                whole.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sig = signature(h, bands * rows).reshape(bands, rows).astype(np.uint64)
                 acc = salt.copy()
                 for k in range(rows):
@@ -126,7 +114,11 @@ def _sets(df: DataFrame, words: int, bands: int, rows: int, doc_id: str, text: s
         return f
 
     fields = [T.StructField("n", T.LongType()), T.StructField("set", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType(), False))]
-    return map_texts(df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "text", ["id"], make, fields)
+    return map_texts(df.select(F.col(doc_id).alias("id"), _text_hash(text).alias("h"), F.col(text).alias("text")), "text", ["id", "h"], make, fields)
+
+
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def _common(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -140,13 +132,13 @@ def _common(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _full_sets(df: DataFrame, ids: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """(id, hashes) of the documents whose id is in ids."""
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    wanted = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
+def _full_sets(df: DataFrame, nodes: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
+    """(id: node, hashes) for each of nodes (node, id, h), read again from the document that stands for it."""
+    if nodes.count() <= BROADCAST_IDS:
+        nodes = F.broadcast(nodes)
+    wanted = df.select(F.col(doc_id).alias("id"), _text_hash(text).alias("h"), F.col(text).alias("text")).join(nodes, ["id", "h"])
     # Rows that repeat would repeat every pair.
-    wanted = wanted.groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+    wanted = wanted.groupBy("node").agg(F.first("text").alias("text"))
 
     def make():
         def f(texts):
@@ -156,7 +148,7 @@ def _full_sets(df: DataFrame, ids: DataFrame, words: int, doc_id: str, text: str
 
         return f
 
-    return map_texts(wanted, "text", ["id"], make, [T.StructField("hashes", T.ArrayType(T.LongType(), False))])
+    return map_texts(wanted.withColumnRenamed("node", "id"), "text", ["id"], make, [T.StructField("hashes", T.ArrayType(T.LongType(), False))])
 
 
 def _alone(sets: DataFrame, met: DataFrame) -> DataFrame:
@@ -181,26 +173,25 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         after = written(small, "small")
         changed = after.exceptAll(now).limit(1).count() or now.exceptAll(after).limit(1).count()
+        discard(now, large)
         now = after
         if not changed:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
 
 
-def near_duplicates(df: DataFrame, words: int = 5, threshold_percent: int = 80, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row of df: doc_id, n_shingles, component_id (the least doc_id reachable over links, itself included), kept (doc_id is component_id).
-
-    Documents link if 100 * |intersection| >= threshold_percent * |union|.
-    """
+def _groups(df: DataFrame, words: int, threshold_percent: int, doc_id: str, text: str, bands: int, rows: int) -> DataFrame:
+    """Per row of df: id, h (hash of the text), n, component (the least id reached), stands (whether the row's set is the one that stands for its component)."""
     t = threshold_percent
     docs = written(_sets(df, words, bands, rows, doc_id, text), "sets")
-    # Equal sets are one node, named by its least id.
-    nodes = docs.filter("n > 0").groupBy("set").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")).filter("node is not null")
+    # Equal sets are one node; the document of the least id stands for it. Written, nodes keep their numbers.
+    nodes = docs.filter("n > 0 and id is not null").groupBy("set").agg(F.min(F.struct("id", "h")).alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "set", "doc.id", "doc.h", "n", "bands"), "nodes")
     banded = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     first = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("bucket", "pivot")
     held = written(banded.join(first, "bucket").select("bucket", "node", "n", "pivot"), "buckets")
     stars = held.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    ids = held.select(F.col("node").alias("id")).distinct()
-    sets = written(_full_sets(df, ids, words, doc_id, text), "full")
+    due = held.select("node").distinct().join(nodes.select("node", "id", "h"), "node")
+    sets = written(_full_sets(df, due, words, doc_id, text), "full")
     linked = F.expr(f"100 * common >= {t} * (na + nb - common)")
     tested = written(_common(stars, sets, t), "stars")
     edges = tested.filter(linked).select("a", "b")
@@ -227,21 +218,40 @@ def near_duplicates(df: DataFrame, words: int = 5, threshold_percent: int = 80,
     )
     late = _common(more, sets, t).filter(linked).select("a", "b")
     final = components(edges.unionByName(late))
-    named = nodes.select(F.col("set"), "node").join(final.withColumnRenamed("id", "node"), "node", "left").select("set", F.coalesce("component", "node").alias("component"))
-    out = docs.select("id", "n", "set").join(named, "set", "left")
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(False)).alias("kept"))
+    # A component is named by its least id; of its sets, one that has this id stands for it.
+    of = written(nodes.select("node", "set", "id").join(final.withColumnRenamed("id", "node"), "node", "left").select("node", "set", "id", F.coalesce("component", "node").alias("c")), "of")
+    names = of.groupBy("c").agg(F.min(F.struct("id", "node")).alias("least"))
+    named = written(of.join(names, "c").select("set", F.col("least.id").alias("component"), (F.col("node") == F.col("least.node")).alias("first")), "named")
+    # Both sides are read from files, so that Spark can split a set that a large share of the rows has.
+    found = docs.filter("n > 0").select("id", "h", "n", "set").join(named, "set", "left")
+    found = found.select("id", "h", "n", F.coalesce("component", "id").alias("component"), F.coalesce(F.col("first") & (F.col("id") == F.col("component")), F.lit(False)).alias("stands"))
+    empty = docs.filter("n = 0").select("id", "h", "n", F.col("id").alias("component"), F.lit(True).alias("stands"))
+    discard(held, sets, tested, met, shared, nodes, of)
+    return found.unionByName(empty)
+
+
+def near_duplicates(df: DataFrame, words: int = 5, threshold_percent: int = 80, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Per row of df: doc_id, n_shingles, component_id (the least doc_id reachable over links, itself included), kept (doc_id is component_id).
+
+    Documents link if 100 * |intersection| >= threshold_percent * |union|.
+    """
+    found = _groups(df, words, threshold_percent, doc_id, text, bands, rows)
+    return found.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
 
 
 def deduplicated(df: DataFrame, words: int = 5, threshold_percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """df with one document of each group, the one with the least doc_id; all columns stay. Rows that repeat a doc_id and its text
-    are one document. Documents without words stay, and rows without doc_id, which no other row can stand for."""
-    found = written(near_duplicates(df, words, threshold_percent, doc_id, text), "groups")
-    gone = found.filter(~F.col("kept") & F.col(doc_id).isNotNull()).select(doc_id).distinct()
+    are one document; rows that repeat a doc_id alone are documents of their own. Documents without words stay, and rows without
+    doc_id, which no other row can stand for."""
+    found = written(_groups(df, words, threshold_percent, doc_id, text, BANDS, ROWS).filter("id is not null").select("id", "h", "stands"), "groups")
+    gone = found.filter("not stands").select("id", "h").distinct()
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    left = df.join(gone, doc_id, "left_anti")
-    again = found.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).count().filter("count > 1").select(doc_id)
+    at = (df[doc_id] == gone["id"]) & (_text_hash(text) == gone["h"])
+    left = df.join(gone, at, "left_anti")
+    again = found.filter("stands").groupBy("id", "h").count().filter("count > 1").select("id", "h")
     if again.limit(1).count():
-        once = left.join(again, doc_id, "left_semi").dropDuplicates([doc_id, text])
-        left = left.join(again, doc_id, "left_anti").unionByName(once)
+        at = (df[doc_id] == again["id"]) & (_text_hash(text) == again["h"])
+        once = left.join(again, at, "left_semi").dropDuplicates([doc_id, text])
+        left = left.join(again, at, "left_anti").unionByName(once)
     return left.select(*df.columns)

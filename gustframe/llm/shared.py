@@ -1,10 +1,11 @@
-"""Helpers that the text operators have in common: the shared folder and bounded Arrow batches."""
+"""Helpers that the text operators have in common: the shared folder, bounded Arrow batches and one memory of word hashes."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,14 +14,17 @@ from pyspark.sql import types as T
 
 #: Text of one slice that a Python task holds at a time, in bytes; a single longer text makes a slice of its own.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("gustframe.shared.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own
+    (tests); on a cluster that is an error, because executors don't see each other's disks."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("gustframe.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gustframe-")
         spark.conf.set("gustframe.shared.dir", found)
     return found.rstrip("/")
@@ -29,12 +33,38 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it again.
 
-    The files survive the loss of any executor and are read by several later plans without recomputing df.
+    The files survive the loss of any executor and are read by several later plans without recomputing df. discard() deletes them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what written() wrote, once nothing reads it any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class WordHash(dict):
+    """word -> 64-bit hash, the same in every process. The one memory of words that a Python worker keeps."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) >= 1 << 16:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+@lru_cache(1)
+def word_hashes() -> WordHash:
+    return WordHash()
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -54,10 +84,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
         yield batch.slice(at, n - at)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: where the session has Spark's default, hand them to Python BATCH_BYTES at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def map_texts(df: DataFrame, text: str, keep: list[str], make: Callable[[], Callable[[list], list[pa.Array]]], fields: list[T.StructField]) -> DataFrame:
     """mapInArrow over `keep` and `text`: make() is called once a task and gives the function from a slice's values of `text` to new columns."""
     clash = {f.name for f in fields}
     keep = [c for c in keep if c not in clash]
+    small_batches(df.sparkSession)
     source = df.select(*keep, df[text].alias("__text"))
     schema = T.StructType([source.schema[c] for c in keep] + fields)
 

@@ -89,3 +89,27 @@ def test_rows_without_id_and_repeated_ids(spark):
     kept = minhash.deduplicated(df).collect()
     assert sorted((r["doc_id"] or -1, r["text"]) for r in kept) == sorted([(-1, text), (-1, "alone here"), (3, text)])
     assert minhash.deduplicated(df.limit(0)).columns == df.columns
+
+
+def test_one_id_with_two_texts_are_two_documents(spark):
+    dice = random.Random(9)
+    x, y = prose(dice, 40), prose(dice, 40)
+    near = " ".join(["other", *x.split()[1:]])
+    df = spark.createDataFrame([(1, x), (5, x), (5, y), (6, near)], "doc_id long, text string")
+    assert sorted(map(tuple, minhash.deduplicated(df).collect())) == [(1, x), (5, y)]
+    near_only = spark.createDataFrame([(1, x), (5, near), (5, y)], "doc_id long, text string")
+    assert sorted(map(tuple, minhash.deduplicated(near_only).collect())) == [(1, x), (5, y)]
+
+
+def test_other_columns_may_have_the_names_used_inside(spark):
+    text = prose(random.Random(10), 30)
+    df = spark.createDataFrame([(1, text, 1, 2, 3, b"", 5), (2, text, 1, 2, 3, b"", 5)], "doc_id long, text string, id int, h int, n int, set binary, component int")
+    kept = minhash.deduplicated(df)
+    assert kept.columns == df.columns
+    assert [r["doc_id"] for r in kept.collect()] == [1]
+
+
+def test_long_and_repeated_words(spark):
+    texts = ["word " * 20000, "word " * 30000, "a b " * 5000, " ".join(map(str, range(30000))), " ".join(map(str, range(29990)))]
+    got = sorted(map(tuple, minhash.near_duplicates(documents(spark, texts), words=4).collect()))
+    assert got == _slowly(texts, 4)
