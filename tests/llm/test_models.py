@@ -100,15 +100,31 @@ def _slow_ratios(rows):
     return lambda word: sum(map(ratio, toxicity_kn.grams(word)))
 
 
-def test_toxicity_counts_every_gram_and_letter(spark, monkeypatch):
-    """Ratios of words like those from all grams: no table is cut off, and letters 992 apart are not the same one."""
-    monkeypatch.setattr(toxicity_kn, "MAX_GRAMS", 4, raising=False)
+def test_toxicity_counts_every_gram_and_letter(spark):
+    """Ratios of words like those from all grams, by the head and by joins: letters 992 apart are not the same one."""
     far = chr(0x4E00), chr(0x4E00 + 992)
     rows = [(0, f"kind calm words {far[0] * 2} {'rare' if i else ''}") for i in range(4)] + [(1, f"vile nasty words {far[1] * 2} {'rarely' if i else ''}") for i in range(3)]
     counts = toxicity_kn.gram_counts(spark.createDataFrame(rows, "y int, text string"))
-    model = toxicity_kn.Model(toxicity_kn._likelihoods(toxicity_kn._tables(counts)))
+    tables = toxicity_kn._likelihoods(toxicity_kn._tables(counts))
     words = ["kind", "vile", "rare", "rarely", "kindly", "zzz", far[0], far[1] * 2]
-    got = dict(zip(words, model.of_words([words])[0], strict=True))
     slow = _slow_ratios(rows)
+    head = toxicity_kn._head(tables, 1 << 20)
+    got = dict(zip(words, head.of_words([words])[0], strict=True))
     assert np.allclose([got[w] for w in words], [slow(w) for w in words], atol=1e-5)
     assert got[far[0]] < 0 < got[far[1] * 2]
+    joined = dict(map(tuple, toxicity_kn.ratios(spark.createDataFrame([(w,) for w in words], "word string"), tables).collect()))
+    assert np.allclose([joined[w] for w in words], [slow(w) for w in words], atol=1e-5)
+
+
+def test_toxicity_does_not_depend_on_the_size_of_the_head(spark):
+    docs, labels = _labelled(spark, "kind calm words here kindly", "vile nasty words there vilest", "toxic")
+    odd = documents(spark, [*ODD, "kind", "vilest nasty", "unseen wörds", "vile " * 3000, "kind", "kind"]).selectExpr("*", "1 as evidence", "2 as row", "3 as rest")
+    want = None
+    for most in (1 << 20, 60, 5, 0):
+        model = toxicity_kn.fit(docs, labels, "toxic", head_grams=most)
+        assert sum(len(t[0]) for t in model.head.tables.values()) <= most
+        scored = toxicity_kn.score(odd, model)
+        assert scored.columns == [*odd.columns, "score"]
+        got = {r["doc_id"]: r["score"] for r in scored.collect()}
+        want = want or got
+        assert len(got) == odd.count() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
