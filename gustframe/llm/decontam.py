@@ -2,22 +2,27 @@
 
 A seed hashes some of the words in a short window, the same places each time, and ignores the others: two passages that differ in
 an ignored word still meet. The masks are chosen so that whatever two words of thirteen are replaced, one of them sees only
-words that stayed. Every window of every document is hashed and joined with the hashes of the benchmark's windows; around each
-hit, document and item are compared word by word on the hit's diagonal.
+words that stayed; items of five to twelve words have masks of their own, by the same rule for as many substitutions as they may hold.
 
-An overlap is reported where thirteen words in a row (all words of a shorter item) agree in at least 80 % of places.
+The seeds of all items are a table, and those of the documents are joined with it. A bitmap of the items' seeds, of at most 2**27
+bits whatever the benchmark's size, keeps most of the documents' seeds out of the join beforehand. Around each hit, document and
+item are compared word by word on every diagonal on which they share a seed.
 
-Words are runs of letters and digits in lower case; whole texts are read. The benchmark is joined in blocks: an index of at most
-BLOCK_BYTES of text is sent to every executor, a larger benchmark takes several passes. Items of fewer than LEAST_WORDS words
-say too little and are not looked for; items shorter than a mask have to be met word for word, and those of ten to twelve words survive
-one substitution. Null texts have no words. Repeated
-rows are judged alike, repeated item ids are items of their own. Empty tables have no overlaps. Other columns are kept.
+An overlap is reported where thirteen words in a row (all words of a shorter item) agree in at least 80 % of places; for each document
+and item the one with the most agreeing words, of these the first. Items of up to four words have to be met word for word.
+
+Words are runs of letters and digits in lower case; whole texts are read, however long. Null texts have no words, items without words are
+not looked for. Equal texts are compared once, and repeated rows are judged alike; repeated item ids are items of their own. Empty
+tables have no overlaps. Other columns are kept, whatever their names; one that is named like the result is replaced.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,35 +30,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gustframe.llm.shared import map_texts
+from gustframe.llm.shared import map_texts, slices, word_hashes, written
 
 #: Words in which an overlap is judged, and the percentage of them that has to agree.
 SPAN, AGREE = 13, 80
 #: Places of a window that a seed reads. Any two substitutions in SPAN words leave one of them whole somewhere.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 8, 9))
-LEAST_WORDS = 5
-BLOCK_BYTES = 16 << 20
-_FILTER_BITS = 22
+#: Bits of the bitmap, as a power of two, at most; and how many it has for each seed below that.
+MOST_BITS, BITS_A_SEED = 27, 64
+#: Up to so many keys of texts (16 MB), or so many overlaps (about as much), are sent to every executor; more are joined by a shuffle.
+BROADCAST_KEYS, BROADCAST_OVERLAPS = 1_000_000, 250_000
 _WORD = re.compile(r"[^\W_]+")
-_MUL, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-class WordHash(dict):
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) >= 1 << 18:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), 2)
-        return h
-
-
-_HASHES = WordHash()
+_MUL, _M1 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def hashed_words(text: str | None) -> np.ndarray:
     found = _WORD.findall((text or "").lower())
-    return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+    return np.fromiter(map(word_hashes().__getitem__, found), np.uint64, len(found))
+
+
+@lru_cache(SPAN)
+def masks_for(n: int) -> tuple[tuple[int, ...], ...]:
+    """The masks for items of n words. Below SPAN: few masks that read as many words as possible, one of which is met whichever words are replaced."""
+    if n >= SPAN:
+        return MASKS
+    cuts = n - math.ceil(n * AGREE / 100)
+    for size in range(min(len(MASKS[0]), n - cuts) if cuts else n, 0, -1):
+        shapes = [(0, *c) for c in combinations(range(1, n), size - 1)]
+        # For each mask, the replacements that some place of it survives.
+        survived = {m: {c for p in range(n - m[-1]) for c in combinations([i for i in range(n) if i - p not in m], cuts)} for m in shapes}
+        left, chosen = set(combinations(range(n), cuts)), []
+        while left and len(chosen) < 4:
+            chosen.append(max(shapes, key=lambda m: len(left & survived[m])))
+            left -= survived[chosen[-1]]
+        if not left:
+            return tuple(chosen)
+    raise AssertionError("a mask of one word survives always")
 
 
 def seeds(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
@@ -69,105 +81,157 @@ def seeds(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return acc ^ (acc >> np.uint64(32))
 
 
-class Index:
-    """Seeds of a block of benchmark items."""
-
-    def __init__(self, items: list[tuple[int, str | None]]):
-        self.ids, self.words = [], []
-        for item_id, text in items:
-            words = hashed_words(text)
-            if len(words) >= LEAST_WORDS:
-                self.ids.append(item_id)
-                self.words.append(words)
-        longest = max(m[-1] + 1 for m in MASKS)
-        self.masks = [*MASKS, *(tuple(range(n)) for n in sorted({len(w) for w in self.words if len(w) < longest}))]
-        keys, item, place = [], [], []
-        for i, w in enumerate(self.words):
-            for m in MASKS if len(w) >= longest else [tuple(range(len(w)))]:
-                h = seeds(w, m)
-                keys.append(h)
-                item.append(np.full(len(h), i))
-                place.append(np.arange(len(h)))
-        key = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        order = np.argsort(key, kind="stable")
-        self.key = key[order]
-        self.item = (np.concatenate(item) if item else np.empty(0, np.int64))[order]
-        self.place = (np.concatenate(place) if place else np.empty(0, np.int64))[order]
-        self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[(self.key >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-
-    def hits(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """(item, diagonal: place in the document less place in the item) of every seed in common."""
-        out: set[tuple[int, int]] = set()
-        if not len(self.key):
-            return out
-        for m in self.masks:
-            h = seeds(words, m)
-            at = np.flatnonzero(self.filter[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-            if not len(at):
-                continue
-            low = np.searchsorted(self.key, h[at], "left")
-            n = np.searchsorted(self.key, h[at], "right") - low
-            total = int(n.sum())
-            if not total:
-                continue
-            own = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
-            diagonal = np.repeat(at, n) - self.place[own]
-            # Pairs of item and diagonal as one number, so that a long run of hits is one.
-            out.update(map(tuple, np.unique(np.stack([self.item[own], diagonal], 1), axis=0).tolist()))
-        return out
-
-    def overlaps(self, text: str | None) -> list[dict]:
-        """One dict for each item that the text overlaps with: the longest overlap."""
-        words = hashed_words(text)
-        best: dict[int, dict] = {}
-        for i, diagonal in sorted(self.hits(words)):
-            item = self.words[i]
-            a, b = max(0, diagonal), min(len(words), diagonal + len(item))
-            span = min(SPAN, len(item))
-            if b - a < span:
-                continue
-            same = words[a:b] == item[a - diagonal : b - diagonal]
-            total = np.concatenate(([0], np.cumsum(same)))
-            good = np.flatnonzero(total[span:] - total[:-span] >= math.ceil(span * AGREE / 100))
-            if not len(good):
-                continue
-            covered = np.zeros(b - a + 1, np.int64)
-            covered[good] += 1
-            covered[good + span] -= 1  # good + span <= b - a
-            inside = np.cumsum(covered)[:-1] > 0
-            found = {"item_id": self.ids[i], "start": int(a + good[0]), "end": int(a + good[-1] + span), "words": int(inside.sum()), "matched": int((same & inside).sum()), "item_words": len(item)}
-            known = best.get(i)
-            if known is None or (found["matched"], -found["start"]) > (known["matched"], -known["start"]):
-                best[i] = found
-        return [best[i] for i in sorted(best)]
+def diagonals(words: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Places in the document less places in the item, of all seeds that they share; ascending. Memory is linear in both."""
+    met = np.zeros(len(words) + len(item), bool)
+    for mask in masks_for(len(item)):
+        here, there = seeds(words, mask), seeds(item, mask)
+        order = np.argsort(here, kind="stable")
+        here = here[order]
+        low, high = np.searchsorted(here, there, "left"), np.searchsorted(here, there, "right")
+        for p in np.flatnonzero(high > low):
+            met[order[low[p] : high[p]] - p + len(item)] = True
+    return np.flatnonzero(met) - len(item)
+
+
+def overlap(words: np.ndarray, item: np.ndarray) -> dict | None:
+    """The overlap with the most agreeing words, of these the first. Diagonals come in order of what they can hold, so that repeated words end it early."""
+    span, best, perfect = min(SPAN, len(item)), None, False
+    at = diagonals(words, item)
+    held = np.minimum(len(words), at + len(item)) - np.maximum(0, at)
+    for i in np.lexsort((at, -held)):
+        a, b = max(0, int(at[i])), max(0, int(at[i])) + int(held[i])
+        if b - a < span or best and (b - a < best["matched"] or perfect and b - a == best["matched"]):
+            break
+        same = words[a:b] == item[a - at[i] : b - at[i]]
+        total = np.concatenate(([0], np.cumsum(same)))
+        good = np.flatnonzero(total[span:] - total[:-span] >= math.ceil(span * AGREE / 100))
+        if not len(good):
+            continue
+        covered = np.zeros(b - a + 1, np.int64)
+        covered[good] += 1
+        covered[good + span] -= 1  # good + span <= b - a
+        inside = np.cumsum(covered)[:-1] > 0
+        found = {"start": int(a + good[0]), "end": int(a + good[-1] + span), "words": int(inside.sum()), "matched": int((same & inside).sum()), "item_words": len(item)}
+        if best is None or (found["matched"], -found["start"]) > (best["matched"], -best["start"]):
+            best, perfect = found, found["matched"] == b - a
+    return best
+
+
+def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(item, num: a number of its own, words: hashes) of items with words."""
+
+    def make():
+        def f(texts):
+            found = [hashed_words(t).view(np.int64) for t in texts]
+            ends = np.cumsum([0, *map(len, found)])
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int64()))]
+
+        return f
+
+    given = benchmark.select(F.col(item_id).alias("item"), F.monotonically_increasing_id().alias("num"), F.col(item_text).alias("text")).filter("text is not null")
+    return map_texts(given, "text", ["item", "num"], make, [T.StructField("words", T.ArrayType(T.LongType(), False))]).filter("size(words) > 0")
+
+
+def _item_seeds(items: DataFrame) -> DataFrame:
+    """(h, num): the distinct seeds of each item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for num, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = words.values.to_numpy().view(np.uint64)
+                h = np.unique(np.concatenate([seeds(own, m) for m in masks_for(len(own))])).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), num))], names=["h", "num"])
+
+    return items.select("num", "words").mapInArrow(run, "h long, num long")
+
+
+def _bitmap(item_seeds: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits as a power of two, bytes): one bit for each value that the first bits of a seed take."""
+    n = item_seeds.count()
+    power = min(MOST_BITS, max(15, math.ceil(math.log2(max(1, n) * BITS_A_SEED))))
+    place = F.shiftrightunsigned("h", 64 - power) + 1
+    parts = item_seeds.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # 2**12 rows of 4 kB at most
+    out = np.zeros((1 << power) // 8, np.uint8)
+    for r in parts:
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return power, out
+
+
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    """(row: all columns as one, text, k1, k2: 128 bits of the text's hash)."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text).alias("text"), F.xxhash64(whole).alias("k1"), F.xxhash64(F.lit(17), whole).alias("k2"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str) -> DataFrame:
+    """(k1, k2, overlaps) of the distinct texts that have any."""
+    items = written(_items(benchmark, item_id, item_text), "items")
+    lengths = [r["n"] for r in items.select(F.least(F.size("words"), F.lit(SPAN)).alias("n")).distinct().collect()]
+    masks = sorted({m for n in lengths for m in masks_for(n)})
+    own = written(_item_seeds(items), "item_seeds")
+    power, bits = _bitmap(own)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def make():
+        def f(texts):
+            out = []
+            for t in texts:
+                words, found = hashed_words(t), [np.empty(0, np.uint64)]
+                for m in masks:
+                    h = seeds(words, m)
+                    at = h >> np.uint64(64 - power)
+                    found.append(h[(sent.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0])
+                out.append(np.unique(np.concatenate(found)).view(np.int64))
+            ends = np.cumsum([0, *map(len, out)])
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out) if out else [], pa.int64()))]
+
+        return f
+
+    keyed = _keyed(docs, text).select("k1", "k2", "text")
+    hits = map_texts(keyed, "text", ["k1", "k2"], make, [T.StructField("hits", T.ArrayType(T.LongType(), False))]).select("k1", "k2", F.explode("hits").alias("h"))
+    pairs = written(hits.join(own, "h").select("k1", "k2", "num").distinct(), "pairs")
+    keys = pairs.select("k1", "k2").distinct()
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    texts = keyed.join(keys, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    against = pairs.join(items, "num").groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("num", "item", "words"))).alias("items"))
+    kind = T.ArrayType(T.StructType([T.StructField("item_id", benchmark.schema[item_id].dataType)] + [T.StructField(n, T.IntegerType()) for n in ("start", "end", "words", "matched", "item_words")]))
+    schema = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("overlaps", kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out = to_arrow_schema(schema)
+        for batch in batches:
+            for part in slices([batch], "text"):
+                rows = []
+                for t, given in zip(part.column(2).to_pylist(), part.column(3), strict=True):
+                    words, own = hashed_words(t), given.values
+                    ids, lists, first = own.field("item").to_pylist(), own.field("words"), []
+                    for i, item in enumerate(ids):
+                        got = overlap(words, lists[i].values.to_numpy().view(np.uint64))
+                        if got:
+                            first.append({"item_id": item, **got})
+                    rows.append(first)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, out.field(2).type)], schema=out)
+
+    return written(texts.join(against, ["k1", "k2"]).mapInArrow(run, schema).filter("size(overlaps) > 0"), "overlaps")
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "overlaps", keep: list[str] | None = None) -> DataFrame:
     """docs' columns (or those in keep) with `out`: array<struct<item_id, start, end, words, matched, item_words>>, start and end in words."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != out]
-    items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter(F.col("t").isNotNull())
-    size = items.agg(F.sum(F.octet_length("t") + 64).alias("b")).first()["b"] or 0
-    blocks = max(1, -(-2 * int(size) // BLOCK_BYTES)) if size > BLOCK_BYTES else 1
-    kind = T.ArrayType(T.StructType([T.StructField("item_id", benchmark.schema[item_id].dataType)] + [T.StructField(n, T.IntegerType()) for n in ("start", "end", "words", "matched", "item_words")]))
-    marked, context = docs, docs.sparkSession.sparkContext
-    for b in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()  # about half of BLOCK_BYTES
-        index = context.broadcast(Index([(r["i"], r["t"]) for r in block]))
-
-        def make(index=index):
-            from pyspark.sql.pandas.types import to_arrow_type
-
-            return lambda texts: [pa.array([index.value.overlaps(t) for t in texts], to_arrow_type(kind))]
-
-        last = b == blocks - 1
-        kept = keep if last else list(dict.fromkeys([*keep, text]))
-        kept = [c for c in kept if c != f"__o{b}"] + [f"__o{k}" for k in range(b)]
-        marked = map_texts(marked, text, kept, make, [T.StructField(f"__o{b}", kind)])
-    return marked.select(*keep, F.concat(*[F.col(f"__o{b}") for b in range(blocks)]).alias(out))
+    found = _found(docs, benchmark, text, item_id, item_text)
+    if (found.agg(F.sum(F.size("overlaps"))).first()[0] or 0) <= BROADCAST_OVERLAPS:
+        found = F.broadcast(found)
+    rows = _keyed(docs, text).drop("text").join(found, ["k1", "k2"], "left")
+    return rows.select(*[F.col("row")[c].alias(c) for c in keep], F.coalesce("overlaps", F.array().cast(found.schema["overlaps"].dataType)).alias(out))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **names: str) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents without an overlap, with docs' columns."""
-    marked = mark(docs, benchmark, text, out="__overlaps", **names)
-    return marked.filter(F.size("__overlaps") == 0).select(*docs.columns)
+    found = _found(docs, benchmark, text, item_id, item_text).select("k1", "k2")
+    if found.count() <= BROADCAST_KEYS:
+        found = F.broadcast(found)
+    return _keyed(docs, text).drop("text").join(found, ["k1", "k2"], "left_anti").select("row.*")
