@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gustframe.llm import bpe, chat, decontam, lcp, license_scan, minhash, oracles, quality_fm, secrets_ledger, sharding, toxicity_kn
+from gustframe.llm.shared import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +60,12 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every document; each document is a path with one version, the ledger is empty."""
-    found = secrets_ledger.findings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Secrets of every document; each is a path with one version. Half of the paths comes first, what the other half adds is scanned against the ledger."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = secrets_ledger.Ledger(f"{shared_dir(spark)}/secrets-{uuid.uuid4().hex}")
+    for part in (0, 1):
+        secrets_ledger.advance(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == part), ledger, str(part))
+    found = secrets_ledger.findings(docs, ledger.read(spark))
     spans = F.col("secret_spans")
     base = F.filter(spans, lambda s: s["rank"] < len(secrets_ledger.BASE_RULES))
 

@@ -1,22 +1,27 @@
 """Secret scans over versioned text with an incremental ledger of blobs.
 
 Every version of a file is a row (path, version) with a text. A text is addressed by its content (SHA-256): texts that occur
-under many paths or in many versions are one blob. A ledger remembers which pairs of blob and rule version have been scanned
-and what they held, so a run scans only pairs it has not seen, and joins the findings of all its blobs back to every path.
+under many paths or in many versions are one blob. A ledger, a folder of Parquet batches, remembers which pairs of blob and rule
+version have been scanned and what they held. advance() scans the pairs that it lacks and appends them; findings() joins what it holds
+back to every path. A batch that is written again replaces itself, so a run that was cut off can be repeated.
 
 Only DataFrame and SQL functions run over the rows. Positions are code points, end exclusive. A rule's matches are found by
-extracting all of them and splitting at them: the lengths of pieces and matches, added up, are the positions.
+extracting all of them and splitting at them: the lengths of pieces and matches, summed in a window, are the positions.
 
-Null texts count as empty and have no findings. Repeated rows each get the findings. Empty tables give none. Other columns stay.
+Null texts count as empty and have no findings. Repeated rows each get the findings. Empty tables give none. Texts are scanned whole; the
+work is linear in a text's length and matches. Other columns stay, whatever their names; one that is named like the result is replaced.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gustframe.llm.shared import exists
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -57,74 +62,78 @@ MASK_RULES = tuple(Rule("private", 2, PRIVATE) if r.kind == "private" else r for
 SPAN = "struct<start:int,rank:int,kind:string,end:int>"
 
 
-def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
-    """array<struct<start, rank, kind, end>> of a rule's leftmost matches without overlaps."""
-    pattern = F.lit(rule.pattern)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    values = F.regexp_extract_all(text, pattern, F.lit(rule.value))
-    between = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(found))
-    steps = F.arrays_zip(F.transform(between, F.length).alias("gap"), F.transform(found, F.length).alias("len"), F.transform(values, F.length).alias("val"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+#: A ledger's columns: what each scanned rule version found in a blob.
+LEDGER = f"blob string, scans array<struct<rule:string,spans:array<{SPAN}>>>"
+#: Up to so many spans (about 16 MB) are sent to every executor; more are joined by a shuffle.
+BROADCAST_SPANS = 250_000
+
+
+@dataclass(frozen=True)
+class Ledger:
+    """A folder that driver and executors share."""
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["len"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        kept = F.when(x["val"] >= rule.least, F.concat(acc["spans"], F.array(span).cast(f"array<{SPAN}>"))).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), kept.alias("spans"))
+    path: str
 
-    spans = F.aggregate(steps, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(rule.pattern), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    def read(self, spark: SparkSession) -> DataFrame:
+        """(blob, scans): a row for each blob and batch that scanned it."""
+        if not exists(spark, self.path):
+            return spark.createDataFrame([], LEDGER)
+        return spark.read.schema(LEDGER).parquet(self.path).select("blob", "scans")
 
+    def append(self, rows: DataFrame, batch: str) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
-def content(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with __blob, the SHA-256 of its text's bytes."""
-    return df.withColumn("__blob", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
 
+def _key(rule: Rule) -> str:
+    return f"{rule.kind}:{rule.version}"
 
-def scan_new(df: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The ledger's new rows (blob, kind, version, spans): one for each pair of blob and rule that the ledger lacks.
 
-    df: rows from content(). Each blob's text is scanned once, however many rows hold it.
-    """
-    blobs = df.select("__blob", F.col(text).alias("__text"))
-    if ledger is None:
-        # Equal blobs meet after a hash of the content; a partial step on the rows' side has thinned out copies already.
-        due = blobs.dropDuplicates(["__blob"]).withColumn("__due", F.array(*[F.lit(r.kind) for r in rules]))
-    else:
-        seen = ledger.join(F.broadcast(_rule_table(df, rules)), ["kind", "version"], "left_semi").groupBy("blob").agg(F.collect_set("kind").alias("__seen"))
-        due = (
-            blobs.dropDuplicates(["__blob"])
-            .join(seen.withColumnRenamed("blob", "__blob"), "__blob", "left")
-            .withColumn("__due", F.array_except(F.array(*[F.lit(r.kind) for r in rules]), F.coalesce("__seen", F.array().cast("array<string>"))))
-            .filter(F.size("__due") > 0)
-        )
-    t = F.coalesce(F.col("__text"), F.lit(""))
-    none = F.lit(None).cast(f"array<{SPAN}>")
-    scans = [F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.when(F.array_contains("__due", r.kind), rule_spans(t, r, i)).otherwise(none).alias("spans")) for i, r in enumerate(rules)]
-    return due.select(F.col("__blob").alias("blob"), F.array(*scans).alias("__scans"))
+def _steps(text: Column, rule: Rule) -> Column:
+    """For each match, leftmost and without overlaps: the characters before it since the last one, its own, and those of its value."""
+    pattern = F.lit(rule.pattern)
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    values = F.regexp_extract_all(text, pattern, F.lit(rule.value))
+    between = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(found))
+    steps = F.arrays_zip(F.transform(between, F.length).alias("gap"), F.transform(found, F.length).alias("len"), F.transform(values, F.length).alias("val"))
+    return F.when(text.rlike(rule.pattern), steps)
 
 
-def ledger_rows(scanned: DataFrame) -> DataFrame:
-    """scan_new()'s arrays as ledger rows (blob, kind, version, spans)."""
-    return scanned.select("blob", F.inline(F.filter("__scans", lambda x: x["spans"].isNotNull())))
+def _blob(text: str) -> Column:
+    """The SHA-256 of a text's bytes."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
 
 
-def _rule_table(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    return df.sparkSession.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
+def unseen(df: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The ledger's new rows: for each blob of df, the rule versions that the ledger lacks, with what they find. Each text is scanned once."""
+    seen = ledger.select("blob", F.explode("scans.rule").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+    # A partial step on the rows' side thins out copies before blobs meet.
+    blobs = df.select(_blob(text).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates(["blob"])
+    due = blobs.join(seen, "blob", "left").withColumn("due", F.array_except(F.array(*[F.lit(_key(r)) for r in rules]), F.coalesce("seen", F.array().cast("array<string>")))).filter(F.size("due") > 0)
+    scans = [F.struct(F.lit(i).alias("rank"), F.lit(_key(r)).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(r.least).alias("least"), F.array_contains("due", _key(r)).alias("asked"), F.when(F.array_contains("due", _key(r)), _steps(F.col("text"), r)).alias("steps")) for i, r in enumerate(rules)]
+    each = due.select("blob", F.inline(F.array(*scans))).filter("asked")
+    each = each.select("blob", "rank", "rule", "kind", "least", F.posexplode_outer("steps").alias("i", "step"))
+    # All that follows is by blob, as the rows are already.
+    end = F.sum(F.col("step.gap") + F.col("step.len")).over(W.partitionBy("blob", "rank").orderBy("i").rowsBetween(W.unboundedPreceding, 0)).cast("int")
+    span = F.struct((F.col("end") - F.col("step.len")).alias("start"), "rank", "kind", "end").cast(SPAN)
+    found = each.withColumn("end", end).groupBy("blob", "rank", "rule").agg(F.collect_list(F.when(F.col("step.val") >= F.col("least"), span)).alias("spans"))
+    return found.groupBy("blob").agg(F.collect_list(F.struct("rule", "spans")).alias("scans"))
 
 
-def findings(df: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """df with `secret_spans`, array<struct<start, rank, kind, end>> sorted by start, then the rules' order; empty if it holds none."""
-    named = content(df, text)
-    fresh = scan_new(named, ledger, rules, text)
-    flat = fresh.select("blob", F.flatten(F.transform("__scans", lambda x: F.coalesce(x["spans"], F.array().cast(f"array<{SPAN}>")))).alias("__spans"))
-    if ledger is not None:
-        old = ledger.join(F.broadcast(_rule_table(df, rules)), ["kind", "version"], "left_semi").select("blob", F.col("spans").alias("__spans"))
-        flat = flat.unionByName(old).groupBy("blob").agg(F.flatten(F.collect_list("__spans")).alias("__spans"))
-    held = flat.filter(F.size("__spans") > 0).select(F.col("blob").alias("__blob"), F.array_sort("__spans").alias("secret_spans"))
-    joined = named.join(held, "__blob", "left")
-    return joined.select(*df.columns, F.coalesce("secret_spans", F.array().cast(f"array<{SPAN}>")).alias("secret_spans"))
+def advance(df: DataFrame, ledger: Ledger, batch: str, rules: tuple[Rule, ...] = RULES, text: str = "text") -> None:
+    """Scan the pairs of df's blobs and rule versions that the ledger lacks, and append them as one batch."""
+    ledger.append(unseen(df, ledger.read(df.sparkSession), rules, text), batch)
+
+
+def findings(df: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", out: str = "secret_spans") -> DataFrame:
+    """df with `out`, array<struct<start, rank, kind, end>> sorted by start, then the rules' order: what the ledger holds of each row's blob
+    for these rule versions. Empty if that is nothing."""
+    keep = [c for c in df.columns if c != out]
+    said = ledger.select("blob", F.inline("scans")).filter(F.col("rule").isin([_key(r) for r in rules]) & (F.size("spans") > 0))
+    held = said.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    if (said.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_SPANS:
+        held = F.broadcast(held)
+    rows = df.select(F.struct(*[df[c] for c in keep]).alias("row"), _blob(text).alias("blob"))
+    return rows.join(held, "blob", "left").select("row.*", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias(out))
 
 
 def joined_spans(spans: Column) -> Column:
@@ -134,11 +143,14 @@ def joined_spans(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column) -> Column:
     """text with each stretch that spans cover replaced by the mark of the first span's kind; sorted spans, overlaps are merged."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        mark = F.when(s["start"] >= acc["at"], F.concat(gap, F.lit("[secret:"), s["kind"], F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], mark).alias("out"))
-
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    # Where what came before each span ends, and the span's own end if that is further.
+    n = F.size(spans)
+    ends = F.transform(spans, lambda s: s["end"])
+    before = F.transform(spans, lambda s, i: F.coalesce(F.array_max(F.slice(ends, F.lit(1), i)), F.lit(0)))
+    pieces = F.zip_with(
+        spans,
+        before,
+        lambda s, b: F.when(s["start"] >= b, F.concat(F.substring(text, b + 1, F.greatest(s["start"] - b, F.lit(0))), F.lit("[secret:"), s["kind"], F.lit("]"))).otherwise(F.lit("")),
+    )
+    last = F.coalesce(F.array_max(ends), F.lit(0))
+    return F.when(n > 0, F.concat(F.array_join(pieces, ""), F.substring(text, last + 1, F.length(text)))).otherwise(text)
