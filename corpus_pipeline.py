@@ -9,11 +9,13 @@ The stages return the columns of documents, the last one doc_id, n_tokens and id
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gustframe.llm import bpe, decontam, minhash, secrets_ledger, toxicity_kn
-from gustframe.llm.shared import written
+from gustframe.llm.shared import discard, shared_dir, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +32,12 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secrets_ledger.findings(docs, rules=secrets_ledger.MASK_RULES)
-    masked = F.when(F.size("secret_spans") > 0, secrets_ledger.redacted(F.col("text"), F.col("secret_spans"))).otherwise(F.col("text"))
-    return found.withColumn("text", masked).withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    rules, ledger = secrets_ledger.MASK_RULES, secrets_ledger.Ledger(f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    secrets_ledger.advance(docs, ledger, "documents", rules)
+    found = secrets_ledger.findings(docs, ledger.read(spark), rules)
+    masked = secrets_ledger.redacted(F.col("text"), F.col("secret_spans"))
+    held = F.size("secret_spans") > 0
+    return found.withColumn("text", F.when(held, masked).otherwise(F.col("text"))).withColumn("n_chars", F.when(held, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +57,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written before the next begins."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; what each returns is written before the next begins, and deleted once the next is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            discard(last)
+        last = docs
     return docs
 
 
