@@ -33,7 +33,7 @@ def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every paragraph of a document that speaks of licences, with its family."""
+    """Every paragraph of a document that is a licence notice, with its family."""
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
