@@ -1,16 +1,19 @@
 """Chat formatting with a black-box template, rendered turn by turn.
 
-A template is any function from messages to one string. Rendering successive prefixes of a conversation and comparing each
-output with the one before gives the span that the new turn added; rendering the turn with two different marks in place of its
-text shows where the text sits inside that span. If an output doesn't begin with the one before, the template has rewritten
-history: such turns have no span, and the conversation is flagged.
+A template is any function from messages to one string. The prefixes of a conversation are rendered one after the other, and each
+output is compared with the one before: what is added is the new turn's span. Two more renderings, with different marks in place of the
+turn's text, show where the text sits inside that span. If an output doesn't begin with the one before, the template has rewritten
+history there: the conversation is flagged and has no spans. Only the last output is held, but n prefixes of a black box are work of
+the order of n squared.
 
-A template whose turns render alike whatever stands before their predecessor needs no full prefixes: the spans found from pairs
-of turns, put together, must equal one rendering of the whole conversation. If they don't, every prefix is rendered.
+A template may be declared local (local()): what a turn adds depends on that turn and the one before it, as in the built-in
+template. Then a long conversation is rendered in blocks of BLOCK turns that overlap by one: within a block every prefix is rendered
+and compared, as above, and the work is linear. The blocks together must equal one rendering of the whole conversation; if they don't, the
+declaration was wrong, and all prefixes are rendered. Conversations of up to BLOCK turns are rendered by all prefixes in any case.
 
 Turns are ordered by turn, then role, then text, nulls first; repeated rows are turns of their own. A null text or role counts as
-empty. Empty tables give no conversations. Other columns of the turns are not read. One conversation is one row and is held by
-one task, as its output is.
+empty. Empty tables give no conversations. Other columns of the turns are not read, whatever their names. Texts of any length are one
+turn. One conversation is one row and is held by one task, as its output is.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ Template = Callable[[list[Message]], str]
 
 #: Strings that mark turns in this template or in well-known others.
 CONTROLS = ("<|", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "<start_of_turn>", "<end_of_turn>")
+#: Turns of a block of a long conversation, for local templates.
+BLOCK = 64
 _CONTROL = re.compile(r"\\|" + "|".join(map(re.escape, CONTROLS)))
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"<\|turn\|>((?:\\.|[^\\\n])*)\n(.*?)<\|end\|>\n", re.S)
@@ -47,6 +52,9 @@ def turn_template(messages: list[Message]) -> str:
     return "".join("<|turn|>" + escape(role).replace("\n", "\\\n") + f"\n{text}<|end|>\n" for role, text in messages)
 
 
+turn_template.local = True
+
+
 def parse(formatted: str) -> list[Message]:
     """The turns that turn_template() has rendered, unescaped."""
     return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
@@ -66,39 +74,49 @@ def _added(render: Template, history: list[Message], turn: Message, before: str)
     return len(before), after[len(before) :], begin - len(before), begin - len(before) + len(turn[1])
 
 
+def local(render: Template) -> Template:
+    """Declare that what a turn adds depends on that turn and the one before it."""
+    render.local = True
+    return render
+
+
+def _prefixes(messages: list[Message], render: Template, known: int = 0) -> tuple[str, list[tuple[int, int, int, int]]] | None:
+    """(the last output, the span of each turn after the first `known` ones) from all prefixes; None if one rewrites the one before."""
+    before, found = render(messages[:known]), []
+    for i in range(known, len(messages)):
+        got = _added(render, messages[:i], messages[i], before)
+        if got is None:
+            return None
+        at, part, a, b = got
+        found.append((at, at + len(part), at + a if a >= 0 else -1, at + b if a >= 0 else -1))
+        before += part
+    return before, found
+
+
 def spans(messages: list[Message], render: Template = turn_template) -> tuple[str, list[tuple[int, int, int, int]], bool]:
     """(rendering, [(start, end, text start, text end) of each turn], whether history was rewritten).
 
     Texts are as they are given to the template. A span of -1 wasn't found.
     """
-    whole = render(messages)
-    # Pairs of turns only: linear in the conversation.
-    parts, found = [render([])], []
-    at = len(parts[0])
-    for i, turn in enumerate(messages):
-        history = messages[max(0, i - 1) : i]
-        got = _added(render, history, turn, render(history))
-        if got is None:
-            break
-        _, part, a, b = got
-        parts.append(part)
-        found.append((at, at + len(part), at + a if a >= 0 else -1, at + b if a >= 0 else -1))
-        at += len(part)
-    if len(found) == len(messages) and "".join(parts) == whole:
-        return whole, found, False
-    found, rewritten, before = [], False, render([])
-    for i, turn in enumerate(messages):
-        got = _added(render, messages[:i], turn, before)
-        before = render(messages[: i + 1])
-        if got is None:
-            rewritten = True
-            found.append((-1, -1, -1, -1))
-        else:
-            at, part, a, b = got
-            found.append((at, at + len(part), at + a if a >= 0 else -1, at + b if a >= 0 else -1))
-    if rewritten:  # spans of earlier outputs say nothing about the last one where it differs
-        found = [(-1, -1, -1, -1)] * len(found)
-    return whole, found, rewritten
+    if getattr(render, "local", False) and len(messages) > BLOCK:
+        whole, out, found = render(messages), [], []
+        for at in range(0, len(messages), BLOCK):
+            known = min(at, 1)
+            got = _prefixes(messages[at - known : at + BLOCK], render, known)
+            if got is None:
+                break
+            text, own = got
+            # A block's places count from its first turn; what stands before is what the blocks before have added.
+            base = len(render(messages[at - known : at]))
+            shift = sum(map(len, out)) - base
+            out.append(text[base:] if at else text)
+            found += [tuple(x + shift if x >= 0 else x for x in s) for s in own] if at else own
+        if len(found) == len(messages) and "".join(out) == whole:
+            return whole, found, False
+    got = _prefixes(messages, render)
+    if got is None:
+        return render(messages), [(-1, -1, -1, -1)] * len(messages), True
+    return *got, False
 
 
 FORMATTED = T.StructType(

@@ -9,7 +9,8 @@ A fingerprint keeps, for each of BINS bins of the signatures' hash, eight bits o
 The likeness of two fingerprints is the share of equal ones among the bins that either fills. Two empty texts are alike (1.0).
 
 Null texts count as empty. Equal texts have equal fingerprints. Empty tables give no rows; a single document is its own next one.
-Rows are ordered by doc_id (nulls first), then by a hash of the text, then by the text; repeated rows follow one another.
+Rows are ordered by doc_id (nulls first), then by a hash of the text, then by the text; repeated rows follow one another. The key may
+be of any type that Spark orders as Python does: integers, strings, dates. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +28,9 @@ BINS = 128
 #: Levels of phrases; signatures come from the last ones. A phrase of level k has about 3.4 ** k characters.
 LEVELS = 4
 SIGNED = (2, 3, 4)
-#: Characters parsed at a time.
+#: Text of a range of rows that one task parses; the most ranges that the driver counts; and keys sampled for each.
+RANGE_BYTES, MOST_RANGES, SAMPLED = 16 << 20, 1 << 16, 32
+#: Characters parsed at a time; a longer text is parsed by itself, whole.
 CHUNK = 1 << 18
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -129,46 +133,69 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(used == 0, 1.0, same / np.maximum(used, 1))
 
 
-def _successors(df: DataFrame, key: str, text: str, partitions: int) -> DataFrame:
-    """(k, t, tail) in which each partition holds a range of keys in order, then, as tail, the row that follows the range.
+def _cuts(keys: DataFrame, ranges: int) -> list:
+    """Keys that part the rows into about `ranges` ranges of equal counts, from a sample of SAMPLED keys a range by hash."""
+    if ranges < 2:
+        return []
+    share = min(1.0, SAMPLED * ranges / max(1, keys.count()))
+    drawn = keys.filter("k is not null").filter(F.pmod(F.xxhash64(F.lit(9), "k"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    found = [r["k"] for r in drawn.orderBy("k").collect()]  # about SAMPLED * ranges of any table's keys
+    return sorted({found[i * len(found) // ranges] for i in range(1, ranges)}) if found else []
 
-    Ranges are cut at quantiles of the key, which a partial aggregate finds. Only the key of each range's first row passes the driver.
+
+def _placed(rows: DataFrame, cuts: list) -> DataFrame:
+    """rows with b, the number of cuts at or below k; nulls come first."""
+    sent = rows.sparkSession.sparkContext.broadcast(cuts)
+
+    @F.pandas_udf("int")
+    def placed(k: pd.Series) -> pd.Series:
+        from bisect import bisect_right
+
+        if k.dtype.kind in "iu":
+            return pd.Series(np.searchsorted(np.array(sent.value), k.to_numpy(), "right").astype(np.int32))
+        return pd.Series([0 if x is None or x != x else bisect_right(sent.value, x) for x in k], dtype=np.int32)
+
+    # Integers with nulls would come as floats, which hold 53 bits.
+    b = placed(F.coalesce("k", F.lit(cuts[0] - 1))) if cuts and isinstance(cuts[0], int) else placed("k") if cuts else F.lit(0)
+    return rows.withColumn("b", b)
+
+
+def _successors(df: DataFrame, key: str, text: str, ranges: int) -> DataFrame:
+    """(k, t, h, tail, b) in which each range b holds keys in order, then, as tail, the row that follows the range.
+
+    Only sampled keys and the key of each range's first row pass the driver.
     """
     base = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     ids = df.select(F.col(key).alias("k"))
-    cuts = ids.agg(F.percentile_approx("k", [i / partitions for i in range(1, partitions)], 10_000).alias("c")).first()["c"] if partitions > 1 else []
-    cuts = sorted(set(cuts or []))
-    # Nulls make the range 0 with all keys below the first cut.
-    def placed(k):
-        return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= k)) if cuts else F.lit(0)
-
-    ranged = F.when(F.col("k").isNull(), 0).otherwise(placed(F.col("k"))) if cuts else F.lit(0)
-    firsts = {r["b"]: (None if r["hole"] else r["m"]) for r in ids.groupBy(ranged.alias("b")).agg(F.min("k").alias("m"), F.bool_or(F.col("k").isNull()).alias("hole")).collect()}
+    cuts = _cuts(ids, ranges)
+    firsts = {r["b"]: (None if r["hole"] else r["m"]) for r in _placed(ids, cuts).groupBy("b").agg(F.min("k").alias("m"), F.bool_or(F.col("k").isNull()).alias("hole")).collect()}
     filled = sorted(firsts)
+    with_b = _placed(base, cuts).withColumn("h", F.xxhash64("t"))
     if not filled:
-        return base.withColumns({"tail": F.lit(False), "b": F.lit(0), "h": F.xxhash64("t")})
+        return with_b.withColumn("tail", F.lit(False))
     # The first row of a range is the tail of the one before; that of the first range ends the last one.
     before = {b: filled[i - 1] for i, b in enumerate(filled)}
-    table = df.sparkSession.createDataFrame([(b, firsts[b], before[b]) for b in filled], "b int, m long, p int")
-    with_b = base.withColumn("b", ranged.cast("int")).withColumn("h", F.xxhash64("t"))
+    schema = T.StructType([T.StructField("b", T.IntegerType()), T.StructField("m", df.schema[key].dataType), T.StructField("p", T.IntegerType())])
+    table = df.sparkSession.createDataFrame([(b, firsts[b], before[b]) for b in filled], schema)  # a row a range
     # One row a range has to be copied: the least by (key, hash); all its equals hold the same text.
     heads = with_b.join(F.broadcast(table), "b").filter(F.col("k").eqNullSafe(F.col("m"))).groupBy("p").agg(F.min_by(F.struct("k", "t"), F.struct("h", "t")).alias("r"))
     tails = heads.select(F.col("r.k").alias("k"), F.col("r.t").alias("t"), F.col("p").alias("b"), F.lit(0).cast("long").alias("h"), F.lit(True).alias("tail"))
     return with_b.withColumn("tail", F.lit(False)).unionByName(tails)
 
 
-def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", range_bytes: int = 8 << 20) -> DataFrame:
-    """(key, text, edited, next fingerprint...) is made by fingerprint_with_next(); this lays the rows out for it, in ranges of about range_bytes."""
+def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The rows laid out for fingerprint_with_next(): one task a range of about range_bytes, in order. A task streams its range, so
+    beyond MOST_RANGES, where ranges grow with the table (1.5 GB at 100 TB), it takes longer but holds no more."""
     total = df.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
-    partitions = min(4096, max(1, int(total) // range_bytes))
-    rows = _successors(df, key, text, partitions)
-    return rows.repartition(partitions, "b").sortWithinPartitions("b", "tail", F.col("k").asc_nulls_first(), "h", "t")
+    ranges = min(MOST_RANGES, max(1, int(total) // range_bytes))
+    rows = _successors(df, key, text, ranges)
+    return rows.repartitionById(ranges, "b").sortWithinPartitions("b", "tail", F.col("k").asc_nulls_first(), "h", "t")
 
 
-def fingerprint_with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprint_with_next(df: DataFrame, key: str = "doc_id", text: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Per row: key, n_chars, edited (the text whose last half is overwritten by the beginning of the next text), fingerprint,
     edited_fingerprint (hex), near_edited, near_next (likeness to the edited and to the next text's fingerprint)."""
-    laid = with_next(df, key, text)
+    laid = with_next(df, key, text, range_bytes)
     schema = T.StructType(
         [T.StructField(key, df.schema[key].dataType), T.StructField("n_chars", T.LongType(), False)]
         + [T.StructField(n, T.StringType(), False) for n in ("edited", "fingerprint", "edited_fingerprint")]

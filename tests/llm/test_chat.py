@@ -31,6 +31,34 @@ def test_templates_that_rewrite_history_are_detected():
     assert chat.spans([("a", "one"), ("b", "two"), ("a", "three")], last_only)[2]
 
 
+def test_a_prefix_that_is_changed_and_changed_back_is_detected():
+    def marked(messages):
+        return "".join(f"<{r}>{t};" for r, t in messages) + ("<END>" if len(messages) == 3 else "")
+
+    assert chat.spans([("a", str(i)) for i in range(5)], marked) == ("".join(f"<a>{i};" for i in range(5)), [(-1, -1, -1, -1)] * 5, True)
+    assert not chat.spans([("a", str(i)) for i in range(3)], marked)[2]
+
+
+def test_blocks_of_a_local_template_give_what_all_prefixes_give():
+    def linked(messages):
+        return "^" + "".join(f"<{r}{'=' if i and messages[i - 1][0] == r else ''}>{t};" for i, (r, t) in enumerate(messages))
+
+    messages = [("ab"[i % 3 % 2], f"text é{i}" * (i % 4)) for i in range(3 * chat.BLOCK + 5)]
+    slow = chat.spans(messages, linked)
+    assert chat.spans(messages, chat.local(linked)) == slow and not slow[2]
+    assert chat.spans(messages) == chat.spans(messages, lambda m: chat.turn_template(m))
+
+
+def test_a_wrong_declaration_is_noticed():
+    @chat.local
+    def numbered(messages):
+        return "".join(f"<{i}:{r}>{t};" for i, (r, t) in enumerate(messages))
+
+    messages = [("a", str(i)) for i in range(2 * chat.BLOCK)]
+    whole, spans, rewritten = chat.spans(messages, numbered)
+    assert not rewritten and [whole[a:b] for _, _, a, b in spans] == [t for _, t in messages]
+
+
 def test_templates_that_count_turns_need_all_prefixes():
     def numbered(messages):
         return "".join(f"<{i}:{r}>{t};" for i, (r, t) in enumerate(messages))

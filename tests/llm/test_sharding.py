@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -38,7 +39,48 @@ def test_equal_rows_do_not_overfill_a_bucket(spark):
     rows = got.collect()
     _lawful(rows, 4)
     assert len(rows) == 700
-    assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) < 600
+    assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) < 120
+
+
+def test_like_a_shuffle_by_hand(spark):
+    """The same order from hashes that Spark gives, with buckets and Fisher-Yates written out."""
+    df = documents(spark, [f"text {i}" * (i % 9 + 1) for i in range(300)])
+    hashed = df.select("doc_id", F.xxhash64(F.lit(5), *df.columns).alias("h"), F.xxhash64(F.lit("5+"), *df.columns).alias("h2")).collect()
+    size = sum(16 * 3 + len(f"text {i}" * (i % 9 + 1)) + len("own") for i in range(300))
+    buckets = -(-size // 2000)
+    line = []
+    for b in range(buckets):
+        own = [r["doc_id"] for r in sorted((r for r in hashed if r["h"] % buckets == b), key=lambda r: (r["h"], r["h2"]))]
+        dice = random.Random(f"5:{b}")
+        for i in reversed(range(1, len(own))):
+            j = dice.randrange(i + 1)
+            own[i], own[j] = own[j], own[i]
+        line += own
+    got = sharding.external_shuffle(df, 4, seed=5, bucket_bytes=2000).orderBy("shard", "slot").collect()
+    assert [r["doc_id"] for r in got] == line
+    assert [(r["shard"], r["slot"]) for r in got] == [(i // 75, i % 75) for i in range(300)]
+
+
+def test_the_order_does_not_depend_on_settings_files_or_copies(spark):
+    df = spark.createDataFrame([(1, "copy " * 40)] * 300 + [(i, f"t{i}") for i in range(100)], "doc_id long, text string")
+
+    def order(frame):
+        return [r["doc_id"] for r in sharding.external_shuffle(frame, 3, bucket_bytes=1024).orderBy("shard", "slot").collect()]
+
+    one = order(df)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        assert order(df.repartition(7)) == one
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_other_columns_of_any_type_and_name(spark):
+    df = documents(spark, ["a", None, "b"]).selectExpr("*", "1 as shard", "2 as slot", "3 as row", "4 as h", "5 as bucket", "map('k', doc_id) as m", "array(doc_id) as l", "null as none", "6 as b")
+    got = sharding.external_shuffle(df, 2, bucket_bytes=64)
+    assert got.columns == [*(c for c in df.columns if c not in ("shard", "slot")), "shard", "slot"]
+    assert sorted((r["doc_id"], r["m"]["k"], r["l"][0], r["row"]) for r in got.collect()) == [(i, i, i, 3) for i in range(3)]
 
 
 def test_odd_rows_and_writing(spark, tmp_path):
