@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from gustframe.functions.draws import normal
 from gustframe.functions.nulls import clip, col, div, zero_below
+from gustframe.functions.times import micros
 
 
 def watts(joules_per_cm2: Column | str, seconds: int = 600) -> Column:
@@ -28,38 +28,36 @@ def extraterrestrial(ts: Column | str) -> Column:
     return 1366.1 * (1.00011 + 0.034221 * F.cos(b) + 0.00128 * F.sin(b) + 0.000719 * F.cos(2 * b) + 7.7e-05 * F.sin(2 * b))
 
 
-def position_columns(ts: Column | str, latitude: Column | str, longitude: Column | str) -> tuple[Column, Column]:
-    """True zenith and azimuth in degrees by Spencer's series; within half a degree of the ephemeris."""
-    b = _day_angle(ts)
-    declination = 0.006918 - 0.399912 * F.cos(b) + 0.070257 * F.sin(b) - 0.006758 * F.cos(2 * b) + 0.000907 * F.sin(2 * b) - 0.002697 * F.cos(3 * b) + 0.00148 * F.sin(3 * b)
-    equation = 229.18 * (0.000075 + 0.001868 * F.cos(b) - 0.032077 * F.sin(b) - 0.014615 * F.cos(2 * b) - 0.040849 * F.sin(2 * b))
-    minutes = F.hour(col(ts)) * 60 + F.minute(col(ts)) + F.second(col(ts)) / 60.0
-    hour_angle = F.radians((minutes + equation + 4 * col(longitude)) / 4 - 180)
+def position(ts: Column | str, latitude: Column | str, longitude: Column | str) -> Column:
+    """struct<zenith, azimuth>, true, in degrees, from the sun's mean elements (low-precision ephemeris, 0.01 degrees)."""
+    n = micros(ts) / F.lit(86_400e6) + (2440587.5 - 2451545.0)  # days since noon of the first day of 2000
+
+    def angle(at: float, rate: float) -> Column:
+        return F.radians(F.lit(at) + rate * n)
+
+    mean, anomaly = angle(280.460, 0.9856474), angle(357.528, 0.9856003)
+    ecliptic = mean + F.radians(1.915 * F.sin(anomaly) + 0.020 * F.sin(2 * anomaly))
+    tilt = angle(23.439, -4e-7)
+    ascension = F.atan2(F.cos(tilt) * F.sin(ecliptic), F.cos(ecliptic))
+    declination = F.asin(F.sin(tilt) * F.sin(ecliptic))
+    hour = F.radians(F.lit(280.46061837) + 360.98564736629 * n + col(longitude)) - ascension
     lat = F.radians(col(latitude))
-    cos_z = F.sin(lat) * F.sin(declination) + F.cos(lat) * F.cos(declination) * F.cos(hour_angle)
-    zenith = F.acos(clip(cos_z, -1, 1))
-    azimuth = F.atan2(F.sin(hour_angle), F.cos(hour_angle) * F.sin(lat) - F.tan(declination) * F.cos(lat))
-    return F.degrees(zenith), F.pmod(F.degrees(azimuth) + 180, F.lit(360.0))
-
-
-@F.pandas_udf(T.StructType([T.StructField("zenith", T.DoubleType()), T.StructField("azimuth", T.DoubleType())]))
-def position(ts: pd.Series, latitude: pd.Series, longitude: pd.Series) -> pd.DataFrame:
-    """True zenith and azimuth in degrees from the sun's mean elements (low-precision ephemeris, 0.01 degrees)."""
-    import numpy as np
-
-    when = pd.to_datetime(ts)
-    if when.dt.tz is not None:
-        when = when.dt.tz_convert("UTC").dt.tz_localize(None)
-    n = when.to_numpy("datetime64[us]").astype("int64") / 86_400e6 + 2440587.5 - 2451545.0
-    mean, anomaly = np.radians((280.460 + 0.9856474 * n) % 360), np.radians((357.528 + 0.9856003 * n) % 360)
-    ecliptic = mean + np.radians(1.915 * np.sin(anomaly) + 0.020 * np.sin(2 * anomaly))
-    tilt = np.radians(23.439 - 4e-7 * n)
-    ascension, declination = np.arctan2(np.cos(tilt) * np.sin(ecliptic), np.cos(ecliptic)), np.arcsin(np.sin(tilt) * np.sin(ecliptic))
-    sidereal = np.radians((280.46061837 + 360.98564736629 * n + longitude.to_numpy()) % 360)
-    angle, lat = sidereal - ascension, np.radians(latitude.to_numpy())
-    zenith = np.arccos(np.clip(np.sin(lat) * np.sin(declination) + np.cos(lat) * np.cos(declination) * np.cos(angle), -1, 1))
-    azimuth = np.arctan2(np.sin(angle), np.cos(angle) * np.sin(lat) - np.tan(declination) * np.cos(lat))
-    return pd.DataFrame({"zenith": np.degrees(zenith), "azimuth": np.degrees(azimuth) % 360 + 180}).assign(azimuth=lambda d: d.azimuth % 360)
+    zenith = F.acos(clip(F.sin(lat) * F.sin(declination) + F.cos(lat) * F.cos(declination) * F.cos(hour), -1, 1))
+    azimuth = F.atan2(F.sin(hour), F.cos(hour) * F.sin(lat) - F.tan(declination) * F.cos(lat))
+    return F.struct(F.degrees(zenith).alias("zenith"), F.pmod(F.degrees(azimuth) + 180, F.lit(360.0)).alias("azimuth"))
+
+
+def apparent_elevation(zenith: Column | str, pressure: Column | float = 101325.0, temperature: Column | float = 12.0) -> Column:
+    """Elevation in degrees with refraction (Bennett's formula for the geometric elevation, scaled by pressure in Pa and air in Celsius)."""
+    e = 90 - col(zenith)
+    p, t = (x if isinstance(x, Column) else F.lit(float(x)) for x in (pressure, temperature))
+    lifted = (p / 101000.0) * (283.0 / (273.0 + t)) * 1.02 / (60 * F.tan(F.radians(e + 10.3 / (e + 5.11))))
+    return F.when(e > -0.83337, e + lifted).otherwise(e)
+
+
+def pressure_at(altitude: Column | str) -> Column:
+    """Pa at an altitude in metres, standard atmosphere."""
+    return 100 * F.pow((44331.514 - col(altitude)) / 11880.516, F.lit(1 / 0.1902632))
 
 
 def direct_normal(ghi: Column | str, dhi: Column | str, zenith: Column | str) -> Column:
@@ -106,6 +104,11 @@ def ac_power(dc: Column | str, dc_limit: float, nominal: float = 0.96, reference
     return F.when(z <= 0, 0.0).otherwise(clip(eta * col(dc), 0, nominal * dc_limit))
 
 
+def drawn_efficiency(mean: float, seed: int = 42, *key: Column | str) -> Column:
+    """An inverter's nominal efficiency from N(mean, 0.01); without a key one draw for all."""
+    return F.lit(mean) + 0.01 * normal(seed, *key)
+
+
 def combined_loss(percentages: list[float]) -> float:
     """Percent lost to all of several losses together."""
     return 100 * (1 - reduce(lambda a, x: a * (1 - x / 100), percentages, 1.0))

@@ -24,6 +24,15 @@ def stamp(c: Column | str, pattern: str = "yyyyMMddHHmm") -> Column:
     return F.try_to_timestamp(col(c).cast("string"), F.lit(pattern))
 
 
+def in_utc(local: Column | str, zone: str) -> Column:
+    """A wall clock's stamp in a zone, as the moment it names: of the hour that comes twice the first, of the skipped one an hour later."""
+    return F.to_utc_timestamp(col(local), zone)
+
+
+def local_time(moment: Column | str, zone: str) -> Column:
+    return F.from_utc_timestamp(col(moment), zone)
+
+
 def valid_time(start: Column | str, lead_hours: Column | str) -> Column:
     return F.timestamp_micros(micros(start) + col(lead_hours).cast("long") * HOUR)
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gustframe.functions.draws import normal
 from gustframe.functions.nulls import clip, col, div
 
 KARMAN, SEVENTH, AIR = 0.4, 1 / 7, 1.225
@@ -107,12 +108,7 @@ def noisy(power: Column | str, rated: Column | str, noise: float, seed: int, *ke
     """Times a normal factor around 1 with deviation `noise`, between 0 and the rating; the draw depends on seed and key only."""
     if noise == 0:
         return col(power)
-
-    def uniform(salt: int) -> Column:
-        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *[col(k) for k in key]), F.lit(2**52)) + 0.5) / float(2**52)
-
-    normal = F.sqrt(-2 * F.ln(uniform(1))) * F.cos(2 * math.pi * uniform(2))
-    return F.least(F.greatest(col(power) * (1 + noise * normal), F.lit(0.0)), col(rated))
+    return F.least(F.greatest(col(power) * (1 + noise * normal(seed, *key)), F.lit(0.0)), col(rated))
 
 
 def rating(curtailed_kw: Column | str, curve_max_w: Column | str) -> Column:

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from gustframe.functions.nulls import clip, col, div
 from gustframe.functions.wind import equivalent_speed
+from gustframe.operators.relational import sent_if_small
+
+
+#: Ticks of a catalogue that may be sent to every executor (about 40 MB).
+CATALOGUE_TICKS = 1_000_000
 
 
 def cubic(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -63,10 +68,11 @@ def interpolated(df: DataFrame, curves: DataFrame, speed: Column | str, turbine:
     v = equivalent_speed(speed, degradation) * 100
     last = curves.groupBy(turbine).agg(F.max("ws_c").alias("__last"), F.min("ws_c").alias("__low"))
     dim = curves.join(last, turbine).select(F.col(turbine).alias("__t"), F.col("ws_c").alias("__k"), F.col("power_w").alias("__p"), F.col("next_w").alias("__q"))
-    ends = F.broadcast(last.withColumnRenamed(turbine, "__e"))
+    # A catalogue of four hundred turbines has a million ticks: sent if it is no larger, else joined by a shuffle.
+    ends, dim = sent_if_small(last.withColumnRenamed(turbine, "__e")), sent_if_small(dim, CATALOGUE_TICKS)
     own = df.withColumn("__v", v).join(ends, F.col(turbine) == F.col("__e"), "left")
     own = own.withColumn("__v", clip("__v", F.col("__low").cast("double"), F.col("__last").cast("double"))).withColumn("__f", F.floor("__v").cast("int"))
-    joined = own.join(F.broadcast(dim), (F.col(turbine) == F.col("__t")) & (F.col("__f") == F.col("__k")), "left")
+    joined = own.join(dim, (F.col(turbine) == F.col("__t")) & (F.col("__f") == F.col("__k")), "left")
     value = F.col("__p") + (F.col("__q") - F.col("__p")) * (F.col("__v") - F.col("__f"))
     return joined.withColumn(name, value).drop("__v", "__e", "__last", "__low", "__f", "__t", "__k", "__p", "__q")
 
@@ -75,7 +81,7 @@ def at_ticks(df: DataFrame, curves: DataFrame, tick: Column | str, turbine: str
     """Left lookup at a whole tick; null off the curve."""
     dim = curves.select(F.col(turbine).alias("__t"), F.col("ws_c").alias("__k"), F.col("power_w").alias(name))
     own = df.withColumn("__f", col(tick))
-    return own.join(F.broadcast(dim), (F.col(turbine) == F.col("__t")) & (F.col("__f") == F.col("__k")), "left").drop("__t", "__k", "__f")
+    return own.join(sent_if_small(dim, CATALOGUE_TICKS), (F.col(turbine) == F.col("__t")) & (F.col("__f") == F.col("__k")), "left").drop("__t", "__k", "__f")
 
 
 def interp(x: Column | str, points: list[tuple[float, float]]) -> Column:

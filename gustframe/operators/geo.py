@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gustframe.functions.nulls import col
+from gustframe.operators.relational import sent_if_small
 
 RADIUS_KM = 6371.0088
 
@@ -55,10 +56,10 @@ def geodesic(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series)
 
 
 def nearest(df: DataFrame, points: DataFrame, by: str, k: int = 1, at: tuple[str, str] = ("latitude", "longitude"), of: tuple[str, str] = ("p_latitude", "p_longitude"), tie: str | None = None) -> DataFrame:
-    """For each row of df its k nearest points with `distance` and `rank`; points are a small dimension, which every executor holds.
+    """For each row of df its k nearest points with `distance` and `rank`; points are a dimension of known places (stations, grid).
 
     Only df's key and coordinates meet the points; of each row k candidates survive the first, partial limit."""
-    own = df.select(by, *at).crossJoin(F.broadcast(points)).withColumn("distance", haversine(at[0], at[1], of[0], of[1]))
+    own = df.select(by, *at).crossJoin(sent_if_small(points)).withColumn("distance", haversine(at[0], at[1], of[0], of[1]))
     order = [F.col("distance"), F.col(tie or [c for c in points.columns if c not in of][0])]
     if k == 1:
         rest = [c for c in own.columns if c not in (by, *at)]

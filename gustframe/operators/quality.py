@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -10,10 +11,16 @@ def null_shares(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
     return df.groupBy(by).agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns])
 
 
-def complete_enough(df: DataFrame, by: str, columns: list[str], threshold: float) -> DataFrame:
-    """Rows of series in which no column's null share is above the threshold."""
-    good = null_shares(df, by, columns).filter(F.greatest(*columns, F.lit(0.0)) <= threshold).select(by)
-    return df.join(good, by, "left_semi")
+def complete_enough(df: DataFrame, by: str, columns: list[str], threshold: float, never_empty: bool = False) -> DataFrame:
+    """Rows of series in which no column's null share is above the threshold; never_empty: and in which every column has a value.
+
+    Shares are windows over a series: one exchange, which what follows by the same key can use."""
+    w = W.partitionBy(by)
+    worst = F.greatest(*[F.avg(F.col(c).isNull().cast("double")).over(w) for c in columns], F.lit(0.0))
+    good = worst <= threshold
+    if never_empty:
+        good = good & (F.least(*[F.count(c).over(w) for c in columns], F.lit(2**62)) > 0)
+    return df.withColumn("__good", good).filter("__good").drop("__good")
 
 
 def never_empty(df: DataFrame, by: str, columns: list[str]) -> DataFrame:

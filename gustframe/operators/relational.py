@@ -89,9 +89,18 @@ def second_match(df: DataFrame, candidates: DataFrame, key: str, score: str) ->
     return left.join(right, [key, "__n"], "left").drop("__n")
 
 
+#: Rows that a side may have to be sent to every executor.
+BROADCAST_ROWS = 100_000
+
+
+def sent_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has no more than `most` rows; else Spark joins it as it would any table."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def with_grid(df: DataFrame, grid: DataFrame) -> DataFrame:
-    """Every row with every row of a small grid of parameters (planes, turbines)."""
-    return df.crossJoin(F.broadcast(grid))
+    """Every row with every row of a grid of parameters (planes, turbines), which is small by its nature."""
+    return df.crossJoin(sent_if_small(grid))
 
 
 def path_matrix(df: DataFrame, by: str, variable: str, path: str, order: str, variables: list[str]) -> DataFrame:

@@ -9,11 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gustframe.functions.draws import normal
 from gustframe.functions.nulls import col, div
-from gustframe.functions.times import age_years, micros
+from gustframe.functions.times import age_years, commissioned, micros
 
 
-def ageing(df: DataFrame, by: str, ts: str, commissioned: Column | str, rate: float = 0.0063, name: str = "degradation") -> DataFrame:
+def ageing(df: DataFrame, by: str, ts: str, since: Column | str, rate: float = 0.0063, name: str = "degradation") -> DataFrame:
     """The share of power that is left, equally spaced by row from (1-rate)^age at a series' first stamp to that at its last.
 
     Ages are whole days / 365.25. Ages before this filter: later slices don't change it.
@@ -21,37 +22,102 @@ def ageing(df: DataFrame, by: str, ts: str, commissioned: Column | str, rate: fl
     w = W.partitionBy(by)
     base = F.lit(1 - rate)
     first, last = F.min(ts).over(w), F.max(ts).over(w)
-    a, b = F.pow(base, age_years(first, commissioned)), F.pow(base, age_years(last, commissioned))
+    a, b = F.pow(base, age_years(first, since)), F.pow(base, age_years(last, since))
     i, n = F.row_number().over(w.orderBy(ts)) - 1, F.count(F.lit(1)).over(w)
     return df.withColumns({"__a": a, "__b": b, "__i": i, "__n": n}).withColumn(name, F.col("__a") + (F.col("__b") - F.col("__a")) * F.coalesce(F.try_divide(F.col("__i"), F.col("__n") - 1), F.lit(0.0))).drop("__a", "__b", "__i", "__n")
 
 
-def final_dust(df: DataFrame, by: str, ts: str, rain: str, minutes: str, settled: Column | str, start: float, threshold: float, cleaning: float, step_minutes: float) -> DataFrame:
-    """(by, dust): dust left at the end of each series: rain of at least threshold washes some off, otherwise it settles.
+def drawn_age(by: str, seed: int = 42, mean: float = 15.0, deviation: float = 5.0, least: float = 0.0) -> Column:
+    """Years that a plant without a known date has stood, from N(mean, deviation), not below `least`: drawn by a hash of seed and
+    key, so each series has its age on any cluster and in any order."""
+    return F.greatest(F.lit(mean) + deviation * normal(seed, by), F.lit(float(least)))
+
+
+def real_age(df: DataFrame, ages: DataFrame, by: str, seed: int = 42, name: str = "age") -> DataFrame:
+    """df with `name`, an age picked for each series from ages (idx from 0 without gaps, age), by a hash of seed and key."""
+    n = ages.agg(F.count(F.lit(1)).alias("__n"))
+    pick = F.pmod(F.xxhash64(F.lit(seed), F.col(by)), F.greatest("__n", F.lit(1)))
+    series = df.select(by).distinct().crossJoin(F.broadcast(n)).select(by, pick.alias("idx"))  # one row
+    return df.join(series.join(ages.select("idx", F.col("age").alias(name)), "idx", "left").drop("idx"), by, "left")
+
+
+def ageing_from(df: DataFrame, by: str, ts: str, years: Column | str, rate: float = 0.0063, name: str = "degradation") -> DataFrame:
+    """ageing() where the age at the first stamp is known in years instead of a date: the commissioning date is that long before it, as
+    a whole day, for the age at the last stamp. `commissioned` is that date."""
+    w = W.partitionBy(by)
+    first, last = F.min(ts).over(w), F.max(ts).over(w)
+    date = commissioned(first, years)
+    end = age_years(last, date.cast("timestamp"))
+    i, n = F.row_number().over(w.orderBy(ts)) - 1, F.count(F.lit(1)).over(w)
+    base = F.lit(1 - rate)
+    own = df.withColumns({"__a": F.pow(base, col(years)), "__b": F.pow(base, end), "__i": i, "__n": n, "commissioned": date})
+    return own.withColumn(name, F.col("__a") + (F.col("__b") - F.col("__a")) * F.coalesce(F.try_divide(F.col("__i"), F.col("__n") - 1), F.lit(0.0))).drop("__a", "__b", "__i", "__n")
 
-    A fold over a series' sorted rows, which must fit in one task (a station-year of ten minutes is 52 560 rows)."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(ts), F.col(rain).alias("r"), F.col(minutes).alias("m"), col(settled).alias("d"))))
 
-    def step(w: Column, x: Column) -> Column:
-        washed = w * (1 - cleaning * x["m"] / step_minutes)
-        return F.when(x["r"] >= threshold, washed).otherwise(w + F.coalesce(x["d"], F.lit(0.0)))
+#: Rows of a series that are folded in one go: a week, 1 008 rows of ten minutes.
+CHUNK_SECONDS = 7 * 86_400
 
-    return df.groupBy(by).agg(F.aggregate(rows, F.lit(float(start)), step).alias("dust"))
+
+def _wash(df: DataFrame, ts: str, rain: str, minutes: str, settled: Column | str, threshold: float, cleaning: float, step_minutes: float) -> DataFrame:
+    """df with __a and __b, the step from one row's dust to the next as a * dust + b, and __chunk."""
+    rained = F.coalesce(F.col(rain) >= threshold, F.lit(False))
+    return df.withColumns(
+        {
+            "__a": F.when(rained, 1 - cleaning * F.coalesce(F.col(minutes), F.lit(0.0)) / step_minutes).otherwise(1.0).cast("double"),
+            "__b": F.when(rained, 0.0).otherwise(F.coalesce(F.nanvl(col(settled), F.lit(0.0)), F.lit(0.0))).cast("double"),
+            "__chunk": F.floor(micros(ts) / F.lit(CHUNK_SECONDS * 1_000_000)).cast("long"),
+        }
+    )
+
+
+def _chunks(steps: DataFrame, by: list[str], ts: str, start: float) -> DataFrame:
+    """(by, __chunk, a, b, first): the steps of each chunk as one, and the dust at its end if the series begins with it.
+
+    Steps are affine, so those of a chunk are one such step; a series of any length is spread over the tasks by its chunks."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(ts), F.col("__a").alias("a"), F.col("__b").alias("b"))))
+    held = steps.groupBy(*by, "__chunk").agg(rows.alias("x"))
+    both = F.aggregate("x", F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")), lambda m, x: F.struct((x["a"] * m["a"]).alias("a"), (x["a"] * m["b"] + x["b"]).alias("b")))
+    # The first row of a series has the start value, whatever falls or settles there.
+    first = F.aggregate(F.slice("x", F.lit(2), F.greatest(F.size("x") - 1, F.lit(0))), F.lit(float(start)), lambda w, x: x["a"] * w + x["b"])
+    return held.select(*by, "__chunk", both.alias("m"), first.alias("first")).select(*by, "__chunk", "m.a", "m.b", "first")
+
+
+def final_dust(df: DataFrame, by: str, ts: str, rain: str, minutes: str, settled: Column | str, start: float, threshold: float, cleaning: float, step_minutes: float) -> DataFrame:
+    """(by, dust): dust left at the end of each series: rain of at least threshold washes some off, otherwise it settles. The first
+    row of a series has `start`. A task folds one chunk of a series, then one series' chunks (52 a year)."""
+    chunks = _chunks(_wash(df, ts, rain, minutes, settled, threshold, cleaning, step_minutes), [by], ts, start)
+    line = chunks.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("__chunk", "a", "b", "first"))).alias("x"))
+    rest = F.slice("x", F.lit(2), F.greatest(F.size("x") - 1, F.lit(0)))
+    return line.select(by, F.aggregate(rest, F.col("x")[0]["first"], lambda w, x: x["a"] * w + x["b"]).alias("dust"))
 
 
 def dust(df: DataFrame, by: list[str], ts: str, rain: str, minutes: str, settled: str, start: float, threshold: float, cleaning: float, step_minutes: float) -> DataFrame:
-    """df with `dust` at every row. One group is one series (station and tilt); its rows are folded in order."""
+    """df with `dust` at every row, as in final_dust(). One group is one series (station and tilt). Each chunk of a series is folded
+    from the dust that the chunks before it leave."""
+    steps = _wash(df, ts, rain, minutes, settled, threshold, cleaning, step_minutes)
+    chunks = _chunks(steps, by, ts, start)
+    begin = T.StructType([*(chunks.schema[c] for c in (*by, "__chunk")), T.StructField("__w", T.DoubleType())])
+
+    def before(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__chunk")
+        w, out = float("nan"), []
+        for i, (a, b, first) in enumerate(zip(pdf["a"], pdf["b"], pdf["first"], strict=True)):
+            out.append(w)  # NaN: the series begins here
+            w = a * w + b if i else first
+        return pdf.assign(__w=out)[[*by, "__chunk", "__w"]]
+
+    begins = chunks.groupBy(*by).applyInPandas(before, begin)
     schema = T.StructType([*df.schema.fields, T.StructField("dust", T.DoubleType())])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ts, kind="stable")
-        w, out = float(start), []
-        for r, m, d in zip(pdf[rain].to_numpy(), pdf[minutes].to_numpy(), pdf[settled].to_numpy(), strict=True):
-            w = w * (1 - cleaning * m / step_minutes) if r >= threshold else w + (0.0 if d != d else d)
+        w, out = float(pdf["__w"].iloc[0]), []
+        for a, b in zip(pdf["__a"].to_numpy(), pdf["__b"].to_numpy(), strict=True):
+            w = a * w + b if w == w else float(start)
             out.append(w)
-        return pdf.assign(dust=out)
+        return pdf.assign(dust=out)[schema.names]
 
-    return df.groupBy(*by).applyInPandas(fold, schema)
+    return steps.join(begins, [*by, "__chunk"]).groupBy(*by, "__chunk").applyInPandas(fold, schema)
 
 
 def inertia(df: DataFrame, by: str, ts: str, power: str, speed: str, step_seconds: float, tau: float, alpha: float, cut_in: float, least_tau: float, name: str = "smoothed") -> DataFrame:
@@ -124,10 +190,20 @@ def load_factor_corrected(df: DataFrame, by: str, aged: str, new: str, name: str
     return df.withColumn(name, div(F.col(aged) * F.avg(new).over(W.partitionBy(by)), F.col(new)) * 100)
 
 
-def running_seed(df: DataFrame, key: str, seed: int, name: str = "seed") -> DataFrame:
-    """A seed for each key, counting up in sorted order. Over the distinct keys only."""
-    keys = df.select(key).distinct()
-    numbered = keys.withColumn(name, F.dense_rank().over(W.orderBy(key)) + (seed - 1))
-    return df.join(F.broadcast(numbered), key)
+#: Parts that distinct keys are ranked in.
+RANK_PARTS = 64
 
 
+def running_seed(df: DataFrame, key: str, seed: int, name: str = "seed") -> DataFrame:
+    """A seed for each key, counting up in sorted order. Distinct keys are ranked in parts between sampled keys; what comes before a
+    part is a sum over as many rows as there are parts."""
+    keys = df.select(key).filter(F.col(key).isNotNull()).distinct()
+    drawn = [r[0] for r in keys.orderBy(F.xxhash64(F.lit(seed), key), key).limit(RANK_PARTS * 16).orderBy(key).collect()]
+    cuts = sorted(set(drawn[16::16]))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key))) if cuts else F.lit(0)
+    parted = keys.withColumn("__part", part)
+    sizes = parted.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    rank = F.row_number().over(W.partitionBy("__part").orderBy(key))
+    numbered = parted.join(F.broadcast(before), "__part").select(key, (rank + F.col("__before") + (seed - 1)).alias(name))  # RANK_PARTS rows
+    return df.join(numbered, key)

@@ -217,13 +217,35 @@ def q_system_losses(t: Tables):
     return t("events").select("event_id", r6(solar.with_losses("value", [2.0, 3.0, 0.5]), 9).alias("power"))
 
 
-@query()
+@query(
+    """with x as (select event_id, epoch_us(ts) / 86400e6::double + (2440587.5::double - 2451545.0::double) as n from events),
+y as (select event_id, n, radians(280.460::double + 0.9856474::double * n) as m, radians(357.528::double + 0.9856003::double * n) as g, radians(23.439::double - 4e-7::double * n) as e, radians(52.5::double) as lat from x),
+z as (select *, m + radians(1.915::double * sin(g) + 0.020::double * sin(2 * g)) as l from y),
+q as (select *, asin(sin(e) * sin(l)) as d, radians(280.46061837::double + 360.98564736629::double * n + 13.4::double) - atan2(cos(e) * sin(l), cos(l)) as h from z)
+select event_id, round(degrees(acos(greatest(-1, least(1, sin(lat) * sin(d) + cos(lat) * cos(d) * cos(h))))), 4) as zenith,
+  round(degrees(atan2(sin(h), cos(h) * sin(lat) - tan(d) * cos(lat))) + 180, 4) as azimuth from q"""
+)
 def q_solar_position(t: Tables):
-    e = t("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.lit(52.5).alias("lat"), F.lit(13.4).alias("lon"))
-    p = e.select("event_id", solar.position("ts", "lat", "lon").alias("s"))
+    e = t("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    p = e.select("event_id", solar.position("ts", F.lit(52.5), F.lit(13.4)).alias("s"))
     return p.select("event_id", r6("s.zenith", 4).alias("zenith"), r6("s.azimuth", 4).alias("azimuth"))
 
 
+@query(
+    """with x as (select event_id, 90 - event_id % 100::double as e, 100 * power((44331.514::double - event_id % 3000) / 11880.516::double, 1 / 0.1902632::double) as p, event_id % 35::double as t from events)
+select event_id, round(p, 3) as pressure, round(case when e > -0.83337::double then e + p / 101000.0::double * (283.0::double / (273.0::double + t)) * 1.02::double / (60 * tan(radians(e + 10.3::double / (e + 5.11::double)))) else e end, 6) as elevation from x"""
+)
+def q_apparent_elevation(t: Tables):
+    i = F.col("event_id")
+    p = solar.pressure_at(i % 3000)
+    return t("events").select(i, r6(p, 3).alias("pressure"), r6(solar.apparent_elevation((i % 100).cast("double"), p, (i % 35).cast("double"))).alias("elevation"))
+
+
+@query("select event_id, round((value * 1000) / nullif(0.5::double * 1.2::double * (40.0::double * 3) * power(value / 10, 3), 0), 6) as cp from events")
+def q_park_coefficient(t: Tables):
+    return t("events").select("event_id", r6(wind.park_coefficient("value", F.lit(1.2), F.lit(120.0), F.col("value") / 10)).alias("cp"))
+
+
 @query()
 def q_spline_curve(t: Tables):
     points = {"s1": ([0.0, 3.0, 6.0, 9.0, 12.0, 15.0, 25.0], [0.0, 2e4, 3.2e5, 1.1e6, 1.9e6, 2e6, 2e6])}
@@ -242,7 +264,7 @@ def q_wind_plan(t: Tables):
 
     i = F.col("event_id")
     w = _weather(t).select("station_id", "timestamp", F.when(i % 7 != 0, F.col("v")).alias("wind_speed"), F.col("t").alias("temperature_2m"), F.when(i % 5 != 0, F.col("rh")).alias("relative_humidity"), (F.col("sigma") + 0.1).alias("std_v_wind"), F.col("p").alias("pressure"), F.col("dir").alias("wind_direction"))
-    vertical = _weather(t).filter(i % 2 == 0).select("station_id", "timestamp", F.col("w").alias("w_vert"))
+    vertical = _weather(t).select("station_id", "timestamp", F.when(i % 2 == 0, F.col("w")).alias("w_vert"))
     dim, curve = _turbines(t)
     park = dim.select(F.expr("int(substring(turbine, 2))").alias("turbine_no"), "turbine", F.col("hub").alias("hub_height"), F.lit(None).cast("double").alias("rated_kw"))
     weather = prepare(w, vertical, WEATHER)
@@ -257,7 +279,8 @@ def q_pv_plan(t: Tables):
     from gustframe.plans.pv import prepare, simulate
 
     i = F.col("event_id")
-    w = _weather(t).join(t("events").select("event_id", "value"), "event_id").select("station_id", "timestamp", (F.col("value") / 2).alias("ghi"), F.when(i % 6 != 0, F.col("value") / 5).alias("dhi"), F.col("t").alias("temperature_2m"), F.col("v").alias("wind_speed"), F.col("rh").alias("precipitation_rate"), F.col("sigma").alias("precipitation_duration"))
-    sites = w.select("station_id").distinct().withColumns({"latitude": F.lit(52.5), "longitude": F.lit(13.4)})
+    value = F.col("v") * 25
+    w = _weather(t).select("station_id", "timestamp", (value / 2).alias("ghi"), F.when(i % 6 != 0, value / 5).alias("dhi"), F.col("t").alias("temperature_2m"), F.col("v").alias("wind_speed"), F.col("rh").alias("precipitation_rate"), F.col("sigma").alias("precipitation_duration"))
+    sites = t("events").select(F.col("user_id").alias("station_id")).distinct().withColumns({"latitude": F.lit(52.5), "longitude": F.lit(13.4)})
     out = simulate(prepare(w), sites, PvParams(planes=((35.0, 180.0), (10.0, 90.0))), commissioned=F.lit("2020-03-01").cast("timestamp"))
     return out.groupBy("station_id", "tilt", "azimuth").agg(F.count(F.lit(1)).alias("hours"), r6(F.sum("power") / 1e3, 2).alias("energy_kwh"))

@@ -167,11 +167,12 @@ def q_cross_grid(t: Tables):
 
 
 @query(
-    """with d as (select distinct user_id, event_type as k from events where event_id % 3 = 0), s as (select user_id, count(*) as n from d group by 1)
-select a.k as a, b.k as b, count(*)::bigint as n from d a join d b using (user_id) join s using (user_id) where a.k <> b.k or s.n = 1 group by 1, 2"""
+    """with d as (select distinct user_id || ':' || strftime(ts, '%Y-%m-%d') as g, event_type as k from events), s as (select g, count(*) as n from d group by 1)
+select a.k as a, b.k as b, count(*)::bigint as n from d a join d b using (g) join s using (g) where a.k <> b.k or s.n = 1 group by 1, 2"""
 )
 def q_pair_matrix(t: Tables):
-    return relational.pair_counts(t.stations().filter("event_id % 3 = 0"), "station_id", "event_type")
+    daily = t.stations().select(F.concat_ws(":", F.col("station_id").cast("string"), F.date_format("timestamp", "yyyy-MM-dd")).alias("g"), "event_type")
+    return relational.pair_counts(daily, "g", "event_type")
 
 
 @query(f"with f as ({HOLES}) select station_id, round(avg((v is null)::int), 6) as share from f group by 1")
@@ -184,9 +185,10 @@ def q_threshold_filter(t: Tables):
     return quality.complete_enough(t.stations(holes=7), "station_id", ["v"], 0.14).select("event_id")
 
 
-@query(f"with f as ({HOLES}), e as (select station_id, event_type, v from f where event_id % 4 < 2) select station_id from e group by 1 having count(v) > 0")
+@query("select user_id as station_id from events group by 1 having count(case when value > 120 then value end) > 0 and count(case when value < 2 then value end) > 0")
 def q_never_empty(t: Tables):
-    return quality.never_empty(t.stations(holes=7).filter("event_id % 4 < 2"), "station_id", ["v"])
+    f = t.stations().select("station_id", F.when(F.col("v") > 120, F.col("v")).alias("high"), F.when(F.col("v") < 2, F.col("v")).alias("low"))
+    return quality.never_empty(f, "station_id", ["high", "low"])
 
 
 @query(
@@ -220,13 +222,13 @@ _KINDS = ["click", "error", "purchase", "signup", "view"]
 
 
 @query(
-    """with e as (select user_id as station_id, event_type from events where event_id % 9 = 0)
-select station_id from e group by 1 having count(distinct event_type) = 3 and bool_and(event_type in (select event_type from (select distinct event_type from events order by 1 limit 3)))"""
+    """with e as (select user_id || ':' || strftime(ts, '%Y-%m-%d') as g, event_type from events)
+select g from e group by 1 having count(distinct event_type) = 3 and bool_and(event_type in ('click', 'purchase', 'view'))"""
 )
 def q_division(t: Tables):
-    e = t.stations().filter("event_id % 9 = 0")
-    three = [r[0] for r in t("events").select("event_type").distinct().orderBy("event_type").limit(3).collect()]
-    return relational.divide(e, "station_id", "event_type", three)
+    """The days of users that hold exactly three kinds of events."""
+    e = t.stations().select(F.concat_ws(":", F.col("station_id").cast("string"), F.date_format("timestamp", "yyyy-MM-dd")).alias("g"), "event_type")
+    return relational.divide(e, "g", "event_type", ["click", "purchase", "view"])
 
 
 @query("select user_id, count(*) filter (where l = 1)::bigint as low, count(*) filter (where l = 2)::bigint as mid, count(*) filter (where l = 3)::bigint as high from (select user_id, case when value < 20 then 1 when value < 80 then 2 else 3 end as l from events) group by 1")
@@ -544,14 +546,14 @@ def q_daily_nulls(t: Tables):
 
 
 @query(
-    """with k as (select row_number() over (order by event_type) as n, event_type from (select distinct event_type from events)),
-l as (select user_id, n, arg_max('p' || event_id::varchar, event_id) as p from events join k using (event_type) where event_id % 11 = 0 and n <= 3 group by 1, 2)
-select user_id, array_to_string(list(p order by n), '|') as paths from l group by 1"""
+    """with l as (select user_id, strftime(ts, '%Y-%m-%d') as day, event_type, arg_max('p' || event_id::varchar, event_id) as p from events where event_type in ('click', 'error', 'view') group by 1, 2, 3)
+select user_id || ':' || day as g, array_to_string(list(p order by event_type), '|') as paths from l group by 1"""
 )
 def q_path_matrix(t: Tables):
-    kinds = [r[0] for r in t("events").select("event_type").distinct().orderBy("event_type").limit(3).collect()]
-    e = t("events").filter((F.col("event_id") % 11 == 0) & F.col("event_type").isin(*kinds)).withColumn("path", F.concat(F.lit("p"), F.col("event_id").cast("string")))
-    return relational.path_matrix(e, "user_id", "event_type", "path", "event_id", kinds).select("user_id", F.array_join("paths", "|").alias("paths"))
+    e = t("events").withColumn("path", F.concat(F.lit("p"), F.col("event_id").cast("string"))).withColumn("g", F.concat_ws(":", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")))
+    three = ["click", "error", "view"]
+    found = relational.path_matrix(e.filter(F.col("event_type").isin(*three)), "g", "event_type", "path", "event_id", three)
+    return found.select("g", F.array_join("paths", "|").alias("paths"))
 
 
 @query("select l_orderkey, round(sum(l_extendedprice) / 1e9, 9) as gwh from lineitem where l_shipdate >= timestamp '1996-01-01' and l_shipdate < timestamp '1997-01-01' group by 1")
@@ -580,3 +582,49 @@ def q_collect_list(t: Tables):
 @query(f"select distinct station_id from ({FEED})")
 def q_distinct_ids(t: Tables):
     return t.stations().select("station_id").distinct()
+
+
+@query("select n_nationkey, list_sort(list_distinct(list_concat(['wind', 'air', r_name], ['air', n_name, 'wind']))) as both_lists from nation join region on n_regionkey = r_regionkey")
+def q_union_lists(t: Tables):
+    """Two lists of variables as one, each entry once."""
+    j = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.select("n_nationkey", F.array_sort(F.array_union(F.array(F.lit("wind"), F.lit("air"), "r_name"), F.array(F.lit("air"), "n_name", F.lit("wind")))).alias("both_lists"))
+
+
+@query(
+    """select event_id, epoch_us(((ts at time zone 'Europe/Berlin') at time zone 'UTC')) // 1000000 as utc, epoch_us(((ts at time zone 'UTC') at time zone 'Europe/Berlin')) // 1000000 as berlin,
+epoch_us(strptime(strftime(ts, '%Y%m%d%H%M'), '%Y%m%d%H%M')) // 1000000 as stamp from events"""
+)
+def q_zones(t: Tables):
+    """A wall clock's stamps as moments and back, and stamps by pattern."""
+    from gustframe.functions.times import in_utc, local_time, stamp
+
+    ts = F.col("ts").cast("timestamp")
+    return t("events").select("event_id", epoch(in_utc(ts, "Europe/Berlin")).alias("utc"), epoch(local_time(ts, "Europe/Berlin")).alias("berlin"), epoch(stamp(F.date_format(ts, "yyyyMMddHHmm"))).alias("stamp"))
+
+
+@query("select event_id, strftime(make_timestamp((epoch_us(ts) - floor((event_id % 300) / 10.0::double * 365.25::double * 86400000000)::bigint)::bigint), '%Y-%m-%d') as since, (value * 1000)::bigint::varchar as whole from events where true")
+def q_commissioned(t: Tables):
+    from gustframe.functions.times import commissioned
+
+    return t("events").select("event_id", commissioned(F.col("ts").cast("timestamp"), F.col("event_id") % 300 / 10.0).cast("string").alias("since"), text.integral(F.rint(F.col("value") * 1000)).alias("whole"))
+
+
+@query("select count(*)::bigint as part, (select count(*) from orders)::bigint as whole from (select o_orderkey from orders limit 100)")
+def q_sample_and_rest(t: Tables):
+    """A sample and its complement are together the table, each row once."""
+    o = t("orders").select("o_orderkey")
+    part = sampling.sample(o, "o_orderkey", 100, seed=3)
+    rest = sampling.complement(o, part, "o_orderkey")
+    both = part.withColumn("part", F.lit(1)).unionByName(rest.withColumn("part", F.lit(0))).groupBy("o_orderkey").agg(F.sum("part").alias("part"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    return both.agg(F.sum("part").alias("part"), F.count(F.lit(1)).alias("whole"))
+
+
+@query(
+    """with m as (select sum(1.0::double) as n, sum(l_quantity) as sx, sum(l_quantity * l_quantity) as sxx, sum(l_extendedprice) as sy, sum(l_quantity * l_extendedprice) as sxy from lineitem)
+select 1::bigint as power, round((n * sxy - sx * sy) / (n * sxx - sx * sx), 3) as coefficient from m union all select 0, round((sxx * sy - sx * sxy) / (n * sxx - sx * sx), 3) from m"""
+)
+def q_polyfit(t: Tables):
+    """A straight line by the same moments as a cubic."""
+    found = stats.polyfit(t("lineitem"), "l_quantity", "l_extendedprice", 1)
+    return t.spark.createDataFrame([(1 - i, float(c)) for i, c in enumerate(found)], "power long, c double").select("power", r6("c", 3).alias("coefficient"))

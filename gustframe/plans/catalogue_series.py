@@ -46,13 +46,14 @@ def q_resample_30min(t: Tables):
     return resample(f, "station_id", "timestamp", {"v": "mean", "top": "max"}, 1800).select("station_id", epoch("timestamp").alias("t"), r6("v").alias("v"), "top")
 
 
-_SIDES = f"with f as ({FEED}), l as (select * from f where event_id % 3 = 0), r as (select station_id, ts, case when event_id % 5 <> 0 then v end as w from f where event_id % 3 = 1)"
+# Both sides are all events: the right ones happen ten minutes later, or earlier for odd users, and every fifth has no value.
+_SIDES = f"""with l as ({FEED}), r as (select station_id, ts + case when station_id % 2 = 0 then interval '10 minutes' else interval '-10 minutes' end as ts, case when event_id % 5 <> 0 then v end as w, v as pm from l)"""
 
 
 def _sides(t: Tables):
     f = t.stations()
-    right = f.filter("event_id % 3 = 1").select("station_id", "timestamp", F.when(F.col("event_id") % 5 != 0, F.col("v")).alias("w_vert"))
-    return f.filter("event_id % 3 = 0"), right
+    later = F.timestamp_micros(F.unix_micros("timestamp") + F.when(F.col("station_id") % 2 == 0, 600_000_000).otherwise(-600_000_000))
+    return f, f.select("station_id", later.alias("timestamp"), F.when(F.col("event_id") % 5 != 0, F.col("v")).alias("w_vert"), F.col("v").alias("pm"))
 
 
 @query(_SIDES + " select event_id, l.station_id, v, w as w_vert from l asof left join r on l.station_id = r.station_id and l.ts >= r.ts")
@@ -68,15 +69,16 @@ def q_asof_range_clip(t: Tables):
 
 
 @query(
-    f"""with f as ({FEED}), l as (select * from f where event_id % 3 = 0), r0 as (select *, (epoch_us(ts) - min(epoch_us(ts)) over (partition by station_id)) // 3600000000 as bin, min(epoch_us(ts)) over (partition by station_id) as s from f where event_id % 3 = 1),
-g as (select station_id, s, bin, avg(v) as pm from r0 group by all), m as (select station_id, s, max(bin) as n from r0 group by all), sp as (select station_id, s, unnest(range(0, n + 1)) as bin from m),
-r as (select station_id, make_timestamp((s + bin * 3600000000)::bigint) as ts, pm from sp left join g using (station_id, s, bin))
-select event_id, round(pm, 6) as pm from l asof left join r on l.station_id = r.station_id and l.ts >= r.ts"""
+    _SIDES
+    + """, r0 as (select *, (epoch_us(ts) - min(epoch_us(ts)) over (partition by station_id)) // 3600000000 as bin, min(epoch_us(ts)) over (partition by station_id) as s from r),
+g as (select station_id, s, bin, avg(pm) as pm from r0 group by all), m as (select station_id, s, max(bin) as n from r0 group by all), sp as (select station_id, s, unnest(range(0, n + 1)) as bin from m),
+h as (select station_id, make_timestamp((s + bin * 3600000000)::bigint) as ts, pm from sp left join g using (station_id, s, bin))
+select event_id, round(pm, 6) as pm from l asof left join h on l.station_id = h.station_id and l.ts >= h.ts"""
 )
 def q_asof_resampled(t: Tables):
-    f = t.stations()
-    right = resample(f.filter("event_id % 3 = 1").withColumnRenamed("v", "pm"), "station_id", "timestamp", {"pm": "mean"})
-    return asof_backward(f.filter("event_id % 3 = 0"), right, "station_id", "timestamp", ["pm"]).select("event_id", r6("pm").alias("pm"))
+    left, right = _sides(t)
+    hourly = resample(right.select("station_id", "timestamp", "pm"), "station_id", "timestamp", {"pm": "mean"})
+    return asof_backward(left, hourly, "station_id", "timestamp", ["pm"]).select("event_id", r6("pm").alias("pm"))
 
 
 @query(f"with f as ({FEED}) select event_id, v / case when max(v) over (partition by station_id) > 400 then 100.0::double else 1.0::double end as v from f")
@@ -98,7 +100,7 @@ def q_ageing(t: Tables):
 
 @query(
     f"""with recursive f as ({FEED}), r as (select station_id, row_number() over (partition by station_id order by ts) as i, v, case when v > 60 then 1 else 0 end as rain, event_id % 11 as mins from f),
-w(station_id, i, dust) as (select distinct station_id, 0::bigint, 4.0::double from r union all
+w(station_id, i, dust) as (select station_id, i, 4.0::double from r where i = 1 union all
   select r.station_id, r.i, case when rain >= 1 then dust * (1 - 0.8::double * mins / 10) else dust + v / 1000 end from w join r on r.station_id = w.station_id and r.i = w.i + 1)
 select station_id, round(arg_max(dust, i), 6) as dust from w group by 1"""
 )
@@ -109,9 +111,9 @@ def q_soiling(t: Tables):
 
 @query(
     f"""with recursive f as ({FEED}), r as (select station_id, event_id, row_number() over (partition by station_id order by ts) as i, v, case when v > 60 then 1 else 0 end as rain, event_id % 11 as mins from f),
-w(station_id, i, event_id, dust) as (select distinct station_id, 0::bigint, null::bigint, 4.0::double from r union all
+w(station_id, i, event_id, dust) as (select station_id, i, event_id, 4.0::double from r where i = 1 union all
   select r.station_id, r.i, r.event_id, case when rain >= 1 then dust * (1 - 0.8::double * mins / 10) else dust + v / 1000 end from w join r on r.station_id = w.station_id and r.i = w.i + 1)
-select event_id, round(dust, 6) as dust from w where i > 0"""
+select event_id, round(dust, 6) as dust from w"""
 )
 def q_soiling_rows(t: Tables):
     f = t.stations().select("event_id", "station_id", "timestamp", F.when(F.col("v") > 60, 1.0).otherwise(0.0).alias("rain"), (F.col("event_id") % 11).cast("double").alias("mins"), (F.col("v") / 1000).alias("settled"))
@@ -250,14 +252,14 @@ def q_valid_stations(t: Tables):
 
 
 @query(
-    f"""with f as ({FEED}), e as (select distinct station_id, ts, v from f where event_id % 2 = 0), w as (select distinct station_id, ts, v * 2 as u from f where event_id % 3 = 0)
-select station_id, epoch_us(ts) // 1000000 as t, v as wind_speed, u as temperature from e join w using (station_id, ts) where ts >= timestamp '2024-01-05'"""
+    f"""with f as ({FEED}) select station_id, epoch_us(ts) // 1000000 as t, max(v) as wind_speed, max(case when event_id % 3 <> 0 then v * 2 end) as temperature from f where ts >= timestamp '2024-01-05' group by station_id, ts"""
 )
 def q_variable_frames(t: Tables):
+    """Two variables of all events, side by side: one row for each station and stamp."""
     from gustframe.plans.ingest import frames
 
     f = t.stations()
-    a = f.filter("event_id % 2 = 0").select("station_id", "timestamp", F.col("v").alias("FF_10"))
-    b = f.filter("event_id % 3 = 0").select("station_id", "timestamp", (F.col("v") * 2).alias("TT_10"))
+    a = f.select("station_id", "timestamp", F.col("v").alias("FF_10"))
+    b = f.select("station_id", "timestamp", F.when(F.col("event_id") % 3 != 0, F.col("v") * 2).alias("TT_10"))
     out = frames([a, b], {"FF_10": "wind_speed", "TT_10": "temperature"}, first="2024-01-05")
     return out.select("station_id", epoch("timestamp").alias("t"), "wind_speed", "temperature")

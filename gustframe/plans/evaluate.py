@@ -17,7 +17,7 @@ def aligned(synthetic: DataFrame, measured: DataFrame, by: str, ts: str, seconds
 
 def scores(df: DataFrame, by: str, capacity: DataFrame) -> DataFrame:
     """R2, MAE over capacity, bias and energies of rows that have both values."""
-    both = df.na.drop(subset=["synthetic", "real"]).join(F.broadcast(capacity), by)
+    both = df.na.drop(subset=["synthetic", "real"]).join(capacity, by)
     return both.groupBy(by).agg(
         r2("real", "synthetic").alias("r2"),
         mae("real", "synthetic", F.first("capacity")).alias("mae"),

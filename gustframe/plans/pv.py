@@ -9,9 +9,9 @@ from gustframe.config import PvParams
 from gustframe.functions import solar
 from gustframe.operators.asof import asof_backward, clip_to_range
 from gustframe.operators.impute import impute
-from gustframe.operators.quality import complete_enough, never_empty
+from gustframe.operators.quality import complete_enough
 from gustframe.operators.relational import with_grid
-from gustframe.operators.sequences import ageing, dust
+from gustframe.operators.sequences import ageing, ageing_from, dust
 from gustframe.operators.timegrid import resample
 
 WEATHER = ["ghi", "dhi", "temperature_2m", "wind_speed", "precipitation_rate", "precipitation_duration"]
@@ -19,8 +19,7 @@ WEATHER = ["ghi", "dhi", "temperature_2m", "wind_speed", "precipitation_rate", "
 
 def prepare(stations: DataFrame, aerosol: DataFrame | None = None, threshold: float = 1.0, hourly: bool = True, by: str = "station_id", ts: str = "timestamp") -> DataFrame:
     """Series with something in every column, imputed, hourly (rates are summed, durations averaged), with the last aerosol, imputed again."""
-    df = stations.join(never_empty(stations, by, WEATHER), by, "left_semi")
-    df = impute(complete_enough(df, by, WEATHER, threshold), by, ts, WEATHER)
+    df = impute(complete_enough(stations, by, WEATHER, threshold, never_empty=True), by, ts, WEATHER)
     if hourly:
         df = resample(df, by, ts, {c: "sum" if c == "precipitation_rate" else "mean" for c in WEATHER})
     if aerosol is not None:
@@ -30,19 +29,21 @@ def prepare(stations: DataFrame, aerosol: DataFrame | None = None, threshold: fl
     return df
 
 
-def simulate(weather: DataFrame, sites: DataFrame, params: PvParams, by: str = "station_id", ts: str = "timestamp", commissioned: Column | None = None, compat: bool = False) -> DataFrame:
+def simulate(weather: DataFrame, sites: DataFrame, params: PvParams, by: str = "station_id", ts: str = "timestamp", commissioned: Column | None = None, compat: bool = False, start_age: Column | None = None) -> DataFrame:
     """(by, ts, tilt, azimuth, direct, diffuse, power) for every row and plane.
 
-    sites: (by, latitude, longitude), small. What doesn't depend on the plane is computed before the planes multiply the rows.
+    sites: (by, latitude, longitude). start_age: years at the first stamp (drawn_age(), real_age()), where no date is known. What doesn't depend on the plane is computed before the planes multiply the rows.
     compat: dust takes what it should leave.
     """
     spark = weather.sparkSession
-    df = weather.join(F.broadcast(sites), by)
+    df = weather.join(sites, by)
     df = df.withColumn("sun", solar.position(F.col(ts), "latitude", "longitude")).withColumns({"solar_zenith": F.col("sun.zenith"), "solar_azimuth": F.col("sun.azimuth")}).drop("sun")
     df = df.withColumns({"ghi": solar.watts("ghi"), "dhi": solar.watts("dhi")})
     df = df.withColumns({"dni": solar.direct_normal("ghi", "dhi", "solar_zenith"), "extra": solar.extraterrestrial(ts)})
     if commissioned is not None:
         df = ageing(df, by, ts, commissioned, params.annual_degradation)
+    elif start_age is not None:
+        df = ageing_from(df, by, ts, start_age, params.annual_degradation)
     else:
         df = df.withColumn("degradation", F.lit(1.0))
     planes = spark.createDataFrame(list(params.planes), "tilt double, azimuth double")

@@ -17,7 +17,7 @@ from gustframe.operators.curves import interpolated
 from gustframe.operators.impute import impute
 from gustframe.operators.quality import complete_enough
 from gustframe.operators.relational import with_grid
-from gustframe.operators.sequences import ageing
+from gustframe.operators.sequences import ageing, ageing_from
 from gustframe.operators.timegrid import resample
 
 WEATHER = ["wind_speed", "temperature_2m", "relative_humidity", "std_v_wind", "pressure", "wind_direction"]
@@ -77,11 +77,12 @@ def exponent(site: Site) -> Column:
     return F.lit(wind.SEVENTH)
 
 
-def simulate(weather: DataFrame, park: DataFrame, specs: DataFrame, curves: DataFrame, site: Site = Site(), by: str = "station_id", ts: str = "timestamp", commissioned: Column | None = None, hub_speeds: DataFrame | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
+def simulate(weather: DataFrame, park: DataFrame, specs: DataFrame, curves: DataFrame, site: Site = Site(), by: str = "station_id", ts: str = "timestamp", commissioned: Column | None = None, hub_speeds: DataFrame | None = None, first: str | None = None, last: str | None = None, start_age: Column | None = None) -> DataFrame:
     """(weather columns, turbine_no, wind_speed_hub, temperature_hub, density_hub, cp, power) for every row and turbine.
 
     park: (turbine_no, turbine, hub_height, rated_kw), specs and curves: the long catalogue with next_w; all small dimensions.
-    hub_speeds: (by, ts, turbine_no, wind_speed_hub) from elsewhere instead of extrapolation. commissioned: dates for ageing.
+    hub_speeds: (by, ts, turbine_no, wind_speed_hub) from elsewhere instead of extrapolation. commissioned: dates for ageing; start_age: years at the first stamp
+    (drawn_age(), real_age()), where no date is known.
     What doesn't depend on the turbine is computed before the rows are multiplied; the curve is met by a broadcast join on a whole
     number. Ages count from each series' own first row, so the slice to [first, last] comes after.
     """
@@ -91,6 +92,8 @@ def simulate(weather: DataFrame, park: DataFrame, specs: DataFrame, curves: Data
     df = df.withColumn("saturated_vapor_pressure", vap).withColumn("density", air.moist_density(F.col("pressure") * 100, "temperature_2m", air.humidity_scale("relative_humidity", over), "saturated_vapor_pressure"))
     if commissioned is not None:
         df = ageing(df, by, ts, commissioned, site.rate)
+    elif start_age is not None:
+        df = ageing_from(df, by, ts, start_age, site.rate)
     else:
         df = df.withColumn("degradation", F.lit(1.0))
     if first or last:

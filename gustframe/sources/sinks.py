@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,14 @@ def merge_into(spark: SparkSession, name: str, new: DataFrame, keys: list[str],
     spark.read.schema(old.schema).parquet(staging).write.mode("overwrite").insertInto(name)
 
 
+def resumed(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path; made and written first where it isn't there yet, or a run that wrote it was cut off (no _SUCCESS)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def single_precision(df: DataFrame, columns: list[str]) -> DataFrame:
     """What a REAL column would give back."""
     return df.withColumns({c: F.col(c).cast("float").cast("double") for c in columns})
