@@ -7,11 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def asof_backward(left: DataFrame, right: DataFrame, by: str, ts: str, payload: list[str], prefer: str | None = None) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, by: str, ts: str, payload: list[str], prefer: str | None = None, clip: bool = False) -> DataFrame:
     """Each left row with the payload of the last right row of its series at or before its time.
 
     Nulls in the matched row stay null. Of right rows with one time, the one with the largest `prefer` counts (the latest
-    forecast); without it, the largest payload. Left rows before the first right row have nulls; all left rows are kept.
+    forecast); without it, the largest payload. Left rows before the first right row have nulls; all left rows are kept, or, with
+    clip, those from the first to the last right row, as clip_to_range() leaves them, in the same pass.
     """
     own = left.columns
     tie = F.col(prefer) if prefer else F.lit(None).cast("long")
@@ -20,7 +21,14 @@ def asof_backward(left: DataFrame, right: DataFrame, by: str, ts: str, payload:
     r_rows = right.filter(F.col(ts).isNotNull()).select(F.col(by).alias("__by"), F.col(ts).alias("__ts"), F.lit(0).alias("__side"), tie.alias("__tie"), F.lit(None).cast(left.select(F.struct(*own).alias("r")).schema["r"].dataType).alias("__row"), pack.alias("__pack"))
     order = W.partitionBy("__by").orderBy("__ts", "__side", F.col("__tie").asc_nulls_first(), F.col("__pack").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
     both = l_rows.unionByName(r_rows).withColumn("__found", F.last("__pack", ignorenulls=True).over(order))
-    return both.filter("__side = 1").select("__row.*", *[F.col(f"__found.{c}").alias(c) for c in payload])
+    keep = F.col("__side") == 1
+    if clip:
+        stamp, whole = F.when(F.col("__side") == 0, F.col("__ts")), W.partitionBy("__by")
+        both = both.withColumns({"__lo": F.min(stamp).over(whole), "__hi": F.max(stamp).over(whole)})
+        keep = keep & F.col("__ts").between(F.col("__lo"), F.col("__hi"))
+    # The key comes from the column that the rows are dealt by, so that what follows by this key needs no exchange.
+    columns = [F.col("__by").alias(c) if c == by else F.col(f"__row.`{c}`").alias(c) for c in own]
+    return both.filter(keep).select(*columns, *[F.col(f"__found.{c}").alias(c) for c in payload])
 
 
 def tie_null(tie, right: DataFrame, prefer: str | None):

@@ -67,7 +67,7 @@ def interpolated(df: DataFrame, curves: DataFrame, speed: Column | str, turbine:
     instead of a curve for every row. A null speed gives null."""
     v = equivalent_speed(speed, degradation) * 100
     last = curves.groupBy(turbine).agg(F.max("ws_c").alias("__last"), F.min("ws_c").alias("__low"))
-    dim = curves.join(last, turbine).select(F.col(turbine).alias("__t"), F.col("ws_c").alias("__k"), F.col("power_w").alias("__p"), F.col("next_w").alias("__q"))
+    dim = curves.select(F.col(turbine).alias("__t"), F.col("ws_c").alias("__k"), F.col("power_w").alias("__p"), F.col("next_w").alias("__q"))
     # A catalogue of four hundred turbines has a million ticks: sent if it is no larger, else joined by a shuffle.
     ends, dim = sent_if_small(last.withColumnRenamed(turbine, "__e")), sent_if_small(dim, CATALOGUE_TICKS)
     own = df.withColumn("__v", v).join(ends, F.col(turbine) == F.col("__e"), "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gustframe.functions.nulls import col, div
@@ -43,9 +44,59 @@ def moments(df: DataFrame, x: str, y: str, degree: int = 3) -> DataFrame:
     return df.agg(*[v.alias(n) for v, n in zip(values, names, strict=True)])
 
 
+#: Values of a group that are ranked as they are; brackets narrow larger ones down, by so much on either side of a quantile.
+RANKED, MARGIN, ACCURACY = 100_000, 0.005, 2_000
+
+
+def quantiles(df: DataFrame, by: list[str], column: str, at: list[float], ranked: int = RANKED) -> DataFrame:
+    """(by, n, q: array) of exact quantiles with linear interpolation, in memory that doesn't grow with the groups.
+
+    Sketches bracket each quantile, wide enough for their error; values below a bracket are counted, those inside are ranked. Where
+    more than `ranked` values are inside, they are bracketed again: each round leaves about a hundredth."""
+    x, names, by = F.col(column).cast("double"), by, [f"__g{j}" for j in range(len(by))]
+    rows = df.select(*[F.col(c).alias(g) for c, g in zip(names, by, strict=True)], x.alias("x")).filter("x is not null and not isnan(x)")
+    whole = rows.groupBy(*by).agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    ranks = [F.struct(F.lit(i).alias("i"), (F.lit(q) * (F.col("n") - 1)).alias("rank")) for i, q in enumerate(at)]
+    brackets = whole.select(*by, "n", "lo", "hi", F.inline(F.array(*ranks))).withColumn("below", F.lit(0).cast("long")).withColumn("inside", F.col("n"))
+
+    def within(b: DataFrame) -> DataFrame:
+        """The values inside each bracket: (by, i, x and the bracket)."""
+        met = rows.join(b, by) if by else rows.crossJoin(F.broadcast(b))  # a row for each quantile
+        return met.filter(F.col("x").between(F.col("lo"), F.col("hi")))
+
+    keys = [*by, "i"]
+    while (brackets.agg(F.max("inside")).first()[0] or 0) > ranked:
+        place = (F.first("rank") - F.first("below")) / F.first("inside")
+        cuts = F.percentile_approx("x", [k / 1000 for k in range(1001)], ACCURACY * 5)
+        inner = within(brackets).groupBy(*keys).agg(cuts.alias("c"), place.alias("p"), *[F.first(c).alias(c) for c in ("n", "rank", "below", "inside", "lo", "hi")])
+        room = MARGIN + 2 / F.col("inside")
+        left = F.greatest(F.floor((F.col("p") - room) * 1000), F.lit(0)).cast("int")
+        right = F.least(F.ceil((F.col("p") + room) * 1000), F.lit(1000)).cast("int")
+        # The sketch's ends are no values' ends, so the bracket's own stay there.
+        narrow = inner.select(*by, "i", "n", "rank", "below", F.col("inside").alias("was"), F.when(left > 0, F.col("c")[left]).otherwise(F.col("lo")).alias("lo"), F.when(right < 1000, F.col("c")[right]).otherwise(F.col("hi")).alias("hi"))
+        met = rows.join(narrow, by) if by else rows.crossJoin(F.broadcast(narrow))
+        again = met.groupBy(*keys).agg(F.count_if(F.col("x") < F.col("lo")).alias("below"), F.count_if(F.col("x").between(F.col("lo"), F.col("hi"))).alias("inside"), *[F.first(c).alias(c) for c in ("n", "rank", "lo", "hi", "was")])
+        if not again.filter("inside < was").limit(1).count():
+            break  # one value over and over: nothing to narrow
+        brackets = again.drop("was")
+    # Equal values count once, with the places they take.
+    seen = within(brackets).groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("k"), F.first("rank").alias("rank"), F.first("below").alias("below"), F.first("n").alias("n"))
+    end = F.first("below").over(W.partitionBy(*keys)) + F.sum("k").over(W.partitionBy(*keys).orderBy("x").rowsBetween(W.unboundedPreceding, 0))
+    placed = seen.withColumn("end", end)
+
+    def at_place(r: Column) -> Column:
+        return F.min(F.when(F.col("end") > r, F.col("x")))
+
+    floor, ceil = F.floor("rank"), F.ceil("rank")
+    found = placed.groupBy(*keys).agg(at_place(floor).alias("a"), at_place(ceil).alias("b"), F.first("rank").alias("rank"), F.first("n").alias("n"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))
+    out = found.groupBy(*by).agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))), lambda s: s["v"]).alias("q"))
+    return out.withColumnsRenamed(dict(zip(by, names, strict=True)))
+
+
 def trim(df: DataFrame, column: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Rows strictly between two quantiles (linear interpolation)."""
-    q = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("__q"))
+    q = quantiles(df, [], column, [low, high]).select(F.col("q").alias("__q"))  # one row
     return df.crossJoin(F.broadcast(q)).filter((F.col(column) > F.col("__q")[0]) & (F.col(column) < F.col("__q")[1])).drop("__q")
 
 
@@ -88,7 +139,7 @@ def kl_divergence(df: DataFrame, p: str, q: str, bins: int = 50, epsilon: float
 
 def box_stats(df: DataFrame, by: list[str], column: str) -> DataFrame:
     """Quartiles, and whiskers at the last values within 1.5 interquartile ranges."""
-    q = df.groupBy(*by).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count(column).alias("n"))
+    q = quantiles(df, by, column, [0.25, 0.5, 0.75])
     q = q.select(*by, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(column).between(F.col("q1") - reach, F.col("q3") + reach)

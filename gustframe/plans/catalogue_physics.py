@@ -281,6 +281,6 @@ def q_pv_plan(t: Tables):
     i = F.col("event_id")
     value = F.col("v") * 25
     w = _weather(t).select("station_id", "timestamp", (value / 2).alias("ghi"), F.when(i % 6 != 0, value / 5).alias("dhi"), F.col("t").alias("temperature_2m"), F.col("v").alias("wind_speed"), F.col("rh").alias("precipitation_rate"), F.col("sigma").alias("precipitation_duration"))
-    sites = t("events").select(F.col("user_id").alias("station_id")).distinct().withColumns({"latitude": F.lit(52.5), "longitude": F.lit(13.4)})
+    sites = t("customer").select(F.col("c_custkey").alias("station_id"), (47 + F.col("c_nationkey") / 3).alias("latitude"), (6 + F.col("c_nationkey") / 4).alias("longitude"))
     out = simulate(prepare(w), sites, PvParams(planes=((35.0, 180.0), (10.0, 90.0))), commissioned=F.lit("2020-03-01").cast("timestamp"))
     return out.groupBy("station_id", "tilt", "azimuth").agg(F.count(F.lit(1)).alias("hours"), r6(F.sum("power") / 1e3, 2).alias("energy_kwh"))

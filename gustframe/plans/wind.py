@@ -12,11 +12,11 @@ from gustframe.functions import atmosphere as air
 from gustframe.functions import wind
 from gustframe.functions.nulls import round_even
 from gustframe.functions.times import in_days
-from gustframe.operators.asof import asof_backward, clip_to_range
+from gustframe.operators.asof import asof_backward
 from gustframe.operators.curves import interpolated
 from gustframe.operators.impute import impute
 from gustframe.operators.quality import complete_enough
-from gustframe.operators.relational import with_grid
+from gustframe.operators.relational import sent_if_small, with_grid
 from gustframe.operators.sequences import ageing, ageing_from
 from gustframe.operators.timegrid import resample
 
@@ -49,7 +49,7 @@ def prepare(stations: DataFrame, vertical: DataFrame | None = None, columns: lis
     if hourly:
         df = resample(df, by, ts, dict.fromkeys(columns, "mean"))
     if vertical is not None:
-        df = asof_backward(clip_to_range(df, vertical, by, ts), vertical, by, ts, ["w_vert"], "starttime" if "starttime" in vertical.columns else None)
+        df = asof_backward(df, vertical, by, ts, ["w_vert"], "starttime" if "starttime" in vertical.columns else None, clip=True)
     return df
 
 
@@ -99,7 +99,7 @@ def simulate(weather: DataFrame, park: DataFrame, specs: DataFrame, curves: Data
     if first or last:
         df = df.filter(in_days(ts, first, last))
     tops = curves.groupBy("turbine").agg(F.max("power_w").alias("curve_max"))
-    dim = park.join(specs.drop("rated"), "turbine").join(tops, "turbine").withColumn("rated_w", wind.rating("rated_kw", "curve_max"))
+    dim = park.join(sent_if_small(specs.drop("rated")), "turbine").join(sent_if_small(tops), "turbine").withColumn("rated_w", wind.rating("rated_kw", "curve_max"))
     df = with_grid(df, dim)
     if hub_speeds is None:
         df = df.withColumn("wind_speed_hub", round_even(wind.power_law("wind_speed", F.col("hub_height"), site.measured, F.col("alpha"))))

@@ -9,12 +9,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gustframe.functions import solar
+from gustframe.functions import solar, wind
 from gustframe.functions.nulls import round_even
-from gustframe.operators.asof import asof_backward
+from gustframe.operators.asof import asof_backward, clip_to_range
+from gustframe.operators.curves import cubic, dense_curves
+from gustframe.operators.geo import geodesic, haversine
 from gustframe.operators.impute import impute, knn_fill
 from gustframe.operators.relational import upsert, upsert_windowed
-from gustframe.operators.sequences import ageing, dust
+from gustframe.operators.sequences import ageing, ageing_from, drawn_age, dust, final_dust, real_age, running_seed
+from gustframe.operators.stats import quantiles
 from gustframe.operators.timegrid import resample
 from gustframe.streaming import recent
 
@@ -78,16 +81,108 @@ def test_impute_leaves_no_holes_and_columns_without_values(spark):
     assert all(r["v"] is not None and r["u"] is None for r in got)
 
 
-def test_dust_like_a_loop(spark):
-    rain, mins, fell = [0.0, 2.0, 0.0, 3.0], [1.0, 5.0, 1.0, 10.0], [0.5, 0.1, 0.25, 0.0]
-    rows = [("a", START + dt.timedelta(minutes=10 * i), r, m, d) for i, (r, m, d) in enumerate(zip(rain, mins, fell, strict=True))]
-    df = spark.createDataFrame(rows, "s string, t timestamp, r double, m double, d double")
-    w, want = 4.0, []
-    for r, m, d in zip(rain, mins, fell, strict=True):
-        w = w * (1 - 0.8 * m / 10) if r >= 1 else w + d
-        want.append(w)
-    got = [r["dust"] for r in dust(df, ["s"], "t", "r", "m", "d", 4.0, 1.0, 0.8, 10).orderBy("t").collect()]
-    assert got == pytest.approx(want)
+def _dust_slowly(rows, start=4.0):
+    w, out = start, []
+    for i, (r, m, d) in enumerate(rows):
+        if i:
+            w = w * (1 - 0.8 * m / 10) if r >= 1 else w + (d or 0.0)
+        out.append(w)
+    return out
+
+
+@pytest.mark.parametrize("step", [600, 86_400 * 3])  # one chunk, and a few rows in each
+def test_dust_like_a_loop(spark, step):
+    dice = np.random.default_rng(2)
+    rows = [(float(dice.integers(0, 3) * 0.6), float(dice.integers(0, 11)), None if i % 7 == 3 else float(dice.random())) for i in range(40)]
+    df = spark.createDataFrame([(s, START + dt.timedelta(seconds=step * i), *r) for s in "ab" for i, r in enumerate(rows)] + [("c", START, 5.0, 10.0, 0.5)], "s string, t timestamp, r double, m double, d double")
+    got = dust(df, ["s"], "t", "r", "m", "d", 4.0, 1.0, 0.8, 10).orderBy("s", "t").collect()
+    assert [r["dust"] for r in got] == pytest.approx([*_dust_slowly(rows) * 2, 4.0])
+    final = dict(map(tuple, final_dust(df, "s", "t", "r", "m", "d", 4.0, 1.0, 0.8, 10).collect()))
+    assert final == pytest.approx({"a": _dust_slowly(rows)[-1], "b": _dust_slowly(rows)[-1], "c": 4.0})
+
+
+@pytest.mark.parametrize("ranked", [20, 100_000])
+def test_quantiles_like_numpy(spark, ranked):
+    dice = np.random.default_rng(3)
+    values = {"a": dice.normal(size=5000), "b": np.repeat([1.0, 2.0], 300), "c": np.array([7.0]), "d": np.round(dice.random(900), 1)}
+    df = spark.createDataFrame([(k, float(v)) for k, own in values.items() for v in own] + [("a", None)], "k string, v double")
+    at = [0.0, 0.05, 0.25, 0.5, 0.95, 1.0]
+    got = {r["k"]: (r["n"], r["q"]) for r in quantiles(df, ["k"], "v", at, ranked).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {k: len(v) for k, v in values.items()}
+    assert all(got[k][1] == pytest.approx(np.quantile(v, at).tolist()) for k, v in values.items())
+    assert quantiles(df.limit(0), ["k"], "v", at).count() == 0
+
+
+def test_drawn_ages_depend_on_seed_and_series_only(spark):
+    df = spark.range(4000).selectExpr("cast(id as string) as s", "timestamp '2024-01-01' + make_interval(0, 0, 0, cast(id % 2 as int) * 400) as t")
+    ages = {r["s"]: r["a"] for r in df.repartition(5).select("s", drawn_age("s", 42).alias("a")).collect()}
+    assert ages == {r["s"]: r["a"] for r in df.select("s", drawn_age("s", 42).alias("a")).collect()}
+    own = np.array(list(ages.values()))
+    assert own.min() >= 0 and abs(own.mean() - 15) < 0.3 and abs(own.std() - 5) < 0.3
+    real = spark.createDataFrame([(0, 3.0), (1, 8.0)], "idx long, age double")
+    picked = {r["s"]: r["age"] for r in real_age(df, real, "s").collect()}
+    assert set(picked.values()) == {3.0, 8.0} and len(picked) == 4000
+    eta = [r["e"] for r in df.select(solar.drawn_efficiency(0.96, 42, "s").alias("e")).collect()]
+    assert abs(np.mean(eta) - 0.96) < 1e-3 and abs(np.std(eta) - 0.01) < 1e-3
+    assert df.select(solar.drawn_efficiency(0.96).alias("e")).distinct().count() == 1
+
+
+def test_ageing_from_a_known_age(spark):
+    df = _series(spark, [1.0] * 5, step=86400 * 100)
+    got = ageing_from(df, "station_id", "timestamp", F.lit(10.0)).orderBy("timestamp").collect()
+    since = (START - dt.timedelta(days=10 * 365.25)).date()
+    days = (START + dt.timedelta(days=400) - dt.datetime.combine(since, dt.time())).days
+    assert got[0]["commissioned"] == since
+    assert [r["degradation"] for r in got] == pytest.approx(np.linspace(0.9937**10, 0.9937 ** (days / 365.25), 5).tolist())
+
+
+def test_seeds_count_up_in_order(spark):
+    keys = [f"k{i * 7919 % 5000:05d}" for i in range(3000)]
+    got = {r["k"]: r["seed"] for r in running_seed(spark.createDataFrame([(k,) for k in keys], "k string"), "k", 42).collect()}
+    assert got == {k: 42 + i for i, k in enumerate(sorted(set(keys)))}
+
+
+def test_a_spline_gives_back_a_cubic_and_ends_at_the_rating(spark):
+    x = np.array([0.0, 2.0, 3.5, 6.0, 9.0, 13.0])
+    at = np.linspace(0, 13, 200)
+    assert np.allclose(cubic(x, x**3 - 4 * x**2 + x - 7, at), at**3 - 4 * at**2 + at - 7)
+    rows = dense_curves(spark, {"t": ([1.0, 2.0, 4.0, 5.0], [0.0, 10.0, 90.0, 95.0])}, {"t": 100.0}).orderBy("ws_c").collect()
+    assert [r["ws_c"] for r in rows] == list(range(501)) and rows[-1]["power_w"] == 100.0
+    assert all(0 <= r["power_w"] <= 100 for r in rows) and rows[99]["power_w"] == 0.0 and rows[200]["power_w"] == pytest.approx(10.0)
+    assert all(a["next_w"] == b["power_w"] for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_noise_has_its_deviation_and_bounds(spark):
+    df = spark.range(20000).select("id", wind.noisy(F.lit(100.0), F.lit(1000.0), 0.1, 42, "id").alias("p"), wind.noisy(F.lit(100.0), F.lit(105.0), 0.5, 42, "id").alias("q"))
+    p, q = np.array([(r["p"], r["q"]) for r in df.collect()]).T
+    assert abs(p.mean() - 100) < 0.5 and abs(p.std() - 10) < 0.5 and q.min() >= 0 and q.max() == 105
+
+
+def test_geodesic_distances(spark):
+    # Vincenty's own example, a quarter of the equator, one degree of a meridian, and nothing.
+    rows = [(-37.95103341666667, 144.42486788888888, -37.65282113888889, 143.92649552777777, 54.972271), (0.0, 0.0, 0.0, 90.0, 10018.754171), (0.0, 5.0, 1.0, 5.0, 110.574389), (10.0, 10.0, 10.0, 10.0, 0.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, km double")
+    for r in df.select("km", geodesic("a", "b", "c", "d").alias("got"), haversine("a", "b", "c", "d").alias("near")).collect():
+        assert r["got"] == pytest.approx(r["km"], abs=1e-4) and r["near"] == pytest.approx(r["km"], rel=6e-3, abs=1e-6)
+
+
+def test_clipping_in_the_pass_is_clipping_before(spark):
+    left = _series(spark, [float(i) for i in range(20)]).withColumnRenamed("v", "x")
+    right = _series(spark, ["gap"] * 3 + [10.0, None, "gap", 7.0]).withColumnRenamed("v", "w")
+    want = asof_backward(clip_to_range(left, right, "station_id", "timestamp"), right, "station_id", "timestamp", ["w"])
+    got = asof_backward(left, right, "station_id", "timestamp", ["w"], clip=True)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 4
+
+
+@pytest.mark.parametrize("name,most", [("q_wind_plan", 3), ("q_pv_plan", 2)])
+def test_plans_deal_their_rows_out_seldom(spark, name, most):
+    """One exchange before imputation, one before the hourly grid, one that brings the vertical wind in; none after."""
+    from gustframe.plans import catalogue
+
+    plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and ("station_id" in x or "__by" in x)]
+    assert len(dealt) <= most + 1  # and one for the sums of the result
+    assert plan.count("FileScan") == 2
 
 
 def test_ageing_is_equally_spaced_by_row(spark):
