@@ -7,7 +7,8 @@ failed is never tried again, so the work is linear in the piece. The result is e
 
 Bytes are mapped to the characters U+0000-U+00FF (Latin-1) so that the Aho-Corasick automaton, which works on strings, sees bytes.
 
-Null and empty texts have no ids; repeated rows are encoded alike; a text of any length is one row; other columns pass through.
+Null and empty texts have no ids; repeated rows are encoded alike; a text of any length is one row; other columns pass through, and
+one that is named like the result is replaced.
 """
 
 from __future__ import annotations

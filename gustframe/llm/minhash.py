@@ -186,8 +186,9 @@ def _groups(df: DataFrame, words: int, threshold_percent: int, doc_id: str, text
     # Equal sets are one node; the document of the least id stands for it. Written, nodes keep their numbers.
     nodes = docs.filter("n > 0 and id is not null").groupBy("set").agg(F.min(F.struct("id", "h")).alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "set", "doc.id", "doc.h", "n", "bands"), "nodes")
-    banded = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    first = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("bucket", "pivot")
+    banded = nodes.select("node", "n", "id", F.explode("bands").alias("bucket"))
+    # The first node of a bucket is that of the least id: a text that comes before its copies is nearer to them than they to each other.
+    first = banded.groupBy("bucket").agg(F.min_by("node", "id").alias("pivot"), F.count(F.lit(1)).alias("met")).filter("met > 1").select("bucket", "pivot")
     held = written(banded.join(first, "bucket").select("bucket", "node", "n", "pivot"), "buckets")
     stars = held.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     due = held.select("node").distinct().join(nodes.select("node", "id", "h"), "node")

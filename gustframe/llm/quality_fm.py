@@ -7,8 +7,9 @@ Features: the distinct words of the whole text, hashed to 2**14 buckets, each wi
 statistics of the text's structure (case, symbols, digits, repetition, lengths); and its length as metadata. Labels, language,
 source and doc_id are no inputs of a score.
 
-Fitted on at most MAX_FIT labelled documents outside the held-out fold, those with the least hashes of doc_id. Texts are read whole. Null
-and empty texts have statistics of zero and are scored like others. Rows are scored one by one, repeated rows alike; without labels every score is 0.5.
+Fitted on at most MAX_FIT labelled documents outside the held-out fold, those with the least hashes of doc_id. Texts are read whole, however
+long. Null and empty texts have statistics of zero and are scored like others. Rows are scored one by one, repeated rows alike; without
+labels every score is 0.5. Other columns are kept, whatever their names; one that is named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ class Buckets(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 16:
             self.clear()
         self[word] = i = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), 7) % WORDS
         return i

@@ -101,15 +101,18 @@ def map_texts(df: DataFrame, text: str, keep: list[str], make: Callable[[], Call
     clash = {f.name for f in fields}
     keep = [c for c in keep if c not in clash]
     small_batches(df.sparkSession)
-    source = df.select(*keep, df[text].alias("__text"))
+    name = "__text"
+    while name in keep:
+        name += "_"
+    source = df.select(*keep, df[text].alias(name))
     schema = T.StructType([source.schema[c] for c in keep] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out, f = to_arrow_schema(schema), make()
-        for part in slices(batches, "__text"):
-            new = f(part.column(part.schema.get_field_index("__text")).to_pylist())
+        for part in slices(batches, name):
+            new = f(part.column(part.schema.get_field_index(name)).to_pylist())
             cols = [part.column(part.schema.get_field_index(c)) for c in keep] + new
             yield pa.RecordBatch.from_arrays([c.cast(t.type) if c.type != t.type else c for c, t in zip(cols, out, strict=True)], schema=out)
 

@@ -47,6 +47,22 @@ def test_pairs_in_linear_time_like_all_pairs():
         assert np.isclose(machine.margins(idx, val, starts)[0][0], slow)
 
 
+def test_quality_scores_like_all_pairs(spark):
+    """The query's scores from the fitted weights, every pair of features by itself; repeated rows alike, a clashing column replaced."""
+    docs, labels = _labelled(spark, "kind calm words here", "vile nasty words there", "quality")
+    machine = quality_fm.fit(docs, labels)
+    texts = [*ODD, "kind words of 12 people!", "vile " * 4000, "kind words of 12 people!"]
+    got = {r["doc_id"]: r["score"] for r in quality_fm.score(documents(spark, texts).selectExpr("*", "1 as score", "2 as __text"), machine).collect()}
+    for k, t in enumerate(texts):
+        buckets, stats = quality_fm.features(t)
+        x = [(quality_fm.WORDS + i, float(np.clip((v - machine.mean[i]) / machine.scale[i], -4, 4))) for i, v in enumerate(stats)]
+        x += [(int(b), 1 / max(1, len(buckets)) ** 0.5) for b in buckets]
+        margin = machine.bias + sum(machine.w[i] * v for i, v in x)
+        margin += sum(float(machine.v[i] @ machine.v[j]) * a * b for n, (i, a) in enumerate(x) for j, b in x[:n])
+        assert abs(got[k] - 1 / (1 + np.exp(-margin))) < 1e-9
+    assert got[len(texts) - 1] == got[len(ODD)]
+
+
 def _labelled(spark, good, bad, label):
     texts = [f"{good} {i}" if i % 2 else f"{bad} {i}" for i in range(80)]
     return documents(spark, texts), spark.createDataFrame([(i, i % 2) for i in range(80)] + [(None, 1), (500, None)], f"doc_id long, {label} int")
