@@ -98,6 +98,19 @@ def q_ageing(t: Tables):
     return out.select("event_id", r6("degradation", 9).alias("degradation"))
 
 
+@query(
+    f"""with w as (select event_id, station_id, epoch_us(ts) as u, row_number() over (partition by station_id order by ts) - 1 as i, count(*) over (partition by station_id) as n,
+  min(epoch_us(ts)) over (partition by station_id) as a, max(epoch_us(ts)) over (partition by station_id) as b, (station_id % 30 + 0.5)::double as age from ({FEED})),
+y as (select *, power(1 - 0.0063::double, age) as s, ((a - (age * 365.25::double * 86400000000)::bigint) // 86400000000) * 86400000000 as since from w),
+z as (select *, power(1 - 0.0063::double, ((b - since) // 86400000000) / 365.25::double) as e from y)
+select event_id, round(s + (e - s) * coalesce(i / nullif(n - 1, 0), 0), 9) as degradation, strftime(make_timestamp(since), '%Y-%m-%d') as since from z"""
+)
+def q_ageing_from_age(t: Tables):
+    """Where no date is known, the age at the first stamp gives it."""
+    out = sequences.ageing_from(t.stations(), "station_id", "timestamp", F.col("station_id") % 30 + 0.5)
+    return out.select("event_id", r6("degradation", 9).alias("degradation"), F.col("commissioned").cast("string").alias("since"))
+
+
 @query(
     f"""with recursive f as ({FEED}), r as (select station_id, row_number() over (partition by station_id order by ts) as i, v, case when v > 60 then 1 else 0 end as rain, event_id % 11 as mins from f),
 w(station_id, i, dust) as (select station_id, i, 4.0::double from r where i = 1 union all

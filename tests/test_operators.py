@@ -7,18 +7,22 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gustframe.functions import atmosphere as air
 from gustframe.functions import solar, wind
 from gustframe.functions.nulls import round_even
 from gustframe.operators.asof import asof_backward, clip_to_range
-from gustframe.operators.curves import cubic, dense_curves
+from gustframe.operators.curves import cubic, dense_curves, interp
 from gustframe.operators.geo import geodesic, haversine
 from gustframe.operators.impute import impute, knn_fill
 from gustframe.operators.relational import upsert, upsert_windowed
 from gustframe.operators.sequences import ageing, ageing_from, drawn_age, dust, final_dust, real_age, running_seed
-from gustframe.operators.stats import quantiles
+from gustframe.operators.reshape import plane_names
+from gustframe.operators.stats import polyfit, quantiles
 from gustframe.operators.timegrid import resample
+from gustframe.plans.wind import from_reanalysis
 from gustframe.streaming import recent
 
 START = dt.datetime(2024, 1, 1, 0, 7)
@@ -225,3 +229,39 @@ def test_recent_stream_drops_repeats_and_upserts(spark, tmp_path):
     versions = sorted((tmp_path / "out").iterdir(), key=lambda p: int(p.name.split("=")[1]))
     got = spark.read.parquet(str(versions[-1])).orderBy("timestamp").collect()
     assert [(r["timestamp"].hour, r["v"]) for r in got] == [(0, 2.5)]
+
+
+def test_polynomials_like_numpy(spark):
+    dice = np.random.default_rng(5)
+    x = dice.random(300) * 30
+    y = 2 * x**3 - x**2 + 5 + dice.normal(size=300)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)] + [(None, 1.0)], "x double, y double")
+    assert polyfit(df, "x", "y", 3) == pytest.approx(np.polyfit(x, y, 3).tolist(), rel=1e-4, abs=1e-3)
+
+
+def test_reanalysis_in_this_librarys_units(spark):
+    df = spark.createDataFrame([(3.0, 4.0, 6.0, 8.0, 293.15, 283.15, 101300.0)], "u_wind_10m double, v_wind_10m double, u_wind_100m double, v_wind_100m double, temp_2m double, dew_point_2m double, pressure double")
+    r = from_reanalysis(df).first()
+    assert (r["wind_speed"], r["wind_speed_100m"], r["pressure"]) == (5.0, 10.0, 1013.0)
+    assert r["temperature_2m"] == pytest.approx(20.0) and 0.4 < r["relative_humidity"] * (1 if r["relative_humidity"] < 2 else 0.01) < 0.65
+
+
+def test_interpolation_between_fixed_points(spark):
+    points = [(0.0, 1.0), (2.0, 5.0), (3.0, 4.0)]
+    xs = [-1.0, 0.0, 0.5, 2.0, 2.5, 9.0]
+    got = [r["y"] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(interp("x", points).alias("y")).collect()]
+    assert got == pytest.approx(np.interp(xs, *zip(*points, strict=True)).tolist())
+
+
+def test_planes_as_columns(spark):
+    df = spark.createDataFrame([(1, 30.0, 180.0, 5.0), (1, 10.5, 90.0, 6.0), (2, 30.0, 180.0, 7.0)], "id int, tilt double, azimuth double, power double")
+    wide = plane_names(df, ["id"], "power", [(30.0, 180.0), (10.5, 90.0)]).orderBy("id")
+    rows = [tuple(r) for r in wide.collect()]
+    assert rows == [(1, 5.0, 6.0), (2, 7.0, None)] and all("tilt" in c for c in wide.columns[1:])
+
+
+def test_units_are_told_by_a_series_mean(spark):
+    df = spark.createDataFrame([("k", 293.15, 1013.0), ("k", 283.15, 1012.0), ("c", 20.0, 101300.0), ("c", 10.0, 101200.0)], "s string, t double, p double")
+    w = Window.partitionBy("s")
+    got = sorted(tuple(r) for r in df.select("s", F.round(air.celsius("t", w), 6), air.pascal("p", w)).collect())
+    assert got == [("c", 10.0, 101200.0), ("c", 20.0, 101300.0), ("k", 10.0, 101200.0), ("k", 20.0, 101300.0)]
