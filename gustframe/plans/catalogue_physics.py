@@ -246,10 +246,23 @@ def q_park_coefficient(t: Tables):
     return t("events").select("event_id", r6(wind.park_coefficient("value", F.lit(1.2), F.lit(120.0), F.col("value") / 10)).alias("cp"))
 
 
-@query()
+@query(
+    """with i as (select i::int as ws_c, i / 100.0::double as x from range(0, 2501) r(i)),
+c as (select 's1' as turbine, ws_c, x, 1000 * x * x * x as p, 1.5e7::double as top from i union all select 's2', ws_c, x, -500 * x * x * x + 20000 * x * x + 4000 * x, 4.5e6::double from i where ws_c between 200 and 2500)
+select turbine, ws_c, round(case when ws_c = 2500 then top else least(greatest(p, 0), top) end, 3) as power_w from c union all select 's2', i::int, 0.0::double from range(0, 200) r(i)"""
+)
 def q_spline_curve(t: Tables):
-    points = {"s1": ([0.0, 3.0, 6.0, 9.0, 12.0, 15.0, 25.0], [0.0, 2e4, 3.2e5, 1.1e6, 1.9e6, 2e6, 2e6])}
-    return dense_curves(t.spark, points, {"s1": 2e6}).select("turbine", "ws_c", r6("power_w", 3).alias("power_w"))
+    """Curves through a few points of two cubics, which a cubic spline gives back, between 0 and the rating."""
+
+    def first(x):
+        return 1000 * x**3
+
+    def second(x):
+        return -500 * x**3 + 20000 * x**2 + 4000 * x
+
+    xs, zs = [0.0, 3.0, 6.0, 9.0, 12.0, 15.0, 25.0], [2.0, 4.0, 9.0, 25.0]
+    points = {"s1": (xs, [first(x) for x in xs]), "s2": (zs, [second(x) for x in zs])}
+    return dense_curves(t.spark, points, {"s1": 1.5e7, "s2": 4.5e6}).select("turbine", "ws_c", r6("power_w", 3).alias("power_w"))
 
 
 @query()
