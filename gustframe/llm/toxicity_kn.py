@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -234,8 +235,10 @@ def _likelihoods(counts: dict[int, DataFrame]) -> dict[int, DataFrame]:
     """By order, (key, r0, r1, low0, low1, ratio) from _tables(): the likelihood of a gram's last letter in each class, and the log of toxic over
     ordinary. Counts of the larger class are scaled down to the smaller one's size before they are discounted."""
     out: dict[int, DataFrame] = {}
+    sums = reduce(DataFrame.unionByName, [df.agg(F.lit(n).alias("n"), F.count(F.lit(1)).alias("size"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1")) for n, df in counts.items()])
+    totals = {r["n"]: (r["size"], r["c0"], r["c1"]) for r in sums.collect()}
     for n in sorted(counts):
-        size, *whole = counts[n].agg(F.count(F.lit(1)), F.sum("c0"), F.sum("c1")).first()
+        size, *whole = totals[n]
         scaled = [F.col(f"c{c}") * F.lit(min(whole) / max(whole[c], 1)) for c in (0, 1)]
         # The letters after a history are no more than the alphabet has. They are added up in order, to give the same sum each time.
         rows = counts[n].select(F.substring("key", 1, n - 1).alias("history"), F.struct("key", "r0", "r1", *[F.greatest(s - DISCOUNT, F.lit(0.0)).alias(f"k{c}") for c, s in enumerate(scaled)], *[s.alias(f"s{c}") for c, s in enumerate(scaled)]).alias("x"))
@@ -285,10 +288,11 @@ def _head(tables: dict[int, DataFrame], most: int) -> Head:
         least -= 1
         held += counted.get(least, 0)
     frequent = F.col("r0") + F.col("r1") >= 1 << least
+    whole = not any(counted.get(j) for j in range(least))  # then no gram is rarer
     rows, open_root = {}, False
     for n in sorted(tables):
         own = tables[n].filter(frequent).select("key", "ratio")
-        if n + 1 in tables:
+        if n + 1 in tables and not whole:
             # A gram occurs at least as often as those that end with it, so rarer ones hang below the head.
             rarer = tables[n + 1].filter(~frequent).select(F.substring("key", 2, n).alias("key")).distinct().withColumn("more", F.lit(True))
             own = own.join(rarer, "key", "left")
@@ -296,7 +300,7 @@ def _head(tables: dict[int, DataFrame], most: int) -> Head:
             own = own.withColumn("more", F.lit(False))
         got = own.select("key", "ratio", F.coalesce("more", F.lit(False)).alias("more")).toArrow()
         rows[n] = (got["key"].to_pylist(), got["ratio"].to_numpy(), got["more"].to_numpy().astype(bool))
-        if n == 1:
+        if n == 1 and not whole:
             open_root = bool(tables[1].filter(~frequent).limit(1).count())
     return Head(rows, open_root)
 
