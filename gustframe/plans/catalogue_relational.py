@@ -628,3 +628,52 @@ def q_polyfit(t: Tables):
     """A straight line by the same moments as a cubic."""
     found = stats.polyfit(t("lineitem"), "l_quantity", "l_extendedprice", 1)
     return t.spark.createDataFrame([(1 - i, float(c)) for i, c in enumerate(found)], "power long, c double").select("power", r6("c", 3).alias("coefficient"))
+
+
+@query(
+    """select lpad((s_suppkey % 100000)::varchar, 5, '0') as station_id, '2001-02-03' as valid_from, round(s_acctbal, 2) as height, (40 + s_nationkey)::double as latitude, s_name as name, 'wind' as variable from supplier"""
+)
+def q_registry_lines(t: Tables):
+    """Fixed-width lines, as the registry has them, made from suppliers and read."""
+    from gustframe.sources.files import registry_lines
+
+    line = F.concat(
+        F.lpad((F.col("s_suppkey") % 100000).cast("string"), 5, "0"), F.lit(" 20010203 20240501 "), F.lpad(F.format_string("%.2f", "s_acctbal"), 14, " "),
+        F.lpad((40 + F.col("s_nationkey")).cast("string"), 12, " "), F.lpad(F.lit("10.5"), 10, " "), F.lit(" "), F.rpad("s_name", 41, " "), F.lit("Nord"),
+    )
+    head = t.spark.createDataFrame([("Stations_id von_datum",), ("----------- ---------",)], "line string")
+    rows = registry_lines(t("supplier").select(line.alias("line")).unionByName(head).withColumn("path", F.lit("file:/data/wind/list.txt")))
+    return rows.select("station_id", F.col("valid_from").cast("string").alias("valid_from"), r6("height", 2).alias("height"), "latitude", "name", "variable")
+
+
+@query(
+    """select lpad(user_id::varchar, greatest(5, length(user_id::varchar))::int, '0') as station_id, epoch_us(date_trunc('minute', ts)) // 1000000 as t, case when event_id % 7 <> 0 then round(value, 2) end as speed from events"""
+)
+def q_measured(t: Tables):
+    """Raw rows as files of measurements have them: ids without zeros, stamps to the minute, -999 for missing."""
+    from gustframe.sources.files import measured
+
+    raw = t("events").select(
+        F.col("user_id").cast("string").alias("STATIONS_ID"), F.date_format("ts", "yyyyMMddHHmm").alias("MESS_DATUM"), F.lit(3.0).alias("QN"),
+        F.when(F.col("event_id") % 7 != 0, F.round("value", 2)).otherwise(-999.0).alias("FF_10"), F.lit("eor").alias("eor"),
+    )
+    return measured(raw).select("station_id", epoch("timestamp").alias("t"), F.col("FF_10").alias("speed"))
+
+
+@query("select page_id, '{labels: [\"' || page_id::varchar || '\", \"}\"], data: {x: ' || (page_id % 7)::varchar || '}}' as body, page_id::varchar as label, page_id % 7 as x from pages")
+def q_page_objects(t: Tables):
+    """The object after a marker in a page's script, by matching braces, then read."""
+    from gustframe.sources.files import html_objects
+
+    i = F.col("page_id").cast("string")
+    page = F.concat(F.lit('<p>{no}</p><script>var chart = {labels: ["'), i, F.lit('", "}"], data: {x: '), (F.col("page_id") % 7).cast("string"), F.lit("}}; var other = {};</script>"))
+    found = html_objects(t("pages").select("page_id", page.alias("html")), "html", "var chart")
+    parsed = found.withColumn("o", text.chart_object("body", "labels array<string>, data struct<x: long>"))
+    return parsed.select("page_id", "body", F.col("o.labels")[0].alias("label"), F.col("o.data.x").alias("x"))
+
+
+@query("select s_suppkey, s_name as name, round(s_acctbal, 2) as power from supplier")
+def q_xml_units(t: Tables):
+    """Elements read by a list of tags; others are passed over."""
+    unit = F.concat(F.lit("<Unit><Other>1</Other><Name>"), "s_name", F.lit("</Name><Power>"), F.round("s_acctbal", 2).cast("string"), F.lit("</Power></Unit>"))
+    return t("supplier").select("s_suppkey", F.from_xml(unit, "Name string, Power double").alias("u")).select("s_suppkey", F.col("u.Name").alias("name"), F.col("u.Power").alias("power"))

@@ -40,7 +40,12 @@ def measurements(spark: SparkSession, path: str, columns: list[str]) -> DataFram
 
     columns: the file's columns in order, as the schema; quality flags and the end mark go."""
     schema = T.StructType([T.StructField(c.strip(), T.StringType() if c.strip() in ("STATIONS_ID", "MESS_DATUM", "eor") else T.DoubleType()) for c in columns])
-    raw = spark.read.schema(schema).csv(path, sep=";", header=True, enforceSchema=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    return measured(spark.read.schema(schema).csv(path, sep=";", header=True, enforceSchema=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True))
+
+
+def measured(raw: DataFrame) -> DataFrame:
+    """(station_id, timestamp, values) of raw rows: stamps parsed, -999 and -9999 null, quality flags and the end mark gone."""
+    schema = raw.schema
     values = [f.name for f in schema if isinstance(f.dataType, T.DoubleType) and f.name not in ("QN", "RWS_IND_10")]
     df = raw.select(station_id("STATIONS_ID").alias("station_id"), F.try_to_timestamp("MESS_DATUM", F.lit("yyyyMMddHHmm")).alias("timestamp"), *values)
     return sentinels_to_null(df, values)
@@ -52,16 +57,20 @@ REGISTRY_FIELDS = {"id": (1, 5), "von": (7, 8), "bis": (16, 8), "height": (25, 1
 
 def registry(spark: SparkSession, path: str, fields: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """Fixed-width registries in Latin-1 with two header lines; the variable is the name of the file's folder."""
-    at = fields or REGISTRY_FIELDS
     # A separator that doesn't occur makes each line one column, in the file's encoding.
     lines = spark.read.schema("line string").csv(path, sep="\u0001", encoding="ISO-8859-1", quote="", ignoreLeadingWhiteSpace=False)
-    lines = lines.withColumn("path", F.col("_metadata.file_path")).filter(F.col("line").rlike(r"^\s*\d+\s+\d{8}"))
+    return registry_lines(lines.withColumn("path", F.col("_metadata.file_path")), fields)
+
+
+def registry_lines(lines: DataFrame, fields: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """The same from lines (line, path); headers and other lines that don't begin with an id and a date go."""
+    at = fields or REGISTRY_FIELDS
 
     def cut(name: str):
         start, size = at[name]
         return F.trim(F.substring("line", start, size))
 
-    return lines.select(
+    return lines.filter(F.col("line").rlike(r"^\s*\d+\s+\d{8}")).select(
         station_id(cut("id")).alias("station_id"),
         F.to_date(cut("von"), "yyyyMMdd").alias("valid_from"),
         F.to_date(cut("bis"), "yyyyMMdd").alias("valid_to"),
