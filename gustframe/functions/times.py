@@ -47,6 +47,11 @@ def age_years(later: Column | str, earlier: Column | str, days: float = 365.25)
     return age_days(later, earlier) / F.lit(days)
 
 
+def years_since(c: Column | str, today: Column | None = None, days: float = 365.0) -> Column:
+    """Years from a date to today, or to a given day where results have to stay the same."""
+    return F.datediff(F.current_date() if today is None else today, F.to_date(col(c))) / F.lit(days)
+
+
 def commissioned(first: Column | str, years: Column | str) -> Column:
     """The date `years` before a series begins."""
     return F.to_date(F.timestamp_micros((micros(first) - col(years) * 365.25 * DAY).cast("long")))

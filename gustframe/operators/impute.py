@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gustframe.functions.times import cyclic
@@ -59,16 +60,18 @@ def impute(df: DataFrame, by: str, ts: str, columns: list[str], k: int = 5, zero
     schema = T.StructType([T.StructField(f.name, T.DoubleType()) if f.name in columns else f for f in df.schema.fields])
     extra, names = [f"__{n}" for n in time], df.columns
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="stable")
-        x = pdf[[*columns, *extra]].to_numpy(float)
+    def fill(table: pa.Table) -> pa.Table:
+        table = table.sort_by(ts)
+        x = np.column_stack([table[c].cast(pa.float64()).to_numpy() for c in [*columns, *extra]])
         factor = np.array([scaled.get(c, 1.0) for c in [*columns, *extra]])
         x = x * factor
-        with np.errstate(all="ignore"):
+        with np.errstate(all="ignore"), warnings.catch_warnings():
+            warnings.simplefilter("ignore")  # columns without any value
             mean, dev = np.nanmean(x, 0), np.nanstd(x, 0)
         dev = np.where((dev == 0) | np.isnan(dev), 1.0, dev)
         y = knn_fill((x - mean) / dev, k) * dev + mean
         y = np.where(np.abs(y) < zero, 0.0, y) / factor
-        return pdf.assign(**{c: y[:, i] for i, c in enumerate(columns)})[names]
+        made = {c: pa.array(y[:, i], mask=np.isnan(y[:, i])) for i, c in enumerate(columns)}
+        return pa.table([made.get(c, table[c]) for c in names], names=names)
 
-    return given.groupBy(by).applyInPandas(fill, schema).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
+    return given.groupBy(by).applyInArrow(fill, schema)

@@ -536,7 +536,9 @@ def q_param_projection(t: Tables):
 
 @query("select o_orderkey, round(datediff('day', o_orderdate::date, date '2024-12-31') / 365.0::double, 9) as age from orders where o_orderstatus <> 'P'")
 def q_lifetime_age(t: Tables):
-    return t("orders").filter(F.col("o_orderstatus") != "P").select("o_orderkey", r6(F.datediff(F.lit("2024-12-31").cast("date"), F.to_date("o_orderdate")) / 365.0, 9).alias("age"))
+    from gustframe.functions.times import years_since
+
+    return t("orders").filter(F.col("o_orderstatus") != "P").select("o_orderkey", r6(years_since("o_orderdate", F.lit("2024-12-31").cast("date")), 9).alias("age"))
 
 
 @query("with f as (select strftime(ts, '%Y-%m-%d') as day, case when event_id % 97 <> 0 then value end as a, case when event_id % 193 <> 0 then value end as b from events) select day, count(*) filter (where a is null)::bigint as a, count(*) filter (where b is null)::bigint as b from f group by 1 having bool_or(a is null or b is null)")
