@@ -50,6 +50,10 @@ NAMES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
 #: Usual sentences of notices.
 NOTICES: dict[str, tuple[str, ...]] = {
     "MIT": (
+        "Licensed under MIT.",
+        "Released under MIT.",
+        "SPDX-License-Identifier: MIT",
+        "license: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
@@ -147,9 +151,14 @@ PROSE = (
     "The apache helicopter landed, and students of MIT went home to creative work in common rooms.",
     "A clause in the contract says that the rights of the owner are limited by law.",
     "My neighbour asked whether a boat license covers lakes.",
+    "Er kommt mit dem Rad, und sie reist mit der Bahn.",
+    "Mit Software und mit Copyright hat das nichts zu tun.",
+    "Das Programm mit der Lizenz liegt im Archiv mit den Akten.",
 )
 #: Words that say nothing about licences; a gram needs another one.
 STOP = frozenset("a all an and any are as at be by can for from has have he i if in is it its more no not of on one or other our see so that the their they this to under was we were which will with you your 0 1 2 3 4 5".split())
+#: Names that are common words of other languages; alone they say nothing, beside another word they do.
+AMBIGUOUS = frozenset(["mit"])
 FAMILIES = (*NAMES, "unknown", "none")
 #: Least probability of a family, and least share of a template's word pairs.
 LEAST_PROBABILITY, LEAST_SIMILARITY = 0.5, 0.6
@@ -166,7 +175,7 @@ def _words(text: str) -> list[str]:
 def grams_of(text: str) -> list[str]:
     """Distinct words and pairs of words, without those of STOP words alone."""
     words = _words(text)
-    return sorted({g for g in [*words, *map(" ".join, zip(words, words[1:], strict=False))] if not STOP.issuperset(g.split())})
+    return sorted({g for g in [*words, *map(" ".join, zip(words, words[1:], strict=False))] if g not in AMBIGUOUS and not STOP.issuperset(g.split())})
 
 
 def words(text: Column) -> Column:
@@ -190,7 +199,8 @@ def _examples(frames: tuple[str, ...], others: tuple[str, ...]) -> list[tuple[st
     out = []
     for family, (names, tags) in NAMES.items():
         out += [(f.format(n), family) for n in names for f in frames] + [(f.format(n), family) for n in tags for f in TAGS]
-    return out + [(f.format(n), "unknown") for n in others for f in (*frames, *TAGS)]
+    out += [(f.format(n), "unknown") for n in others for f in (*frames, *TAGS)]
+    return [(t, f) for t, f in out if grams_of(t)]
 
 
 @lru_cache(1)
@@ -245,7 +255,7 @@ def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     for family, texts in _templates().items():
         for n, t in enumerate(texts):
             own = _words(t)
-            own = sorted(set(map(" ".join, zip(own, own[1:], strict=False))) or own)
+            own = sorted(set(map(" ".join, zip(own, own[1:], strict=False))) or set(own) - AMBIGUOUS)
             pairs += [(g, family, n, len(own)) for g in own]
     return (
         spark.createDataFrame(list(weights.items()), "gram string, weights array<double>"),

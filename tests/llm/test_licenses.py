@@ -27,6 +27,7 @@ ONE_LINE = {
     "Distributed under the GPL v2 or later.": "GPL",
     "This is free and unencumbered software released into the public domain.": "CC0",
     "SPDX-License-Identifier: MIT": "MIT",
+    "Licensed under MIT.": "MIT",
     "All rights reserved.": "Proprietary",
 }
 
@@ -60,6 +61,11 @@ def test_single_lines_other_licences_and_prose(spark):
         assert texts[r["doc_id"]][r["start"] : r["end"]] == texts[r["doc_id"]].split("\n")[1]
 
 
+def test_names_that_are_words_of_other_languages(spark):
+    texts = ["Wir fahren mit dem Zug mit vielen anderen und mit Freude.", "mit", "MIT", "Mit dem Programm der public library."]
+    assert scan.scan(documents(spark, texts)).count() == 0
+
+
 def test_classes_and_probabilities_like_numpy_whatever_was_left_out(spark):
     """Every paragraph, also those without a telling word, has the class that all weights give it."""
     plain = [*ONE_LINE, *OTHER, *scan.PROSE, "Nothing here.", "The quick brown fox.", "any of these work"]
