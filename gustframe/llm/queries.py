@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustframe.llm import bpe, chat, decontam, lcp, license_scan, minhash, oracles, quality_fm, secrets_ledger, sharding, toxicity_kn
+from gustframe.llm import bpe, chat, decontam, importance, lcp, license_scan, merkle, minhash, oracles, quality_fm, secrets_ledger, sharding, toxicity_kn
 from gustframe.llm.shared import shared_dir
 
 
@@ -118,6 +118,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn by their likeness to the benchmark's texts."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resample(docs, _table(spark, sf_dir, "benchmark").select("text"), percent=5, least_words=20, seed=42)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, each proved against the root; in half of the rows new lines are deleted first, which shows where there were any."""
+    docs = _table(spark, sf_dir, "documents")
+    fields = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    altered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    rows = docs.select("doc_id", "source", merkle.leaf(**fields).alias("leaf"), merkle.leaf(**(fields | {"text": altered})).alias("now"))
+    made = merkle.manifest(rows, "leaf", "source", "doc_id", keep=["now"])
+    out = made.select("doc_id", "leaf", "subroot", "root", merkle.proof("path").alias("proof_sha256"), merkle.folded("now", "path").alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -130,8 +147,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_lcp": op9_lcp,
         "op10_sharding": op10_sharding,
+        "op11_resample": op11_resample,
+        "op13_merkle": op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": oracles.CHAT, "op5_minhash": oracles.NEAR, "op6_secrets": oracles.SECRETS}
+    return {"op3_chat": oracles.CHAT, "op5_minhash": oracles.NEAR, "op6_secrets": oracles.SECRETS, "op11_resample": oracles.RESAMPLE, "op13_merkle": oracles.MERKLE}

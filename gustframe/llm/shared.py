@@ -9,13 +9,17 @@ from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text of one slice that a Python task holds at a time, in bytes; a single longer text makes a slice of its own.
 SLICE_BYTES = 4 << 20
 #: Bytes of an Arrow batch between Spark and a Python worker.
 BATCH_BYTES = 8 << 20
+#: Up to so many rows of a small table are sent to every executor.
+SENT_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +59,29 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def sent_if_small(df: DataFrame, most: int = SENT_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has no more than `most` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def ranked(df: DataFrame, by: str, order: list[Column], rank: str = "rank", total: str = "total") -> tuple[DataFrame, DataFrame]:
+    """(df with `rank`, 0, 1, ... in each group in the given order, and `total`, the rows of the group; the written table behind it).
+
+    Rows are cut into ranges of group and order, so that a group of any size is spread over the tasks; what stands before a range is
+    a sum over ranges. A null group is a group. df is read twice and should be a table. Rows that `order` does not tell apart may
+    take each other's place.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(df.repartitionByRange(parts, F.col(by).asc_nulls_first(), *order).withColumn("__part", F.spark_partition_id()), "placed")
+    sizes = placed.groupBy(by, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    group = W.partitionBy(by)
+    before = F.coalesce(F.sum("__n").over(group.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col(by).alias("__by"), F.col("__part").alias("__at"), before.alias("__before"), F.sum("__n").over(group).alias(total))
+    inside = placed.withColumn(rank, F.row_number().over(W.partitionBy(by, "__part").orderBy(*order)) - 1)
+    both = inside.join(sent_if_small(starts), F.col(by).eqNullSafe(F.col("__by")) & (F.col("__part") == F.col("__at")))
+    return both.withColumn(rank, F.col(rank) + F.col("__before")).drop("__by", "__at", "__part", "__before"), placed
+
+
 class WordHash(dict):
     """word -> 64-bit hash, the same in every process. The one memory of words that a Python worker keeps."""
 
