@@ -30,22 +30,28 @@ select conv_id, count(*)::bigint as n_turns,
 from t group by conv_id
 """
 
-NEAR = r"""
+
+def _near(words: int, out: str) -> str:
+    return f"""
 with recursive w as (
-  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents
 ), s as (
-  select doc_id, case when len(w) = 0 then []::varchar[] when len(w) < 4 then [array_to_string(w, ' ')]
-    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as sh from w
+  select doc_id, case when len(w) = 0 then []::varchar[] when len(w) < {words} then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - {words - 2}), lambda i: array_to_string(w[i:i + {words - 1}], ' '))) end as sh from w
 ), e as (select doc_id, len(sh) as n, unnest(sh) as g from s),
 pairs as (select a.doc_id as x, b.doc_id as y, a.n as nx, b.n as ny, count(*) as c from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by all),
 links as (select x, y from pairs where 100 * c >= 80 * (nx + ny - c)),
 edges as (select x, y from links union all select y, x from links),
 reach(x, y) as (select doc_id, doc_id from documents union select r.x, e.y from reach r join edges e on r.y = e.x),
 comp as (select x as doc_id, min(y) as component_id from reach group by x)
-select s.doc_id, len(s.sh)::bigint as n_shingles, component_id, s.doc_id = component_id as kept from s join comp using (doc_id)
+select s.doc_id, len(s.sh)::bigint as n_shingles, component_id{out} from s join comp using (doc_id)
 """
 
 
+NEAR = _near(4, ", s.doc_id = component_id as kept")
+JOIN = _near(5, "")
+
+
 def _spans(rank: int, rule: Rule) -> str:
     p = _quoted(rule.pattern)
     # An empty piece stands before a match at the beginning, as one does after a match at the end.

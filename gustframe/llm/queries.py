@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustframe.llm import bpe, chat, decontam, importance, lcp, license_scan, merkle, minhash, oracles, quality_fm, secrets_ledger, sharding, toxicity_kn
+from gustframe.llm import bpe, chat, decontam, importance, lcp, license_scan, merkle, minhash, ngram_join, oracles, quality_fm, secrets_ledger, sharding, toxicity_kn
 from gustframe.llm.shared import shared_dir
 
 
@@ -124,6 +124,11 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(docs, _table(spark, sf_dir, "benchmark").select("text"), percent=5, least_words=20, seed=42)
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by their sets of five-word shingles."""
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), words=5, threshold_percent=80)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all documents, each proved against the root; in half of the rows new lines are deleted first, which shows where there were any."""
     docs = _table(spark, sf_dir, "documents")
@@ -148,9 +153,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_lcp": op9_lcp,
         "op10_sharding": op10_sharding,
         "op11_resample": op11_resample,
+        "op12_ngram_join": op12_ngram_join,
         "op13_merkle": op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": oracles.CHAT, "op5_minhash": oracles.NEAR, "op6_secrets": oracles.SECRETS, "op11_resample": oracles.RESAMPLE, "op13_merkle": oracles.MERKLE}
+    return {"op3_chat": oracles.CHAT, "op5_minhash": oracles.NEAR, "op6_secrets": oracles.SECRETS, "op11_resample": oracles.RESAMPLE, "op12_ngram_join": oracles.JOIN, "op13_merkle": oracles.MERKLE}

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,6 +83,37 @@ def ranked(df: DataFrame, by: str, order: list[Column], rank: str = "rank", tota
     return both.withColumn(rank, F.col(rank) + F.col("__before")).drop("__by", "__at", "__part", "__before"), placed
 
 
+class Frequent:
+    """A mergeable summary of 64-bit keys: at most `most` of them with counts, among them every key whose share is above 1 / most.
+    Where more keys are met, the count of the first that has no place is taken from all alike, so counts are lower bounds."""
+
+    #: Keys that wait until they are merged.
+    DUE = 1 << 20
+
+    def __init__(self, most: int) -> None:
+        self.most, self.keys, self.counts = most, np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.due: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.due.append(keys)
+        self.size += len(keys)
+        if self.size > self.DUE:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.due:
+            own, n = np.unique(np.concatenate(self.due), return_counts=True)
+            every, at = np.unique(np.concatenate([self.keys, own]), return_inverse=True)
+            total = np.zeros(len(every), np.int64)
+            np.add.at(total, at, np.concatenate([self.counts, n]))
+            if len(every) > self.most:
+                total -= np.partition(total, len(total) - self.most - 1)[len(total) - self.most - 1]
+            self.keys, self.counts = every[total > 0], total[total > 0]
+            self.due, self.size = [], 0
+        return self.keys, self.counts
+
+
 class WordHash(dict):
     """word -> 64-bit hash, the same in every process. The one memory of words that a Python worker keeps."""
 

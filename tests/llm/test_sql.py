@@ -9,7 +9,7 @@ from gustframe.llm import queries
 from tests.llm.helpers import SF
 
 
-@pytest.mark.parametrize("name", ["op11_resample", "op13_merkle"])
+@pytest.mark.parametrize("name", ["op11_resample", "op12_ngram_join", "op13_merkle"])
 def test_like_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
