@@ -7,22 +7,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gustframe.functions.times import micros
+from gustframe.operators.relational import sent_if_small
 
 RULES = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "first": F.first, "last": F.last}
 
 
-def resample(df: DataFrame, by: str, ts: str, rules: dict[str, str], seconds: int = 3600, origin: str = "start", fill: bool = True) -> DataFrame:
+def resample(df: DataFrame, by: str, ts: str, rules: dict[str, str], seconds: int = 3600, origin: str = "start", fill: bool = True, partial: bool = False) -> DataFrame:
     """Bins of `seconds`, closed and labelled left, per series `by`: (by, ts, one column a rule).
 
     origin "start": bins count from the series' first stamp; "midnight": from a whole multiple of the bin since 1970, which is
     midnight for bins that divide a day. Bins without rows are emitted (fill): sums are 0 there, everything else null.
 
-    One exchange, on `by`: the window, the aggregate (by is a prefix of its keys) and the spine share its partitioning.
+    One exchange, on `by`: the window, the aggregate (by is a prefix of its keys) and the spine share its partitioning. With
+    partial, a series' start is an aggregate of its own that the rows meet before anything is dealt out, so that bins are summed where
+    the rows are and only bins travel, whatever share of the rows one series has; df is read twice (its keys and stamps alone
+    the first time), which pays where it is a table and not the end of a long plan.
     """
     step = seconds * 1_000_000
     at = micros(ts)
-    start = F.min(at).over(W.partitionBy(by)) if origin == "start" else F.floor(F.min(at).over(W.partitionBy(by)) / F.lit(step)) * step
-    binned = df.filter(F.col(ts).isNotNull()).select(by, *rules, at.alias("__at"), start.cast("long").alias("__start"))
+    rows = df.filter(F.col(ts).isNotNull())
+    if partial:
+        starts = rows.groupBy(F.col(by).alias("__by")).agg(F.min(at).alias("__start"))
+        begun = rows.join(sent_if_small(starts), F.col(by).eqNullSafe(F.col("__by")))
+        start = F.col("__start")
+    else:
+        begun, start = rows, F.min(at).over(W.partitionBy(by))
+    if origin != "start":
+        start = F.floor(start / F.lit(step)) * step
+    binned = begun.select(by, *rules, at.alias("__at"), start.cast("long").alias("__start"))
     binned = binned.withColumn("__bin", F.floor((F.col("__at") - F.col("__start")) / F.lit(step)).cast("long"))
     aggs = [RULES[r](c).alias(c) for c, r in rules.items()]
     found = binned.groupBy(by, "__start", "__bin").agg(*aggs)

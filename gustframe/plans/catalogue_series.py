@@ -25,25 +25,25 @@ select station_id, ((s + bin * {us}) // 1000000)::bigint as t, {out} from sp lef
 
 @query(_grid(3600, "start", "avg(v) as v", fill={"v": "round(v, 6)"}))
 def q_resample_start(t: Tables):
-    return resample(t.stations(), "station_id", "timestamp", {"v": "mean"}).select("station_id", epoch("timestamp").alias("t"), r6("v").alias("v"))
+    return resample(t.stations(), "station_id", "timestamp", {"v": "mean"}, partial=True).select("station_id", epoch("timestamp").alias("t"), r6("v").alias("v"))
 
 
 @query(_grid(3600, "start", "sum(v) as rain, avg(v) as duration", holes=True, fill={"rain": "round(coalesce(rain, 0), 6)", "duration": "round(duration, 6)"}))
 def q_resample_mixed(t: Tables):
     f = t.stations(holes=7).select("station_id", "timestamp", F.col("v").alias("rain"), F.col("v").alias("duration"))
-    out = resample(f, "station_id", "timestamp", {"rain": "sum", "duration": "mean"})
+    out = resample(f, "station_id", "timestamp", {"rain": "sum", "duration": "mean"}, partial=True)
     return out.select("station_id", epoch("timestamp").alias("t"), r6("rain").alias("rain"), r6("duration").alias("duration"))
 
 
 @query(_grid(3600, "midnight", "avg(v) as v", fill={"v": "round(v, 6)"}))
 def q_resample_hour(t: Tables):
-    return resample(t.stations(), "station_id", "timestamp", {"v": "mean"}, origin="midnight").select("station_id", epoch("timestamp").alias("t"), r6("v").alias("v"))
+    return resample(t.stations(), "station_id", "timestamp", {"v": "mean"}, origin="midnight", partial=True).select("station_id", epoch("timestamp").alias("t"), r6("v").alias("v"))
 
 
 @query(_grid(1800, "start", "avg(v) as v, max(v) as top", fill={"v": "round(v, 6)", "top": "top"}))
 def q_resample_30min(t: Tables):
     f = t.stations().withColumn("top", F.col("v"))
-    return resample(f, "station_id", "timestamp", {"v": "mean", "top": "max"}, 1800).select("station_id", epoch("timestamp").alias("t"), r6("v").alias("v"), "top")
+    return resample(f, "station_id", "timestamp", {"v": "mean", "top": "max"}, 1800, partial=True).select("station_id", epoch("timestamp").alias("t"), r6("v").alias("v"), "top")
 
 
 # Both sides are all events: the right ones happen ten minutes later, or earlier for odd users, and every fifth has no value.
@@ -77,7 +77,7 @@ select event_id, round(pm, 6) as pm from l asof left join h on l.station_id = h.
 )
 def q_asof_resampled(t: Tables):
     left, right = _sides(t)
-    hourly = resample(right.select("station_id", "timestamp", "pm"), "station_id", "timestamp", {"pm": "mean"})
+    hourly = resample(right.select("station_id", "timestamp", "pm"), "station_id", "timestamp", {"pm": "mean"}, partial=True)
     return asof_backward(left, hourly, "station_id", "timestamp", ["pm"]).select("event_id", r6("pm").alias("pm"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gustframe.config import PvParams
 from gustframe.functions import solar
-from gustframe.operators.asof import asof_backward
+from gustframe.operators.asof import CHUNK_SECONDS, asof_backward
 from gustframe.operators.impute import impute
 from gustframe.operators.quality import complete_enough
 from gustframe.operators.relational import with_grid
@@ -24,7 +24,7 @@ def prepare(stations: DataFrame, aerosol: DataFrame | None = None, threshold: fl
         df = resample(df, by, ts, {c: "sum" if c == "precipitation_rate" else "mean" for c in WEATHER})
     if aerosol is not None:
         dense = resample(aerosol, by, ts, {"pm2_5": "mean", "pm10": "mean"})
-        df = asof_backward(df, dense, by, ts, ["pm2_5", "pm10"], clip=True)
+        df = asof_backward(df, dense, by, ts, ["pm2_5", "pm10"], clip=True, chunk=None if hourly else CHUNK_SECONDS)
         df = impute(df, by, ts, [*WEATHER, "pm2_5", "pm10"], zero=0.0)
     return df
 

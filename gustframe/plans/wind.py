@@ -12,7 +12,7 @@ from gustframe.functions import atmosphere as air
 from gustframe.functions import wind
 from gustframe.functions.nulls import round_even
 from gustframe.functions.times import in_days
-from gustframe.operators.asof import asof_backward
+from gustframe.operators.asof import CHUNK_SECONDS, asof_backward
 from gustframe.operators.curves import interpolated
 from gustframe.operators.impute import impute
 from gustframe.operators.quality import complete_enough
@@ -49,7 +49,7 @@ def prepare(stations: DataFrame, vertical: DataFrame | None = None, columns: lis
     if hourly:
         df = resample(df, by, ts, dict.fromkeys(columns, "mean"))
     if vertical is not None:
-        df = asof_backward(df, vertical, by, ts, ["w_vert"], "starttime" if "starttime" in vertical.columns else None, clip=True)
+        df = asof_backward(df, vertical, by, ts, ["w_vert"], "starttime" if "starttime" in vertical.columns else None, clip=True, chunk=None if hourly else CHUNK_SECONDS)
     return df
 
 
