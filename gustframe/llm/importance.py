@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustframe.llm.shared import ranked, slices, small_batches, written
+from gustframe.llm.shared import Frequent, discard, most_counted, ranked, slices, small_batches, written
 
 BUCKETS = 10_000
 #: Head words and their longest, in bytes: at most 4 MB are sent.
@@ -63,16 +63,15 @@ def _tables() -> np.ndarray:
 
 
 class Head:
-    """Frequent words (sorted) and frequent pairs of their numbers (key: first * HEAD_WORDS + second)."""
+    """Frequent words and frequent pairs of their numbers, the most frequent last (key: first * HEAD_WORDS + second)."""
 
-    def __init__(self, words: list[bytes], pairs: np.ndarray) -> None:
+    def __init__(self, words: list[bytes], pairs: list[tuple[int, int]]) -> None:
         self.words = {w: zlib.crc32(w) | (i + 1) << 32 for i, w in enumerate(words)}
         self.keys = np.full(PAIR_PLACES, np.uint64(2**64 - 1))
         self.states = np.zeros(PAIR_PLACES, np.uint32)
         # The most frequent pair of a place stays there; the others belong to the tail.
-        for key in pairs[::-1].tolist():
-            a, b = divmod(key, HEAD_WORDS)
-            at = int(_place(np.array([key], np.uint64))[0])
+        keys = np.array([a * HEAD_WORDS + b for a, b in pairs], np.uint64)
+        for at, key, (a, b) in zip(_place(keys).tolist(), keys, pairs, strict=True):
             self.keys[at], self.states[at] = key, zlib.crc32(b" " + words[b], zlib.crc32(words[a]))
 
 
@@ -114,13 +113,6 @@ class Hasher:
             out[i] = zlib.crc32(words[i], int(spaced[i]))
         return out
 
-    def pair_keys(self, words: list[bytes]) -> np.ndarray:
-        """Keys of neighbours that are both in the head."""
-        n = (np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words)) >> np.uint64(32)).astype(np.int64)
-        a, b = n[:-1], n[1:]
-        both = (a > 0) & (b > 0)
-        return ((a[both] - 1) * HEAD_WORDS + b[both] - 1).astype(np.uint64)
-
     def states(self, words: list[bytes]) -> np.ndarray:
         """States of all features: those of words, of pairs, of triples."""
         found = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
@@ -152,63 +144,40 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
             yield words_of(t)
 
 
-def _head_words(texts: DataFrame) -> list[bytes]:
-    def count(batches):
+def _counted(texts: DataFrame, summary: int) -> DataFrame:
+    """(w: a word, or null, k: the CRCs of a pair, or null, n) in one pass: words are counted exactly, pairs in summaries."""
+
+    def rows(words: list[tuple[bytes, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"w": pa.array([w for w, _ in words], pa.binary()), "k": pa.nulls(len(words), pa.int64()), "n": pa.array([n for _, n in words], pa.int64())})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = _Tail({}), Frequent(summary)
         held: Counter = Counter()
         for words in _each(batches):
             held.update(words)
+            if len(words) > 1:
+                crc = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                seen.add(crc[:-1] << np.uint64(32) | crc[1:])
             if len(held) > HELD_WORDS:
-                yield _counts(held)
+                yield rows([(w, n) for w, n in held.items() if len(w) <= HEAD_BYTES])
                 held = Counter()
-        yield _counts(held)
-
-    def _counts(held: Counter) -> pa.RecordBatch:
-        short = [(w, n) for w, n in held.items() if len(w) <= HEAD_BYTES]
-        return pa.RecordBatch.from_pydict({"w": pa.array([w for w, _ in short], pa.binary()), "n": pa.array([n for _, n in short], pa.int64())})
+        yield rows([(w, n) for w, n in held.items() if len(w) <= HEAD_BYTES])
+        keys, counts = seen.merge()
+        keys, counts = keys[counts > 1], counts[counts > 1]
+        yield pa.RecordBatch.from_pydict({"w": pa.nulls(len(keys), pa.binary()), "k": pa.array(keys.view(np.int64)), "n": pa.array(counts)})
 
-    each = texts.mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return sorted(bytes(r["w"]) for r in each.orderBy(F.desc("n"), "w").limit(HEAD_WORDS).collect())  # at most HEAD_WORDS
-
-
-def _head_pairs(texts: DataFrame, words: list[bytes], summary: int) -> np.ndarray:
-    sent = texts.sparkSession.sparkContext.broadcast(Head(words, np.empty(0, np.uint64)))
-
-    def count(batches):
-        hasher = Hasher(sent.value)
-        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        due: list[np.ndarray] = []
-        size = 0
-
-        def merged():
-            own, n = np.unique(np.concatenate(due), return_counts=True)
-            every, at = np.unique(np.concatenate([keys, own]), return_inverse=True)
-            total = np.bincount(at, np.concatenate([counts, n]).astype(float), len(every)).astype(np.int64)
-            if len(every) > summary:
-                # A mergeable summary: less the count of the first pair that has no place, for all alike.
-                total -= np.partition(total, len(total) - summary - 1)[len(total) - summary - 1]
-            return every[total > 0], total[total > 0]
-
-        for found in _each(batches):
-            if len(found) > 1:
-                due.append(hasher.pair_keys(found))
-                size += len(due[-1])
-            if size > 1 << 20:
-                keys, counts = merged()
-                due, size = [], 0
-        if due:
-            keys, counts = merged()
-        yield pa.RecordBatch.from_pydict({"k": pa.array(keys.astype(np.int64)), "n": pa.array(counts)})
-
-    each = texts.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    best = each.orderBy(F.desc("n"), "k").limit(PAIR_PLACES // 4).collect()  # bounded
-    return np.array([r["k"] for r in best], np.uint64)
+    return texts.mapInArrow(count, "w binary, k long, n long").groupBy("w", "k").agg(F.sum("n").alias("n"))
 
 
 def head(texts: DataFrame, text: str = "text", summary: int = SUMMARY) -> Broadcast:
     """The frequent words and pairs of texts, as every task gets them. A task's summary of pairs holds at most `summary`."""
-    own = _texts(texts, text)
-    words = _head_words(own)
-    return texts.sparkSession.sparkContext.broadcast(Head(words, _head_pairs(own, words, summary)))
+    each = written(_counted(_texts(texts, text), summary), "counted")
+    words = sorted(most_counted(each.filter("w is not null").select("w", "n"), HEAD_WORDS).column("w").to_pylist())
+    pairs = most_counted(each.filter("k is not null").select("k", "n"), PAIR_PLACES // 4).sort_by("n")
+    discard(each)
+    number = {zlib.crc32(w): i for i, w in enumerate(words)}
+    known = [(number.get(k >> 32), number.get(k & 0xFFFFFFFF)) for k in pairs.column("k").to_numpy().view(np.uint64).tolist()]
+    return texts.sparkSession.sparkContext.broadcast(Head(words, [(a, b) for a, b in known if a is not None and b is not None]))
 
 
 def totals(texts: DataFrame, sent: Broadcast, text: str = "text") -> list[int]:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gustframe.llm.minhash import _common, _digest, _full_sets, _text_hash, components, shingle_hashes
-from gustframe.llm.shared import Frequent, discard, map_texts, ranked, slices, small_batches, written
+from gustframe.llm.shared import Frequent, discard, map_texts, most_counted, ranked, slices, small_batches, written
 
 #: Coordinates of a point: groups of shingles, by their hash.
 GROUPS = 128
@@ -70,7 +70,7 @@ def _frequent(df: DataFrame, words: int, text: str) -> Broadcast:
         yield pa.RecordBatch.from_pydict({"k": pa.array(keys.view(np.int64)), "n": pa.array(counts)})
 
     each = df.select(F.col(text).alias("t")).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    best = each.filter("n > 3").orderBy(F.desc("n"), "k").limit(FREQUENT).toArrow()  # bounded
+    best = most_counted(each.filter("n > 3"), FREQUENT)
     keys, n = best.column("k").to_numpy().view(np.uint64), best.column("n").to_numpy()
     order = np.argsort(keys)
     return df.sparkSession.sparkContext.broadcast((keys[order], np.log2(np.maximum(n[order], 1)).astype(np.uint8)))
