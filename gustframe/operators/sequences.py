@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gustframe.functions.draws import normal
 from gustframe.functions.nulls import col, div
 from gustframe.functions.times import age_years, commissioned, micros
+from gustframe.operators.asof import CHUNK_SECONDS
+from gustframe.operators.scan import affine_scan
 
 
 def ageing(df: DataFrame, by: str, ts: str, since: Column | str, rate: float = 0.0063, name: str = "degradation") -> DataFrame:
@@ -54,10 +53,6 @@ def ageing_from(df: DataFrame, by: str, ts: str, years: Column | str, rate: floa
     return own.withColumn(name, F.col("__a") + (F.col("__b") - F.col("__a")) * F.coalesce(F.try_divide(F.col("__i"), F.col("__n") - 1), F.lit(0.0))).drop("__a", "__b", "__i", "__n")
 
 
-#: Rows of a series that are folded in one go: a week, 1 008 rows of ten minutes.
-CHUNK_SECONDS = 7 * 86_400
-
-
 def _wash(df: DataFrame, ts: str, rain: str, minutes: str, settled: Column | str, threshold: float, cleaning: float, step_minutes: float) -> DataFrame:
     """df with __a and __b, the step from one row's dust to the next as a * dust + b, and __chunk."""
     rained = F.coalesce(F.col(rain) >= threshold, F.lit(False))
@@ -91,50 +86,31 @@ def final_dust(df: DataFrame, by: str, ts: str, rain: str, minutes: str, settled
     return line.select(by, F.aggregate(rest, F.col("x")[0]["first"], lambda w, x: x["a"] * w + x["b"]).alias("dust"))
 
 
-def dust(df: DataFrame, by: list[str], ts: str, rain: str, minutes: str, settled: str, start: float, threshold: float, cleaning: float, step_minutes: float) -> DataFrame:
-    """df with `dust` at every row, as in final_dust(). One group is one series (station and tilt). Each chunk of a series is folded
-    from the dust that the chunks before it leave."""
+def dust(df: DataFrame, by: list[str], ts: str, rain: str, minutes: str, settled: str, start: Column | float, threshold: float, cleaning: float, step_minutes: float) -> DataFrame:
+    """df with `dust` at every row, as in final_dust(). A series is one station and tilt. start: a number, or a column of `by`, such
+    as drawn_dust()."""
     steps = _wash(df, ts, rain, minutes, settled, threshold, cleaning, step_minutes)
-    chunks = _chunks(steps, by, ts, start)
-    begin = T.StructType([*(chunks.schema[c] for c in (*by, "__chunk")), T.StructField("__w", T.DoubleType())])
-
-    def before(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__chunk")
-        w, out = float("nan"), []
-        for i, (a, b, first) in enumerate(zip(pdf["a"], pdf["b"], pdf["first"], strict=True)):
-            out.append(w)  # NaN: the series begins here
-            w = a * w + b if i else first
-        return pdf.assign(__w=out)[[*by, "__chunk", "__w"]]
+    out = affine_scan(steps, by, ts, {"a": F.col("__a"), "b": F.col("__b")}, lambda before, row: (row["a"], row["b"]), start, "dust", chunk=CHUNK_SECONDS)
+    return out.select(*df.columns, "dust")
 
-    begins = chunks.groupBy(*by).applyInPandas(before, begin)
-    schema = T.StructType([*df.schema.fields, T.StructField("dust", T.DoubleType())])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="stable")
-        w, out = float(pdf["__w"].iloc[0]), []
-        for a, b in zip(pdf["__a"].to_numpy(), pdf["__b"].to_numpy(), strict=True):
-            w = a * w + b if w == w else float(start)
-            out.append(w)
-        return pdf.assign(dust=out)[schema.names]
-
-    return steps.join(begins, [*by, "__chunk"]).groupBy(*by, "__chunk").applyInPandas(fold, schema)
+def drawn_dust(*by: str, seed: int = 42, mean: float = 4.0, deviation: float = 1.0, least: float = 0.0) -> Column:
+    """The dust that a series begins with, from N(mean, deviation), not below `least`: drawn by a hash of seed and keys."""
+    return F.greatest(F.lit(mean) + deviation * normal(seed, *by), F.lit(float(least)))
 
 
 def inertia(df: DataFrame, by: str, ts: str, power: str, speed: str, step_seconds: float, tau: float, alpha: float, cut_in: float, least_tau: float, name: str = "smoothed") -> DataFrame:
     """Falling power decays: a drop keeps the former value times exp(-dt / tau_eff), tau_eff = max(least_tau, tau (1 + alpha (cut_in - v))).
 
-    A rise resets, so rows between resets multiply: the product is the exponential of a running sum. Nothing precedes the first
-    reset, so drops before it give 0. Both windows share one exchange and sort."""
-    w = W.partitionBy(by).orderBy(ts)
-    fell = F.col(power) < F.lag(power).over(w)
-    marked = df.withColumn("__fell", F.coalesce(fell, F.lit(False))).withColumn("__first", F.row_number().over(w) == 1)
-    marked = marked.withColumn("__run", F.sum(F.when(F.col("__fell") | F.col("__first"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    run = W.partitionBy(by, "__run").orderBy(ts).rowsBetween(W.unboundedPreceding, 0)
+    A rise begins anew with its power. Nothing precedes the first rise, so drops before it give 0, and the first row shows its power."""
     eff = F.greatest(F.lit(float(least_tau)), tau * (1 + alpha * (cut_in - F.col(speed))))
-    decay = F.sum(F.when(F.col("__fell"), F.try_divide(F.lit(-float(step_seconds)), eff)).otherwise(0.0)).over(run)
-    base = F.when(F.col("__run") == 0, 0.0).otherwise(F.first(power).over(run))
-    value = F.when(F.col("__first"), F.col(power)).when(F.col("__fell"), base * F.exp(decay)).otherwise(F.col(power))
-    return marked.withColumn(name, value).drop("__fell", "__first", "__run")
+    decay = F.coalesce(F.exp(F.try_divide(F.lit(-float(step_seconds)), eff)), F.lit(1.0))
+
+    def step(before: Column, row: Column) -> tuple[Column, Column]:
+        fell = F.coalesce(row["p"] < before["p"], F.lit(False))
+        return F.when(fell, row["decay"]).otherwise(0.0), F.when(fell, 0.0).otherwise(row["p"])
+
+    return affine_scan(df, [by], ts, {"p": F.col(power).cast("double"), "decay": decay}, step, 0.0, name, shown_first="p")
 
 
 def forward_fill(df: DataFrame, by: str, order: str, columns: list[str]) -> DataFrame:

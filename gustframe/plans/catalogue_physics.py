@@ -285,9 +285,7 @@ def q_wind_plan(t: Tables):
     return out.groupBy("station_id", "turbine_no").agg(F.count(F.lit(1)).alias("hours"), r6(F.sum("power") / 1e6, 3).alias("energy_mwh"))
 
 
-@query()
-def q_pv_plan(t: Tables):
-    """The whole photovoltaic plan over two planes with ageing."""
+def _pv_plan(t: Tables, **more):
     from gustframe.config import PvParams
     from gustframe.plans.pv import prepare, simulate
 
@@ -295,5 +293,21 @@ def q_pv_plan(t: Tables):
     value = F.col("v") * 25
     w = _weather(t).select("station_id", "timestamp", (value / 2).alias("ghi"), F.when(i % 6 != 0, value / 5).alias("dhi"), F.col("t").alias("temperature_2m"), F.col("v").alias("wind_speed"), F.col("rh").alias("precipitation_rate"), F.col("sigma").alias("precipitation_duration"))
     sites = t("customer").select(F.col("c_custkey").alias("station_id"), (47 + F.col("c_nationkey") / 3).alias("latitude"), (6 + F.col("c_nationkey") / 4).alias("longitude"))
-    out = simulate(prepare(w), sites, PvParams(planes=((35.0, 180.0), (10.0, 90.0))), commissioned=F.lit("2020-03-01").cast("timestamp"))
-    return out.groupBy("station_id", "tilt", "azimuth").agg(F.count(F.lit(1)).alias("hours"), r6(F.sum("power") / 1e3, 2).alias("energy_kwh"))
+    weather = prepare(w)
+    if more:
+        weather = weather.withColumn("pm10", F.col("wind_speed") / 1e6)
+    out = simulate(weather, sites, PvParams(planes=((35.0, 180.0), (10.0, 90.0)), **more), commissioned=F.lit("2020-03-01").cast("timestamp"))
+    sums = [F.count(F.lit(1)).alias("hours"), r6(F.sum("power") / 1e3, 2).alias("energy_kwh")]
+    return out.groupBy("station_id", "tilt", "azimuth").agg(*sums, *([r6(F.avg("dust"), 4).alias("dust")] if more else []))
+
+
+@query()
+def q_pv_plan(t: Tables):
+    """The whole photovoltaic plan over two planes with ageing."""
+    return _pv_plan(t)
+
+
+@query()
+def q_pv_plan_soiled(t: Tables):
+    """The same with dust that settles and is washed off; each plane begins with a drawn one."""
+    return _pv_plan(t, soiling={"velocity": 0.0009, "step_minutes": 60.0, "threshold": 60.0, "cleaning": 0.8, "seed": 42})

@@ -11,7 +11,7 @@ from gustframe.operators.asof import CHUNK_SECONDS, asof_backward
 from gustframe.operators.impute import impute
 from gustframe.operators.quality import complete_enough
 from gustframe.operators.relational import with_grid
-from gustframe.operators.sequences import ageing, ageing_from, dust
+from gustframe.operators.sequences import ageing, ageing_from, drawn_dust, dust
 from gustframe.operators.timegrid import resample
 
 WEATHER = ["ghi", "dhi", "temperature_2m", "wind_speed", "precipitation_rate", "precipitation_duration"]
@@ -33,7 +33,8 @@ def simulate(weather: DataFrame, sites: DataFrame, params: PvParams, by: str = "
     """(by, ts, tilt, azimuth, direct, diffuse, power) for every row and plane.
 
     sites: (by, latitude, longitude). start_age: years at the first stamp (drawn_age(), real_age()), where no date is known. What doesn't depend on the plane is computed before the planes multiply the rows.
-    compat: dust takes what it should leave.
+    compat: dust takes what it should leave. params.soiling: velocity, step_minutes, threshold, cleaning, and the dust that a plane
+    begins with: start, or with seed a draw for each plane.
     """
     spark = weather.sparkSession
     df = weather.join(sites, by)
@@ -56,7 +57,8 @@ def simulate(weather: DataFrame, sites: DataFrame, params: PvParams, by: str = "
     if params.soiling:
         s = params.soiling
         df = df.withColumn("settled", solar.deposition(F.col("pm10") * 1e3, s["velocity"], s["step_minutes"] * 60, "tilt"))
-        df = dust(df, [by, "tilt", "azimuth"], ts, "precipitation_rate", "precipitation_duration", "settled", s.get("start", 4.0), s["threshold"], s["cleaning"], s["step_minutes"])
+        start = drawn_dust(by, "tilt", "azimuth", seed=int(s["seed"])) if "seed" in s else s.get("start", 4.0)
+        df = dust(df, [by, "tilt", "azimuth"], ts, "precipitation_rate", "precipitation_duration", "settled", start, s["threshold"], s["cleaning"], s["step_minutes"])
         df = df.withColumn("dc", solar.soiled("dc", "dust", compat))
     ac = solar.ac_power("dc", params.dc_rating / params.dc_ac_ratio, params.eta_nominal, params.eta_reference)
     return df.withColumn("power", ac).drop("dc", "cell", "poa", "extra", "degradation")
