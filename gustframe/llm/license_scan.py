@@ -162,8 +162,8 @@ AMBIGUOUS = frozenset(["mit"])
 FAMILIES = (*NAMES, "unknown", "none")
 #: Least probability of a family, and least share of a template's word pairs.
 LEAST_PROBABILITY, LEAST_SIMILARITY = 0.5, 0.6
-#: Where a text is cut: after a line break that follows the end of a sentence or an empty (or only commented) line.
-CUT = r"(?<=[.!?:][ \t\r]{0,8}\n)|(?<=\n[ \t]{0,8}(?:/{0,2}\*{1,2}|//|#|--|;)?[ \t\r]{0,8}\n)"
+#: Where a text is cut (only behind a line break is the rest tried): after a line break that follows the end of a sentence or an empty (or only commented) line.
+CUT = r"(?<=\n)(?:(?<=[.!?:][ \t\r]{0,8}\n)|(?<=\n[ \t]{0,8}(?:/{0,2}\*{1,2}|//|#|--|;)?[ \t\r]{0,8}\n))"
 #: Comment marks at the beginning of a line.
 MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|--+|;+|<!--)[ \t]*"
 
@@ -248,6 +248,24 @@ def telling_words() -> list[str]:
     return sorted({w for g, own in weights.items() if max(own[:-1]) > own[-1] for w in g.split() if w not in STOP})
 
 
+def _one_of(given: list[str]) -> str:
+    """A pattern of the words with common beginnings written once, so that a place in a text is tried once for each letter."""
+    heads: dict[str, list[str]] = {}
+    for w in given:
+        heads.setdefault(w[:1], []).append(w[1:])
+    parts = []
+    for c in sorted(heads):
+        rest = heads[c]
+        parts.append("" if not c else c + (_one_of(rest) if len(rest) > 1 else rest[0]))
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(sorted(parts, reverse=True)) + ")"
+
+
+@lru_cache(1)
+def telling_pattern() -> str:
+    """Whether a lower-case text has a telling word."""
+    return f"(?<![a-z0-9]){_one_of(telling_words())}(?![a-z0-9])"
+
+
 def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """Fixed and small: (gram, weights); (gram, family, template, size) of the templates' word pairs, or of their only words."""
     weights, _ = trained()
@@ -283,12 +301,12 @@ def classify(paragraphs: DataFrame, text: str = "paragraph", key: str = "key") -
 
 def paragraphs(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, no, start, end, paragraph, key) of all paragraphs with a telling word; positions in code points, without the white space around."""
-    told = F.array(*[F.lit(w) for w in telling_words()])
-    source = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).filter(F.arrays_overlap(words(F.col("t")), told))
+    told = F.lit(telling_pattern())
+    source = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).filter(F.rlike(F.lower("t"), told))
     cut = source.select("doc_id", F.split("t", CUT, -1).alias("parts")).withColumn("sizes", F.transform("parts", F.length))
     # Sums of 256 sizes each, so that the place of a paragraph takes few additions in the longest text.
     cut = cut.withColumn("sums", F.transform(F.sequence(F.lit(0), F.expr("size(sizes) div 256")), lambda b: F.aggregate(F.slice("sizes", b * 256 + 1, 256), F.lit(0), lambda a, v: a + v)))
-    each = cut.select("doc_id", "sizes", "sums", F.posexplode("parts").alias("no", "part")).filter(F.arrays_overlap(words(F.col("part")), told))
+    each = cut.select("doc_id", "sizes", "sums", F.posexplode("parts").alias("no", "part")).filter(F.rlike(F.lower("part"), told))
     whole = F.aggregate(F.slice("sums", F.lit(1), F.expr("no div 256")), F.lit(0), lambda a, v: a + v)
     rest = F.aggregate(F.slice("sizes", F.expr("no div 256 * 256 + 1"), F.expr("no % 256")), F.lit(0), lambda a, v: a + v)
     # Only ASCII white space goes, which trimming and length agree on.
