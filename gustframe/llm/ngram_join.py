@@ -22,6 +22,7 @@ and text, whatever their names. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +31,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gustframe.llm.minhash import _common, _digest, _full_sets, _text_hash, components, shingle_hashes
+from gustframe.llm.minhash import _M, _common, _digest, _full_sets, _mixed, _text_hash, components
 from gustframe.llm.shared import Frequent, discard, map_texts, most_counted, ranked, slices, small_batches, written
 
-#: Coordinates of a point: groups of shingles, by their hash.
-GROUPS = 128
+#: Coordinates of a point: groups of shingles, by their hash. Sets of more than LONG shingles have FINE ones besides, of which GROUPS are
+#: sums; pairs of them are held against these before they are verified.
+GROUPS, FINE, LONG = 128, 2048, 1500
 #: Points of a page, and pages or boxes of a box.
 FAN = 32
 #: Shingles that a task's summary of frequent ones holds, and that are sent to every task with the size of their count (2.4 MB).
 SUMMARY, FREQUENT = 1 << 17, 1 << 18
 
 
-def counts_of(hashes: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((hashes % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS), 65535).astype(np.uint16)
+class _Words(dict):
+    """word -> 64-bit hash, as shared.WordHash gives for its text."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= 1 << 17:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+@lru_cache(1)
+def _known() -> _Words:
+    return _Words()
+
+
+def set_of(text: bytes | None, words: int) -> np.ndarray:
+    """minhash.shingle_hashes() of a text's bytes: A-Z in lower case, cut at ASCII white space."""
+    found = (text or b"").lower().split()
+    if not found:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(_known().__getitem__, found), np.uint64, len(found))
+    n, size = max(1, len(h) - words + 1), min(words, len(h))
+    acc = np.full(n, np.uint64(size))
+    for k in range(size):
+        acc = _mixed(acc * _M[0] + h[k : k + n])
+    acc.sort()
+    return acc[np.concatenate([[True], acc[1:] != acc[:-1]])]
+
+
+def counts_of(hashes: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """How many fall into each group."""
+    return np.bincount((hashes % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.uint32)
 
 
 def first_groups(hashes: np.ndarray, percent: int, known: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -64,12 +98,12 @@ def _frequent(df: DataFrame, words: int, text: str) -> Broadcast:
         seen = Frequent(SUMMARY)
         for part in slices(batches, "t"):
             for t in part.column("t").to_pylist():
-                seen.add(shingle_hashes(t, words))
+                seen.add(set_of(t, words))
         keys, counts = seen.merge()
         keys, counts = keys[counts > 1], counts[counts > 1]
         yield pa.RecordBatch.from_pydict({"k": pa.array(keys.view(np.int64)), "n": pa.array(counts)})
 
-    each = df.select(F.col(text).alias("t")).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    each = df.select(F.col(text).cast("binary").alias("t")).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     best = most_counted(each.filter("n > 3"), FREQUENT)
     keys, n = best.column("k").to_numpy().view(np.uint64), best.column("n").to_numpy()
     order = np.argsort(keys)
@@ -77,30 +111,31 @@ def _frequent(df: DataFrame, words: int, text: str) -> Broadcast:
 
 
 def _points(df: DataFrame, words: int, percent: int, sent: Broadcast, doc_id: str, text: str) -> DataFrame:
-    """(id, h: hash of the text, n, set: hash of the whole set, counts, first: fine groups) per row of df."""
+    """(id, h: hash of the text, n, set: hash of the whole set, counts, fine: finer ones of long sets, first: groups of the root) per row of df."""
 
     def make() -> Callable[[list], list[pa.Array]]:
         known, size = sent.value
 
         def f(texts: list) -> list[pa.Array]:
-            n, whole, counts, first = [], [], [], []
+            n, whole, counts, fine, first = [], [], [], [], []
             for t in texts:
-                h = shingle_hashes(t, words)
+                h = set_of(t, words)
                 n.append(len(h))
                 whole.append(_digest(h))
                 counts.append(counts_of(h).tobytes() if len(h) else None)
+                fine.append(counts_of(h, FINE).tobytes() if len(h) > LONG else None)
                 first.append(first_groups(h, percent, known, size).view(np.int64) if len(h) else np.empty(0, np.int64))
             ends = np.cumsum([0, *map(len, first)])
-            return [pa.array(n, pa.int64()), pa.array(whole, pa.binary()), pa.array(counts, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first) if first else [], pa.int64()))]
+            return [pa.array(n, pa.int64()), pa.array(whole, pa.binary()), pa.array(counts, pa.binary()), pa.array(fine, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first) if first else [], pa.int64()))]
 
         return f
 
-    fields = [T.StructField("n", T.LongType()), T.StructField("set", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("first", T.ArrayType(T.LongType(), False))]
-    return map_texts(df.select(F.col(doc_id).alias("id"), _text_hash(text).alias("h"), F.col(text).alias("text")), "text", ["id", "h"], make, fields)
+    fields = [T.StructField("n", T.LongType()), T.StructField("set", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("fine", T.BinaryType()), T.StructField("first", T.ArrayType(T.LongType(), False))]
+    return map_texts(df.select(F.col(doc_id).alias("id"), _text_hash(text).alias("h"), F.col(text).cast("binary").alias("text")), "text", ["id", "h"], make, fields)
 
 
 def _corners(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1).astype(np.int64)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1).astype(np.int64)
 
 
 def _able(a_n: np.ndarray, b_n: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
@@ -108,17 +143,28 @@ def _able(a_n: np.ndarray, b_n: np.ndarray, common: np.ndarray, percent: int) ->
     return common * (100 + percent) >= percent * (a_n + b_n)
 
 
-def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b, na, nb, ca, cb: counts) that the summed minima of their counts leave possible: (a, b)."""
+def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) that sizes and the summed minima of the counts leave possible; of two long sets those of the finer counts."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            if x.num_rows:
-                common = np.minimum(_corners(x.column("ca")), _corners(x.column("cb"))).sum(1)
-                ok = _able(x.column("na").to_numpy(), x.column("nb").to_numpy(), common, percent)
-                yield x.select(["a", "b"]).filter(pa.array(ok))
-
-    return pairs.mapInArrow(keep, "a long, b long")
+            if not x.num_rows:
+                continue
+            a, b = x.column("na").to_numpy(), x.column("nb").to_numpy()
+            ok = np.zeros(len(a), bool)
+            long = (a > LONG) & (b > LONG)
+            for kind, names in ((long, ("fa", "fb")), (~long, ("ca", "cb"))):
+                at = np.flatnonzero(kind)
+                for k in range(0, len(at), 1024):
+                    own = at[k : k + 1024]
+                    u, v = (_corners(x.column(c).take(pa.array(own))) for c in names)
+                    ok[own] = _able(a[own], b[own], np.minimum(u, v).sum(1), percent)
+            yield x.select(["a", "b"]).filter(pa.array(ok))
+
+    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"), F.col("fine").alias("fa"))
+    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"), F.col("fine").alias("fb"))
+    both = pairs.join(a, "a").join(b, "b").filter(f"na * {percent} <= nb * 100 and nb * {percent} <= na * 100")
+    return both.select("a", "b", "na", "nb", "ca", "cb", "fa", "fb").mapInArrow(keep, "a long, b long")
 
 
 def _order(nodes: DataFrame) -> DataFrame:
@@ -149,7 +195,7 @@ def _pages(points: DataFrame) -> DataFrame:
         for x in batches:
             rows = []
             for pivot, no, held in zip(x.column("pivot").to_pylist(), x.column("no").to_pylist(), x.column("x").to_pylist(), strict=True):
-                counts = np.frombuffer(b"".join(p["counts"] for p in held), np.uint16).reshape(len(held), -1)
+                counts = np.frombuffer(b"".join(p["counts"] for p in held), np.uint32).reshape(len(held), -1)
                 ns, cs = [p["n"] for p in held], [p["c"] for p in held]
                 rows.append((pivot, no, min(ns), max(ns), counts.max(0).tobytes(), cs[0] if len(set(cs)) == 1 else None, [p["node"] for p in held], ns, cs, counts.tobytes()))
             cols = list(zip(*rows, strict=True)) or [[]] * 10
@@ -165,7 +211,7 @@ def _boxes(below: DataFrame) -> DataFrame:
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            corner = [np.frombuffer(b"".join(own), np.uint16).reshape(len(own), -1).max(0).tobytes() for own in x.column("corners").to_pylist()]
+            corner = [np.frombuffer(b"".join(own), np.uint32).reshape(len(own), -1).max(0).tobytes() for own in x.column("corners").to_pylist()]
             at = x.schema.get_field_index("corners")
             yield pa.RecordBatch.from_arrays([pa.array(corner, pa.binary()) if i == at else c for i, c in enumerate(x.columns)], names=["corner" if n == "corners" else n for n in x.schema.names])
 
@@ -219,7 +265,7 @@ def _tree_pairs(points: DataFrame, percent: int) -> tuple[DataFrame, list[DataFr
     both = pairs.join(page.withColumnsRenamed({"no": "a", "x": "xa"}), ["pivot", "a"]).join(page.withColumnsRenamed({"no": "b", "x": "xb"}), ["pivot", "b"])
 
     def held(x: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        return np.array(x["nodes"]), np.array(x["ns"]), np.array(x["cs"]), np.frombuffer(x["counts"], np.uint16).reshape(len(x["ns"]), -1)
+        return np.array(x["nodes"]), np.array(x["ns"]), np.array(x["cs"]), np.frombuffer(x["counts"], np.uint32).reshape(len(x["ns"]), -1)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,16 +290,19 @@ def jaccard_components(df: DataFrame, words: int = 5, threshold_percent: int = 8
     """
     t = threshold_percent
     docs = written(_points(df, words, t, _frequent(df, words, text), doc_id, text), "points")
-    # Equal sets are one node; the document of the least id stands for it. Written, nodes keep their numbers.
-    nodes = docs.filter("n > 0 and id is not null").groupBy("set").agg(F.min(F.struct("id", "h")).alias("doc"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("first").alias("first"))
-    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "set", "doc.id", "doc.h", "n", "counts", "first"), "nodes")
-    branches = nodes.select("node", "id", F.explode("first").alias("branch"))
-    least = branches.groupBy("branch").agg(F.min_by("node", "id").alias("pivot"), F.count(F.lit(1)).alias("met")).filter("met > 1").select("branch", "pivot")
+    # Equal sets are one node; the document of the least id stands for it. Nodes are numbered in order of these ids, so that the least
+    # node of a branch or a component is that of the least id. Written, they keep their numbers.
+    nodes = docs.filter("n > 0 and id is not null").groupBy("set").agg(F.min(F.struct("id", "h")).alias("doc"), *[F.first(c).alias(c) for c in ("n", "counts", "fine", "first")])
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    line = written(nodes.select("set", "doc.id", "doc.h", "n", "counts", "fine", "first"), "sets")
+    nodes = line.repartitionByRange(parts, "id", "h", "set").sortWithinPartitions("id", "h", "set")
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), *line.columns), "nodes")
+    discard(line)
+    branches = nodes.select("node", F.explode("first").alias("branch"))
+    least = branches.groupBy("branch").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("met")).filter("met > 1").select("branch", "pivot")
     held = written(branches.join(least, "branch").filter("node <> pivot").select("node", "pivot").distinct(), "held")
     point = nodes.select("node", "n", "counts")
-    a, b = point.withColumnsRenamed({"node": "a", "n": "na", "counts": "ca"}), point.withColumnsRenamed({"node": "b", "n": "nb", "counts": "cb"})
-    stars = held.select(F.col("node").alias("a"), F.col("pivot").alias("b")).join(a, "a").join(b, "b").filter(f"na * {t} <= nb * 100 and nb * {t} <= na * 100")
-    stars = written(_bounded(stars, t), "stars")
+    stars = written(_bounded(held.select(F.col("node").alias("a"), F.col("pivot").alias("b")), nodes, t), "stars")
     linked = F.expr(f"100 * common >= {t} * (na + nb - common)")
     edges = written(_verified(df, stars, nodes, words, doc_id, text, t).filter(linked).select("a", "b"), "linked")
     comps = written(components(edges), "components")
@@ -265,18 +314,19 @@ def jaccard_components(df: DataFrame, words: int = 5, threshold_percent: int = 8
     stray = met.groupBy("pivot").agg(F.count(F.lit(1)).alias("k"), F.max((F.col("c") != F.col("pc")).cast("int")).alias("s")).filter("k > 1 and s = 1").select("pivot")
     inside = met.join(stray, "pivot", "left_semi").select("pivot", "node", "c").join(point, "node")
     points = written(_order(inside), "placed_points")
-    late, used = _tree_pairs(points, t)
-    late = written(late, "late")
+    near, used = _tree_pairs(points, t)
+    near = written(near, "near")
+    late = written(_bounded(near, nodes, t), "late")
     more = _verified(df, late, nodes, words, doc_id, text, t).filter(linked).select("a", "b")
     final = components(edges.unionByName(more))
-    # A component is named by its least id.
-    of = nodes.select("node", "set", "id").join(final.withColumnRenamed("id", "node"), "node", "left").select("set", "id", F.coalesce("component", "node").alias("c"))
-    of = written(of, "of")
-    named = written(of.join(of.groupBy("c").agg(F.min("id").alias("component")), "c").select("set", "component"), "named")
+    # A component is its least node, whose document has the least id.
+    of = nodes.select("node", "set").join(final.withColumnRenamed("id", "node"), "node", "left").select("set", F.coalesce("component", "node").alias("c"))
+    named = of.join(nodes.select(F.col("node").alias("c"), F.col("id").alias("component")), "c").select("set", "component")
+    named = written(named, "named")
     # Both sides are read from files, so that Spark can split a set that a large share of the rows has.
     found = docs.filter("n > 0").select("id", "n", "set").join(named, "set", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
     empty = docs.filter("n = 0").select("id", "n", F.col("id").alias("component"))
-    discard(nodes, held, stars, edges, comps, met, points, late, of, *used)
+    discard(nodes, held, stars, edges, comps, met, points, near, late, *used)
     return found.unionByName(empty).select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 

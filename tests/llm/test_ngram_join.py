@@ -75,6 +75,24 @@ def test_odd_rows(spark):
     assert ngram_join.jaccard_components(df.limit(0)).collect() == []
 
 
+@given(st.text(st.sampled_from("ab AÉé\t\n\x0b\x1c\x85\u3000😀"), max_size=40), st.integers(1, 6))
+@settings(max_examples=300, deadline=None)
+def test_sets_of_bytes_are_sets_of_texts(text, words):
+    assert ngram_join.set_of(text.encode(), words).tolist() == shingle_hashes(text, words).tolist()
+
+
+def test_long_sets_and_finer_counts(spark):
+    dice = random.Random(19)
+    base = [f"w{dice.randrange(10**6)}" for _ in range(6000)]
+    texts = []
+    for k in range(12):
+        own = list(base) if k < 6 else base[:2500] + [f"x{k}{dice.randrange(10**6)}" for _ in range(2500)]
+        for _ in range(k % 6 * 30):
+            own[dice.randrange(len(own))] = f"y{k}"
+        texts.append(" ".join(own))
+    assert _rows(ngram_join.jaccard_components(documents(spark, texts))) == _expected(texts, 5)
+
+
 @given(st.lists(st.integers(0, 40), min_size=1, max_size=40), st.lists(st.integers(0, 40), min_size=1, max_size=40), st.integers(50, 99))
 @settings(max_examples=300, deadline=None)
 def test_bounds_never_lose_a_link(a, b, percent):
