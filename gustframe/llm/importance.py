@@ -39,6 +39,10 @@ HEAD_WORDS, HEAD_BYTES = 1 << 16, 64
 PAIR_PLACES = 1 << 18
 #: Pairs that a task's summary holds, and distinct words that it holds before it hands them on.
 SUMMARY, HELD_WORDS = 1 << 17, 1 << 16
+#: Words outside the head that a task remembers.
+REMEMBERED = 1 << 18
+#: Bytes of text whose features are found at once.
+SLICE = 1 << 20
 #: Words of up to so many bytes are carried through tables, longer ones byte by byte.
 TABLE_BYTES = 64
 #: A-Z in lower case; what is neither 0-9, a-z nor beyond ASCII separates words.
@@ -87,7 +91,7 @@ class _Tail(dict):
         self.head = head
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= len(self.head) + HELD_WORDS:
+        if len(self) >= len(self.head) + REMEMBERED:
             self.clear()
             self.update(self.head)
         self[word] = found = zlib.crc32(word)
@@ -113,24 +117,31 @@ class Hasher:
             out[i] = zlib.crc32(words[i], int(spaced[i]))
         return out
 
-    def states(self, words: list[bytes]) -> np.ndarray:
-        """States of all features: those of words, of pairs, of triples."""
+    def states(self, words: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(states, text) of all features of texts that have so many of the words each: of words, of pairs, of triples. text: which one."""
         found = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         crc, number = found.astype(np.uint32), (found >> np.uint64(32)).astype(np.int64)
-        if len(words) < 2:
-            return crc
         lengths = np.fromiter(map(len, words), np.int64, len(words))
+        of = np.repeat(np.arange(len(sizes)), sizes)
         a, b = number[:-1], number[1:]
-        key = np.where((a > 0) & (b > 0), (a - 1) * HEAD_WORDS + b - 1, -1).astype(np.uint64)
+        both = (a > 0) & (b > 0)
+        key = ((a - 1) * HEAD_WORDS + b - 1).astype(np.uint64)
         place = _place(key)
-        known = (self.head.keys[place] == key) & (a > 0) & (b > 0)
-        pairs = np.where(known, self.head.states[place], np.uint32(0))
+        known = both & (self.head.keys[place] == key)
+        pairs = self.head.states[place]
         tail = np.flatnonzero(~known)
-        pairs[tail] = self._then(crc[tail], [words[i + 1] for i in tail.tolist()] if (lengths > TABLE_BYTES).any() else [], crc[tail + 1], lengths[tail + 1])
-        return np.concatenate([crc, pairs, self._then(pairs[:-1], words[2:], crc[2:], lengths[2:])])
+        long = bool((lengths > TABLE_BYTES).any())
+        pairs[tail] = self._then(crc[tail], [words[i + 1] for i in tail.tolist()] if long else [], crc[tail + 1], lengths[tail + 1])
+        # Pairs and triples that reach into the next text are none.
+        two, three = of[:-1] == of[1:], of[:-2] == of[2:]
+        triples = self._then(pairs[:-1], words[2:] if long else [], crc[2:], lengths[2:])
+        return np.concatenate([crc, pairs[two], triples[three]]), np.concatenate([of, of[:-1][two], of[:-2][three]])
 
-    def buckets(self, words: list[bytes]) -> np.ndarray:
-        return (self.states(words) % np.uint32(BUCKETS)).astype(np.int64)
+    def buckets(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket, text) of all features of some texts, given by their words."""
+        sizes = np.array([len(w) for w in texts], np.int64)
+        states, of = self.states([w for own in texts for w in own], sizes)
+        return (states % np.uint32(BUCKETS)).astype(np.int64), of
 
 
 def _texts(df: DataFrame, text: str, *more) -> DataFrame:
@@ -138,10 +149,10 @@ def _texts(df: DataFrame, text: str, *more) -> DataFrame:
     return df.select(*more, F.col(text).cast("binary").alias("t"))
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    for part in slices(batches, "t"):
-        for t in part.column("t").to_pylist():
-            yield words_of(t)
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """Slices of about a megabyte of text, and the words of each text."""
+    for part in slices(batches, "t", SLICE):
+        yield part, [words_of(t) for t in part.column("t").to_pylist()]
 
 
 def _counted(texts: DataFrame, summary: int) -> DataFrame:
@@ -153,11 +164,12 @@ def _counted(texts: DataFrame, summary: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = _Tail({}), Frequent(summary)
         held: Counter = Counter()
-        for words in _each(batches):
+        for _, texts in _parts(batches):
+            words = [w for own in texts for w in own]
             held.update(words)
-            if len(words) > 1:
-                crc = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                seen.add(crc[:-1] << np.uint64(32) | crc[1:])
+            of = np.repeat(np.arange(len(texts)), [len(own) for own in texts])
+            crc = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            seen.add((crc[:-1] << np.uint64(32) | crc[1:])[of[:-1] == of[1:]])
             if len(held) > HELD_WORDS:
                 yield rows([(w, n) for w, n in held.items() if len(w) <= HEAD_BYTES])
                 held = Counter()
@@ -185,8 +197,8 @@ def totals(texts: DataFrame, sent: Broadcast, text: str = "text") -> list[int]:
 
     def count(batches):
         hasher, total = Hasher(sent.value), np.zeros(BUCKETS, np.int64)
-        for words in _each(batches):
-            total += np.bincount(hasher.buckets(words), minlength=BUCKETS)
+        for _, texts in _parts(batches):
+            total += np.bincount(hasher.buckets(texts)[0], minlength=BUCKETS)
         yield pa.RecordBatch.from_pydict({"b": pa.array(np.arange(BUCKETS)), "n": pa.array(total)})
 
     out = [0] * BUCKETS
@@ -210,15 +222,12 @@ def scored(df: DataFrame, gain: np.ndarray, sent: Broadcast, seed: int, doc_id:
 
     def run(batches):
         hasher = Hasher(sent.value)
-        for part in slices(batches, "t"):
-            ids, size, weight = part.column("doc_id").to_pylist(), [], []
-            for t in part.column("t").to_pylist():
-                words = words_of(t)
-                size.append(len(words))
-                weight.append(int(gain[hasher.buckets(words)].sum()) if words else 0)
-            n = np.array(size, np.int64)
+        for part, texts in _parts(batches):
+            ids, n = part.column("doc_id").to_pylist(), np.array([len(own) for own in texts], np.int64)
+            bucket, of = hasher.buckets(texts)
+            # Sums of whole numbers below 2**53 are exact.
+            w = np.bincount(of, gain[bucket], len(n)).astype(np.int64)
             features = n + np.maximum(n - 1, 0) + np.maximum(n - 2, 0)
-            w = np.array(weight, np.int64)
             score = w + np.array([gumbel(seed, i) for i in ids], np.int64)
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "words": n, "n_features": features, "weight": w, "score": score})
 

@@ -76,8 +76,15 @@ def test_states_are_crcs():
     dice = random.Random(3)
     words = [bytes(dice.choice(b"abc\xc3\xa9") for _ in range(dice.choice([1, 3, 9, 63, 64, 65, 200]))) for _ in range(60)]
     head = importance.Head(sorted(set(words[:20])), [(0, 1), (0, 2), (1, 3)])
-    got = importance.Hasher(head).states(words).tolist()
-    assert got == [zlib.crc32(b" ".join(words[i : i + k])) for k in (1, 2, 3) for i in range(60 - k + 1)]
+    states, of = importance.Hasher(head).states(words, np.array([0, 1, 40, 0, 2, 17, 0]))
+    want, at = [[], [], []], 0
+    for text, n in enumerate([0, 1, 40, 0, 2, 17, 0]):
+        for k in (1, 2, 3):
+            want[k - 1] += [(zlib.crc32(b" ".join(words[at + i : at + i + k])), text) for i in range(n - k + 1)]
+        at += n
+    assert list(zip(states.tolist(), of.tolist(), strict=True)) == sum(want, [])
+    for n in (0, 1, 2):
+        assert importance.Hasher(head).states(words[:n], np.array([n]))[0].tolist() == [zlib.crc32(b" ".join(words[i : i + k])) for k in (1, 2, 3) for i in range(n - k + 1)]
 
 
 def test_ties_go_to_the_smaller_id_and_null_ids_come_last(spark):
