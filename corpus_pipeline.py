@@ -4,7 +4,7 @@ toxicity: documents that the toxicity models reject go. near_duplicates: one doc
 five words, similarity 0.8) stays. decontaminate: documents that overlap with a benchmark item go. secrets: secrets are replaced by
 marks of their kind, n_chars follows. tokens: ids of every text that is left.
 
-The stages return the columns of documents, the last one doc_id, n_tokens and ids. Null texts stay, as empty ones; empty tables give empty ones.
+The stages return the columns of documents with their values, whatever their names and types, the last one doc_id, n_tokens and ids. Null texts stay, as empty ones; empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -18,9 +18,18 @@ from gustframe.llm import bpe, decontam, minhash, secrets_ledger, toxicity_kn
 from gustframe.llm.shared import discard, shared_dir, written
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column has, so that a column of docs never makes way for a working one."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity_kn.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity_kn.score(docs, model, out="__score").filter(F.col("__score") < toxicity_kn.THRESHOLD).select(*docs.columns)
+    score = _free(docs, "score")
+    return toxicity_kn.score(docs, model, out=score).filter(F.col(score) < toxicity_kn.THRESHOLD).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +43,10 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rules, ledger = secrets_ledger.MASK_RULES, secrets_ledger.Ledger(f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
     secrets_ledger.advance(docs, ledger, "documents", rules)
-    found = secrets_ledger.findings(docs, ledger.read(spark), rules)
-    masked = secrets_ledger.redacted(F.col("text"), F.col("secret_spans"))
-    held = F.size("secret_spans") > 0
+    spans = _free(docs, "spans")
+    found = secrets_ledger.findings(docs, ledger.read(spark), rules, out=spans)
+    masked = secrets_ledger.redacted(F.col("text"), F.col(spans))
+    held = F.size(spans) > 0
     return found.withColumn("text", F.when(held, masked).otherwise(F.col("text"))).withColumn("n_chars", F.when(held, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -33,6 +33,16 @@ def test_stages_keep_columns_and_their_promises(spark):
     assert out == {r["doc_id"]: coder.encode(r["text"]).tolist() for r in kept.collect()}
 
 
+def test_stages_keep_the_values_of_columns_with_names_used_inside(spark):
+    names = ["secret_spans", "__score", "score", "row", "overlaps", "ids", "spans", "blob", "stands", "h", "id", "component", "key", "n", "words", "seen", "found", "Score_"]
+    docs = table(spark, "documents").withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) if i % 2 else F.array(F.col("doc_id"), F.lit(i)) for i, c in enumerate(names)})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert after.dtypes == docs.dtypes
+        rows = after.select("doc_id", *names).collect()
+        assert rows and all(r[c] == (f"{c}{r['doc_id']}" if i % 2 else [r["doc_id"], i]) for r in rows for i, c in enumerate(names))
+
+
 def test_empty_tables(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         table(spark, t).limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
