@@ -10,8 +10,8 @@ coordinates inside a branch: points are packed in pages of `FAN` in order of siz
 to a top; pairs of boxes go down together while the summed minima of their upper corners leave a link possible. What is left of pairs of
 points is verified on the full sets.
 
-A group of copies is as many links as pairs, so they are not listed: equal sets are one node, nodes are held against their branch's
-least one first, and pairs in the tree that are connected by then go no further. Nothing is capped, and no link between components
+A group of copies is as many links as pairs, so they are not listed: equal sets are one node, each node is held against the least of
+its branches' least ones first, and pairs in the tree that are connected by then go no further. Nothing is capped, and no link between components
 stays untested. Of a branch whose documents are all just below the threshold many pairs have to be tested.
 
 Null and empty texts have empty sets and link with nothing. Rows that share a doc_id are told apart by their texts. A row without doc_id
@@ -75,8 +75,17 @@ def set_of(text: bytes | None, words: int) -> np.ndarray:
 
 
 def counts_of(hashes: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """How many fall into each group."""
-    return np.bincount((hashes % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.uint32)
+    """How many fall into each group; 255 stands for that many and more, which bounds nothing."""
+    return np.minimum(np.bincount((hashes % np.uint64(groups)).astype(np.int64), minlength=groups), 255).astype(np.uint8)
+
+
+def minima(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of the smaller counts along the last axis."""
+    least = np.minimum(a, b)
+    out = least.sum(-1, dtype=np.int64)
+    full = (least == 255).any(-1)
+    out[full] = 2**40
+    return out
 
 
 def first_groups(hashes: np.ndarray, percent: int, known: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -135,7 +144,7 @@ def _points(df: DataFrame, words: int, percent: int, sent: Broadcast, doc_id: st
 
 
 def _corners(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1).astype(np.int64)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
 def _able(a_n: np.ndarray, b_n: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
@@ -158,12 +167,18 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 for k in range(0, len(at), 1024):
                     own = at[k : k + 1024]
                     u, v = (_corners(x.column(c).take(pa.array(own))) for c in names)
-                    ok[own] = _able(a[own], b[own], np.minimum(u, v).sum(1), percent)
+                    ok[own] = _able(a[own], b[own], minima(u, v), percent)
             yield x.select(["a", "b"]).filter(pa.array(ok))
 
-    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"), F.col("fine").alias("fa"))
-    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"), F.col("fine").alias("fb"))
-    both = pairs.join(a, "a").join(b, "b").filter(f"na * {percent} <= nb * 100 and nb * {percent} <= na * 100")
+    size = nodes.select("node", "n")
+    near = pairs.join(size.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(size.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
+    near = near.filter(f"na * {percent} <= nb * 100 and nb * {percent} <= na * 100")
+    # Finer counts travel for pairs of long sets only. Files say little about what counts take in memory, so nothing is broadcast.
+    held = nodes.select("node", "counts", "fine").hint("merge")
+    both = near
+    for c in ("a", "b"):
+        own = held.withColumnsRenamed({"node": c, "counts": f"c{c}", "fine": f"f{c}"})
+        both = both.join(own, c).withColumn(f"f{c}", F.when((F.col("na") > LONG) & (F.col("nb") > LONG), F.col(f"f{c}")))
     return both.select("a", "b", "na", "nb", "ca", "cb", "fa", "fb").mapInArrow(keep, "a long, b long")
 
 
@@ -176,7 +191,7 @@ def _order(nodes: DataFrame) -> DataFrame:
                 c, n = _corners(x.column("counts")), x.column("n").to_numpy()
                 place = np.minimum((np.log(n) / np.log(1.1)).astype(np.int64), 255)
                 for parts in (2, 4, 8, 16):
-                    sums = c.reshape(len(n), parts, -1).sum(2)[:, ::2]
+                    sums = c.reshape(len(n), parts, -1).sum(2, dtype=np.int64)[:, ::2]
                     for k in range(sums.shape[1]):
                         if parts < 16 or k < 2:
                             place = place * 16 + np.minimum(sums[:, k] * parts * 8 // n, 15)
@@ -195,7 +210,7 @@ def _pages(points: DataFrame) -> DataFrame:
         for x in batches:
             rows = []
             for pivot, no, held in zip(x.column("pivot").to_pylist(), x.column("no").to_pylist(), x.column("x").to_pylist(), strict=True):
-                counts = np.frombuffer(b"".join(p["counts"] for p in held), np.uint32).reshape(len(held), -1)
+                counts = np.frombuffer(b"".join(p["counts"] for p in held), np.uint8).reshape(len(held), -1)
                 ns, cs = [p["n"] for p in held], [p["c"] for p in held]
                 rows.append((pivot, no, min(ns), max(ns), counts.max(0).tobytes(), cs[0] if len(set(cs)) == 1 else None, [p["node"] for p in held], ns, cs, counts.tobytes()))
             cols = list(zip(*rows, strict=True)) or [[]] * 10
@@ -211,7 +226,7 @@ def _boxes(below: DataFrame) -> DataFrame:
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            corner = [np.frombuffer(b"".join(own), np.uint32).reshape(len(own), -1).max(0).tobytes() for own in x.column("corners").to_pylist()]
+            corner = [np.frombuffer(b"".join(own), np.uint8).reshape(len(own), -1).max(0).tobytes() for own in x.column("corners").to_pylist()]
             at = x.schema.get_field_index("corners")
             yield pa.RecordBatch.from_arrays([pa.array(corner, pa.binary()) if i == at else c for i, c in enumerate(x.columns)], names=["corner" if n == "corners" else n for n in x.schema.names])
 
@@ -226,7 +241,7 @@ def _possible(pairs: DataFrame, percent: int) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                common = np.minimum(_corners(x.column("ca")), _corners(x.column("cb"))).sum(1)
+                common = minima(_corners(x.column("ca")), _corners(x.column("cb")))
                 ok = _able(x.column("na").to_numpy(), x.column("nb").to_numpy(), common, percent)
                 yield x.select(["pivot", "a", "b"]).filter(pa.array(ok))
 
@@ -237,7 +252,7 @@ def _met(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
     """Pairs of boxes of one pivot whose sizes allow a link and which are not of one component."""
     sizes = (F.col("a.low") * percent <= F.col("b.high") * 100) & (F.col("b.low") * percent <= F.col("a.high") * 100)
     same = F.coalesce(F.col("a.c") == F.col("b.c"), F.lit(False))
-    return a.alias("a").join(b.alias("b"), (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.no") <= F.col("b.no")) & sizes & ~same)
+    return a.alias("a").join(b.hint("merge").alias("b"), (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.no") <= F.col("b.no")) & sizes & ~same)
 
 
 def _tree_pairs(points: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -255,17 +270,17 @@ def _tree_pairs(points: DataFrame, percent: int) -> tuple[DataFrame, list[DataFr
     for below in levels[-2::-1]:
         pairs = written(pairs, "box_pairs")
         used.append(pairs)
-        own = below.select(F.col("pivot").alias("p"), F.expr(f"no div {FAN}").alias("up"), F.struct("no", "low", "high", "corner", "c").alias("x"))
+        own = below.select(F.col("pivot").alias("p"), F.expr(f"no div {FAN}").alias("up"), F.struct("no", "low", "high", "corner", "c").alias("x")).hint("merge")
         left = pairs.join(own.select(F.col("p").alias("pivot"), F.col("up").alias("a"), F.col("x").alias("xa")), ["pivot", "a"])
         both = left.join(own.select(F.col("p").alias("pivot"), F.col("up").alias("b"), F.col("x").alias("xb")), ["pivot", "b"])
         sizes = (F.col("xa.low") * percent <= F.col("xb.high") * 100) & (F.col("xb.low") * percent <= F.col("xa.high") * 100)
         both = both.filter((F.col("xa.no") <= F.col("xb.no")) & sizes & ~F.coalesce(F.col("xa.c") == F.col("xb.c"), F.lit(False)))
         pairs = _possible(both.select("pivot", F.col("xa.no").alias("a"), F.col("xb.no").alias("b"), F.col("xa.corner").alias("ca"), F.col("xb.corner").alias("cb"), F.col("xa.low").alias("na"), F.col("xb.low").alias("nb")), percent)
-    page = levels[0].select("pivot", "no", F.struct("nodes", "ns", "cs", "counts").alias("x"))
+    page = levels[0].select("pivot", "no", F.struct("nodes", "ns", "cs", "counts").alias("x")).hint("merge")
     both = pairs.join(page.withColumnsRenamed({"no": "a", "x": "xa"}), ["pivot", "a"]).join(page.withColumnsRenamed({"no": "b", "x": "xb"}), ["pivot", "b"])
 
     def held(x: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        return np.array(x["nodes"]), np.array(x["ns"]), np.array(x["cs"]), np.frombuffer(x["counts"], np.uint32).reshape(len(x["ns"]), -1)
+        return np.array(x["nodes"]), np.array(x["ns"]), np.array(x["cs"]), np.frombuffer(x["counts"], np.uint8).reshape(len(x["ns"]), -1)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,7 +288,7 @@ def _tree_pairs(points: DataFrame, percent: int) -> tuple[DataFrame, list[DataFr
                 part, a, b = batch.slice(at, 64), [], []
                 for x, y in zip(part.column("xa").to_pylist(), part.column("xb").to_pylist(), strict=True):
                     (i, n, c, v), (j, m, d, w) = held(x), held(y)
-                    common = np.minimum(v[:, None, :], w[None, :, :]).sum(2, dtype=np.int64)
+                    common = minima(v[:, None, :], w[None, :, :])
                     ok = _able(n[:, None], m[None, :], common, percent) & (c[:, None] != d[None, :]) & (i[:, None] != j[None, :])
                     r, s = np.nonzero(ok)
                     a.append(np.minimum(i[r], j[s]))
@@ -290,43 +305,41 @@ def jaccard_components(df: DataFrame, words: int = 5, threshold_percent: int = 8
     """
     t = threshold_percent
     docs = written(_points(df, words, t, _frequent(df, words, text), doc_id, text), "points")
-    # Equal sets are one node; the document of the least id stands for it. Nodes are numbered in order of these ids, so that the least
-    # node of a branch or a component is that of the least id. Written, they keep their numbers.
+    # Equal sets are one node; the document of the least id stands for it. Written, nodes keep their numbers.
     nodes = docs.filter("n > 0 and id is not null").groupBy("set").agg(F.min(F.struct("id", "h")).alias("doc"), *[F.first(c).alias(c) for c in ("n", "counts", "fine", "first")])
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    line = written(nodes.select("set", "doc.id", "doc.h", "n", "counts", "fine", "first"), "sets")
-    nodes = line.repartitionByRange(parts, "id", "h", "set").sortWithinPartitions("id", "h", "set")
-    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), *line.columns), "nodes")
-    discard(line)
-    branches = nodes.select("node", F.explode("first").alias("branch"))
-    least = branches.groupBy("branch").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("met")).filter("met > 1").select("branch", "pivot")
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "set", "doc.id", "doc.h", "n", "counts", "fine", "first"), "nodes")
+    branches = nodes.select("node", "id", F.explode("first").alias("branch"))
+    least = branches.groupBy("branch").agg(F.min_by("node", "id").alias("pivot"), F.count(F.lit(1)).alias("met")).filter("met > 1").select("branch", "pivot")
     held = written(branches.join(least, "branch").filter("node <> pivot").select("node", "pivot").distinct(), "held")
-    point = nodes.select("node", "n", "counts")
-    stars = written(_bounded(held.select(F.col("node").alias("a"), F.col("pivot").alias("b")), nodes, t), "stars")
+    # First each node against one of its branches' least ones, that of the least id with which a link is possible.
+    able = written(_bounded(held.select(F.col("node").alias("a"), F.col("pivot").alias("b")), nodes, t), "able")
+    name = nodes.select(F.col("node").alias("b"), "id")
+    stars = written(able.join(name, "b").groupBy("a").agg(F.min_by("b", "id").alias("b")), "stars")
     linked = F.expr(f"100 * common >= {t} * (na + nb - common)")
     edges = written(_verified(df, stars, nodes, words, doc_id, text, t).filter(linked).select("a", "b"), "linked")
     comps = written(components(edges), "components")
-    # What its branch's least one did not connect, by the tree.
+    # What that did not connect, by the tree of each branch's nodes, its least one among them.
     c = comps.select(F.col("id").alias("node"), F.col("component").alias("c"))
     pc = comps.select(F.col("id").alias("pivot"), F.col("component").alias("pc"))
-    met = held.join(c, "node", "left").join(pc, "pivot", "left").select("node", "pivot", F.coalesce("c", "node").alias("c"), F.coalesce("pc", "pivot").alias("pc"))
+    own = held.select("pivot").distinct().select(F.col("pivot").alias("node"), "pivot")
+    met = held.unionByName(own).join(c, "node", "left").join(pc, "pivot", "left").select("node", "pivot", F.coalesce("c", "node").alias("c"), F.coalesce("pc", "pivot").alias("pc"))
     met = written(met, "met")
-    stray = met.groupBy("pivot").agg(F.count(F.lit(1)).alias("k"), F.max((F.col("c") != F.col("pc")).cast("int")).alias("s")).filter("k > 1 and s = 1").select("pivot")
-    inside = met.join(stray, "pivot", "left_semi").select("pivot", "node", "c").join(point, "node")
+    stray = met.groupBy("pivot").agg(F.max((F.col("c") != F.col("pc")).cast("int")).alias("s")).filter("s = 1").select("pivot")
+    inside = met.join(stray, "pivot", "left_semi").select("pivot", "node", "c").join(nodes.select("node", "n", "counts").hint("merge"), "node")
     points = written(_order(inside), "placed_points")
     near, used = _tree_pairs(points, t)
     near = written(near, "near")
     late = written(_bounded(near, nodes, t), "late")
     more = _verified(df, late, nodes, words, doc_id, text, t).filter(linked).select("a", "b")
     final = components(edges.unionByName(more))
-    # A component is its least node, whose document has the least id.
-    of = nodes.select("node", "set").join(final.withColumnRenamed("id", "node"), "node", "left").select("set", F.coalesce("component", "node").alias("c"))
-    named = of.join(nodes.select(F.col("node").alias("c"), F.col("id").alias("component")), "c").select("set", "component")
-    named = written(named, "named")
+    # A component is named by its least id.
+    of = nodes.select("node", "set", "id").join(final.withColumnRenamed("id", "node"), "node", "left").select("set", "id", F.coalesce("component", "node").alias("c"))
+    of = written(of, "of")
+    named = written(of.join(of.groupBy("c").agg(F.min("id").alias("component")), "c").select("set", "component"), "named")
     # Both sides are read from files, so that Spark can split a set that a large share of the rows has.
     found = docs.filter("n > 0").select("id", "n", "set").join(named, "set", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
     empty = docs.filter("n = 0").select("id", "n", F.col("id").alias("component"))
-    discard(nodes, held, stars, edges, comps, met, points, near, late, *used)
+    discard(nodes, held, able, stars, edges, comps, met, points, near, late, of, *used)
     return found.unionByName(empty).select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
