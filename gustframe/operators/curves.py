@@ -1,11 +1,15 @@
-"""Power curves: interpolation of the small catalogue on the driver, lookup by broadcast."""
+"""Power curves: splines through a catalogue's points, lookup by broadcast."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gustframe.functions.nulls import clip, col, div
 from gustframe.functions.wind import equivalent_speed
@@ -14,6 +18,8 @@ from gustframe.operators.relational import sent_if_small
 
 #: Ticks of a catalogue that may be sent to every executor (about 40 MB).
 CATALOGUE_TICKS = 1_000_000
+#: Ticks that a task hands on at a time.
+CURVE_ROWS = 100_000
 
 
 def cubic(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -54,6 +60,36 @@ def dense_curves(spark: SparkSession, points: dict[str, tuple[list[float], list[
     return spark.createDataFrame(rows, "turbine string, ws_c int, power_w double, next_w double")
 
 
+def spline_curves(points: DataFrame, rated: DataFrame | None = None, turbine: str = "turbine", speed: str = "wind_speed", power: str = "power_w") -> DataFrame:
+    """dense_curves() of a table of points, a row each: a curve is solved by the task that has its points, so a catalogue of any size
+    is spread. rated: (turbine, rated_w); a curve without one ends at its highest point. Points without speed or power don't count, of
+    several at one speed the highest does; a curve of one point is that tick, with nothing below it."""
+    own = points.filter(F.col(speed).isNotNull() & F.col(power).isNotNull()).groupBy(turbine, F.rint(F.col(speed) * 100).cast("int").alias("x")).agg(F.max(F.col(power).cast("double")).alias("y"))
+    held = own.groupBy(turbine).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("p"))
+    known = held.join(rated.select(F.col(turbine).alias("__t"), F.col("rated_w").cast("double").alias("top")), F.col(turbine).eqNullSafe(F.col("__t")), "left").drop("__t") if rated is not None else held.withColumn("top", F.lit(None).cast("double"))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, power_w, next_w, sizes = 0, [], [], []
+            for i, (p, top) in enumerate(zip(batch.column("p").to_pylist(), batch.column("top").to_pylist(), strict=True)):
+                x, y = np.array([q["x"] for q in p]), np.array([q["y"] for q in p])
+                top = float(y.max()) if top is None else top
+                w = np.clip(cubic(x / 100, y, np.arange(x[0], x[-1] + 1) / 100), 0, top) if len(x) > 1 else np.array([top])
+                w[-1] = top
+                w = np.concatenate((np.zeros(x[0]), w))
+                power_w.append(w)
+                next_w.append(np.append(w[1:], w[-1]))
+                sizes.append(len(w))
+                if sum(sizes) >= CURVE_ROWS or i == batch.num_rows - 1:
+                    names = batch.column(turbine).take(pa.array(np.repeat(np.arange(at, i + 1), sizes)))
+                    ticks = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+                    yield pa.RecordBatch.from_arrays([names, pa.array(ticks), pa.array(np.concatenate(power_w)), pa.array(np.concatenate(next_w))], names=[turbine, "ws_c", "power_w", "next_w"])
+                    at, power_w, next_w, sizes = i + 1, [], [], []
+
+    schema = T.StructType([known.schema[turbine], T.StructField("ws_c", T.IntegerType()), T.StructField("power_w", T.DoubleType()), T.StructField("next_w", T.DoubleType())])
+    return known.select(turbine, "p", "top").mapInArrow(solve, schema)
+
+
 def with_next(curves: DataFrame, by: str = "turbine", index: str = "ws_c", power: str = "power_w") -> DataFrame:
     """Long curves with the power at the next tick, for interpolation in a lookup."""
     w = W.partitionBy(by).orderBy(index)

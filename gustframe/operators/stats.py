@@ -52,17 +52,27 @@ def quantiles(df: DataFrame, by: list[str], column: str, at: list[float], ranked
     """(by, n, q: array) of exact quantiles with linear interpolation, in memory that doesn't grow with the groups.
 
     Sketches bracket each quantile, wide enough for their error; values below a bracket are counted, those inside are ranked. Where
-    more than `ranked` values are inside, they are bracketed again: each round leaves about a hundredth."""
+    more than `ranked` values are inside, they are bracketed again: each round leaves about a hundredth. Null keys are a group; a group
+    without a number has n 0 and no q. Null and NaN aren't numbers."""
     x, names, by = F.col(column).cast("double"), by, [f"__g{j}" for j in range(len(by))]
-    rows = df.select(*[F.col(c).alias(g) for c, g in zip(names, by, strict=True)], x.alias("x")).filter("x is not null and not isnan(x)")
-    whole = rows.groupBy(*by).agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    given = df.select(*[F.col(c).alias(g) for c, g in zip(names, by, strict=True)], F.when(~F.isnan(x), x).alias("x"))
+    every = given.groupBy(*by).agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    rows, whole = given.filter("x is not null"), every.filter("n > 0")
+    none = every.filter("n = 0").select(*by, "n", F.lit(None).cast("array<double>").alias("q"))
     ranks = [F.struct(F.lit(i).alias("i"), (F.lit(q) * (F.col("n") - 1)).alias("rank")) for i, q in enumerate(at)]
     brackets = whole.select(*by, "n", "lo", "hi", F.inline(F.array(*ranks))).withColumn("below", F.lit(0).cast("long")).withColumn("inside", F.col("n"))
 
+    def meet(b: DataFrame) -> DataFrame:
+        """The rows of each group with those of b; null meets null."""
+        if not by:
+            return rows.crossJoin(F.broadcast(b))  # a row for each quantile
+        other = b.withColumnsRenamed({g: f"{g}_" for g in by})
+        same = [F.col(g).eqNullSafe(F.col(f"{g}_")) for g in by]
+        return rows.join(other, same).drop(*[f"{g}_" for g in by])
+
     def within(b: DataFrame) -> DataFrame:
         """The values inside each bracket: (by, i, x and the bracket)."""
-        met = rows.join(b, by) if by else rows.crossJoin(F.broadcast(b))  # a row for each quantile
-        return met.filter(F.col("x").between(F.col("lo"), F.col("hi")))
+        return meet(b).filter(F.col("x").between(F.col("lo"), F.col("hi")))
 
     keys = [*by, "i"]
     while (brackets.agg(F.max("inside")).first()[0] or 0) > ranked:
@@ -74,7 +84,7 @@ def quantiles(df: DataFrame, by: list[str], column: str, at: list[float], ranked
         right = F.least(F.ceil((F.col("p") + room) * 1000), F.lit(1000)).cast("int")
         # The sketch's ends are no values' ends, so the bracket's own stay there.
         narrow = inner.select(*by, "i", "n", "rank", "below", F.col("inside").alias("was"), F.when(left > 0, F.col("c")[left]).otherwise(F.col("lo")).alias("lo"), F.when(right < 1000, F.col("c")[right]).otherwise(F.col("hi")).alias("hi"))
-        met = rows.join(narrow, by) if by else rows.crossJoin(F.broadcast(narrow))
+        met = meet(narrow)
         again = met.groupBy(*keys).agg(F.count_if(F.col("x") < F.col("lo")).alias("below"), F.count_if(F.col("x").between(F.col("lo"), F.col("hi"))).alias("inside"), *[F.first(c).alias(c) for c in ("n", "rank", "lo", "hi", "was")])
         if not again.filter("inside < was").limit(1).count():
             break  # one value over and over: nothing to narrow
@@ -91,7 +101,7 @@ def quantiles(df: DataFrame, by: list[str], column: str, at: list[float], ranked
     found = placed.groupBy(*keys).agg(at_place(floor).alias("a"), at_place(ceil).alias("b"), F.first("rank").alias("rank"), F.first("n").alias("n"))
     value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))
     out = found.groupBy(*by).agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))), lambda s: s["v"]).alias("q"))
-    return out.withColumnsRenamed(dict(zip(by, names, strict=True)))
+    return (out.unionByName(none) if by else out).withColumnsRenamed(dict(zip(by, names, strict=True)))
 
 
 def trim(df: DataFrame, column: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
@@ -118,6 +128,18 @@ def histogram(df: DataFrame, column: str, bins: int = 50, norm: str = "count", l
     return every.join(F.broadcast(counts), "bin", "left").select("bin", (F.col("__a") + F.col("bin") * width).alias("left"), value.alias("value"))
 
 
+def histogram_by_width(df: DataFrame, column: str, width: float, norm: str = "count") -> DataFrame:
+    """(bin, left, value): bins of one width that begin at its multiples, from the first to the last that has a value, those between
+    without one too. Counted before anything is dealt out. norm as in histogram()."""
+    x = F.col(column).cast("double")
+    counts = df.filter(x.isNotNull() & ~F.isnan(x)).groupBy(F.floor(x / F.lit(float(width))).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    ends = counts.agg(F.min("bin").alias("a"), F.max("bin").alias("b"), F.sum("c").cast("double").alias("n"))  # one row
+    every = ends.filter("a is not null").select("n", F.explode(F.sequence("a", "b")).alias("bin"))
+    c = F.coalesce("c", F.lit(0)).cast("double")
+    value = {"count": c, "density": div(c, F.col("n") * float(width)), "probability": div(c, F.col("n")), "percent": div(c * 100, F.col("n"))}[norm]
+    return every.join(counts, "bin", "left").select("bin", (F.col("bin") * F.lit(float(width))).alias("left"), value.alias("value"))
+
+
 def _all():
     from pyspark.sql import Window as W
 

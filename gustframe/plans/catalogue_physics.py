@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gustframe.functions import atmosphere as air
 from gustframe.functions import solar, wind
 from gustframe.functions.nulls import round_even
-from gustframe.operators.curves import dense_curves, interpolated, with_next
+from gustframe.operators.curves import interpolated, spline_curves, with_next
 from gustframe.operators.timegrid import resample
 from gustframe.plans.registry import Tables, epoch, query, r6
 
@@ -247,22 +247,21 @@ def q_park_coefficient(t: Tables):
 
 
 @query(
-    """with i as (select i::int as ws_c, i / 100.0::double as x from range(0, 2501) r(i)),
-c as (select 's1' as turbine, ws_c, x, 1000 * x * x * x as p, 1.5e7::double as top from i union all select 's2', ws_c, x, -500 * x * x * x + 20000 * x * x + 4000 * x, 4.5e6::double from i where ws_c between 200 and 2500)
-select turbine, ws_c, round(case when ws_c = 2500 then top else least(greatest(p, 0), top) end, 3) as power_w from c union all select 's2', i::int, 0.0::double from range(0, 200) r(i)"""
+    """with p as (select p_partkey as turbine, 20 + p_size as a, p_size::double as c3, p_retailprice as c1 from part), g as (select *, unnest(range(0, 8 * a + 1))::int as ws_c from p),
+y as (select *, c3 * power(ws_c / 100.0::double, 3) + c1 * ws_c / 100.0::double - 200.0123456789::double as y, 0.9::double * (c3 * power(8 * a / 100.0::double, 3) + c1 * 8 * a / 100.0::double - 200.0123456789::double) as top from g)
+select turbine, ws_c, round(case when ws_c < a then 0.0::double when ws_c = 8 * a then top else least(greatest(y, 0), top) end, 3) as power_w from y"""
 )
 def q_spline_curve(t: Tables):
-    """Curves through a few points of two cubics, which a cubic spline gives back, between 0 and the rating."""
+    """A curve for each part, through seven points of a cubic that its columns give, which a cubic spline gives back, between 0 and the rating."""
+    a, size = F.col("p_size") + 20, F.col("p_size")
 
-    def first(x):
-        return 1000 * x**3
+    def at(x):
+        return size * F.pow(x / 100, F.lit(3.0)) + F.col("p_retailprice") * x / 100 - 200.0123456789
 
-    def second(x):
-        return -500 * x**3 + 20000 * x**2 + 4000 * x
-
-    xs, zs = [0.0, 3.0, 6.0, 9.0, 12.0, 15.0, 25.0], [2.0, 4.0, 9.0, 25.0]
-    points = {"s1": (xs, [first(x) for x in xs]), "s2": (zs, [second(x) for x in zs])}
-    return dense_curves(t.spark, points, {"s1": 1.5e7, "s2": 4.5e6}).select("turbine", "ws_c", r6("power_w", 3).alias("power_w"))
+    each = t("part").withColumn("k", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 5, 6, 7, 8)]))).withColumn("x", F.col("k") * a)
+    points = each.select(F.col("p_partkey").alias("turbine"), (F.col("x") / 100).alias("wind_speed"), at(F.col("x")).alias("power_w"))
+    rated = t("part").select(F.col("p_partkey").alias("turbine"), (at(a * 8) * 0.9).alias("rated_w"))
+    return spline_curves(points, rated).select("turbine", "ws_c", r6("power_w", 3).alias("power_w"))
 
 
 @query()

@@ -126,9 +126,11 @@ def q_semi(t: Tables):
     return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')")
 def q_anti(t: Tables):
-    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers who never had an urgent order."""
+    urgent = (F.col("c_custkey") == F.col("o_custkey")) & (F.col("o_orderpriority") == "1-URGENT")
+    return t("customer").join(t("orders"), urgent, "left_anti").select("c_custkey")
 
 
 @query("select s_suppkey, n_name, n_regionkey from supplier join nation on s_nationkey = n_nationkey")
@@ -258,13 +260,13 @@ def q_dedup(t: Tables):
     return t("orders").select("o_custkey", "o_orderstatus").dropDuplicates()
 
 
-_UPSERT = """with old as (select o_orderkey as k, o_totalprice as p from orders where o_orderkey % 3 <> 0), raw as (select o_orderkey as k, o_totalprice * 2 as p from orders where o_orderkey % 2 = 0),
+_UPSERT = """with old as (select o_orderkey as k, o_totalprice as p from orders where o_orderkey % 3 <> 0), raw as (select o_orderkey as k, o_totalprice * 2 as p from orders where o_orderkey % 2 = 0 or o_orderkey % 3 = 0),
 new as (select k, p from (select *, row_number() over (partition by k order by p) as n from (select * from raw union all select k, p + 1 from raw where k % 4 = 0)) where n = 1)"""
 
 
 def _upsert(t: Tables):
     o = t("orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p"))
-    raw = o.filter("k % 2 = 0").withColumn("p", F.col("p") * 2)
+    raw = o.filter("k % 2 = 0 or k % 3 = 0").withColumn("p", F.col("p") * 2)
     return o.filter("k % 3 <> 0"), raw.unionByName(raw.filter("k % 4 = 0").withColumn("p", F.col("p") + 1))
 
 
@@ -318,6 +320,19 @@ def q_hist_density(t: Tables):
     return stats.histogram(t("events"), "value", 50, "density").select("bin", r6("left").alias("left"), r6("value", 9).alias("value"))
 
 
+@query(
+    """with e as (select l_extendedprice as x from lineitem), b as (select floor(x / 2500)::bigint as bin, count(*) as c from e group by 1),
+r as (select unnest(range((select min(bin) from b), (select max(bin) from b) + 1)) as bin), n as (select count(*) as n from e)
+select r.bin, r.bin * 2500.0::double as "left", coalesce(c, 0)::double as hits, round(coalesce(c, 0) / n::double, 9) as probability, round(coalesce(c, 0) * 100 / n::double, 7) as percent, round(coalesce(c, 0) / (n * 2500.0::double), 12) as density from r cross join n left join b using (bin)"""
+)
+def q_hist_by_width(t: Tables):
+    """Bins of 2 500 from a multiple of it, by all four norms."""
+    norms = {"count": "hits", "probability": "probability", "percent": "percent", "density": "density"}
+    each = [stats.histogram_by_width(t("lineitem"), "l_extendedprice", 2500.0, norm).withColumnRenamed("value", name) for norm, name in norms.items()]
+    out = reduce(lambda a, b: a.join(b.drop("left"), "bin"), each)
+    return out.select("bin", "left", "hits", r6("probability", 9).alias("probability"), r6("percent", 7).alias("percent"), r6("density", 12).alias("density"))
+
+
 @query(
     """with e as (select l_quantity as p, l_quantity * (1 + l_discount) as q from lineitem), x as (select min(least(p, q)) as a, max(greatest(p, q)) as b from e), w as (select *, (b - a) / 50 as w from x),
 l as (select 1 as k, p as v from e union all select 2, q from e), c as (select least(floor((v - a) / w)::int, 49) as bin, count(*) filter (where k = 1) as np, count(*) filter (where k = 2) as nq from l, w group by 1),
@@ -336,6 +351,17 @@ def q_boxplot(t: Tables):
     return stats.box_stats(t("events"), ["event_type"], "value").select("event_type", "n", *[r6(c).alias(c) for c in ("q1", "median", "q3")])
 
 
+@query(
+    """with e as (select case when event_id % 4 <> 0 then event_type end as k, case when event_type <> 'view' and event_id % 3 <> 0 then value end as v from events)
+select k, count(v)::bigint as n, round(quantile_cont(v, 0.25), 6) as q1, round(quantile_cont(v, 0.5), 6) as median from e group by 1"""
+)
+def q_quantiles_with_odd_groups(t: Tables):
+    """A group without a key and one without a value are groups too."""
+    i = F.col("event_id")
+    e = t("events").select(F.when(i % 4 != 0, F.col("event_type")).alias("k"), F.when((F.col("event_type") != "view") & (i % 3 != 0), F.col("value")).alias("v"))
+    return stats.quantiles(e, ["k"], "v", [0.25, 0.5]).select("k", "n", r6(F.col("q")[0]).alias("q1"), r6(F.col("q")[1]).alias("median"))
+
+
 @query(_BOX + " select event_type, round(min(value) filter (where value between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)), 6) as low, round(max(value) filter (where value between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)), 6) as high from events join q using (event_type) group by 1")
 def q_boxplot_whiskers(t: Tables):
     return stats.box_stats(t("events"), ["event_type"], "value").select("event_type", r6("low").alias("low"), r6("high").alias("high"))
@@ -420,9 +446,9 @@ def q_union_distinct(t: Tables):
     return t("customer").select(F.col("c_nationkey").alias("k")).unionByName(t("supplier").select(F.col("s_nationkey").alias("k"))).distinct()
 
 
-@query("select n_nationkey as k from nation except select s_nationkey from supplier where s_suppkey % 3 = 0")
+@query("select p_size::bigint as k from part except select s_nationkey from supplier")
 def q_except(t: Tables):
-    return t("nation").select(F.col("n_nationkey").alias("k")).subtract(t("supplier").filter("s_suppkey % 3 = 0").select("s_nationkey"))
+    return t("part").select(F.col("p_size").cast("long").alias("k")).subtract(t("supplier").select(F.col("s_nationkey").cast("long")))
 
 
 @query("select n_nationkey as k from nation intersect select s_nationkey from supplier")
@@ -622,6 +648,33 @@ def q_sample_and_rest(t: Tables):
     return both.agg(F.sum("part").alias("part"), F.count(F.lit(1)).alias("whole"))
 
 
+def _minor(rows: tuple[int, ...], replaced: int | None) -> str:
+    """The determinant of the first columns of moments m0..m6 for some rows, one of them replaced by the sums with y."""
+
+    def cell(i: int, j: int) -> str:
+        return f"y{i}" if j == replaced else f"m{i + j}"
+
+    j = 4 - len(rows)
+    if len(rows) == 1:
+        return cell(rows[0], j)
+    return "(" + " + ".join(f"{'-' if n % 2 else ''}{cell(i, j)} * {_minor(tuple(r for r in rows if r != i), replaced)}" for n, i in enumerate(rows)) + ")"
+
+
+_Z = "(l_quantity - 25.5::double) / 14.5::double"
+
+
+@query(
+    f"with s as (select {', '.join(f'avg(power({_Z}, {k})) as m{k}' for k in range(7))}, {', '.join(f'avg(power({_Z}, {k}) * l_extendedprice / 1000) as y{k}' for k in range(4))} from lineitem), "
+    f"d as (select {_minor((0, 1, 2, 3), None)} as d, {', '.join(f'{_minor((0, 1, 2, 3), j)} as d{j}' for j in range(4))} from s) "
+    "select " + ", ".join(f"round(d{j} / d, 5) as c{j}" for j in range(4)) + " from d"
+)
+def q_polyfit_cubic(t: Tables):
+    """A cubic through all line items' prices by quantity."""
+    z = (F.col("l_quantity") - 25.5) / 14.5
+    c = stats.polyfit(t("lineitem").select(z.alias("z"), (F.col("l_extendedprice") / 1000).alias("y")), "z", "y", 3)
+    return t.spark.createDataFrame([tuple(round(float(x), 5) for x in c[::-1])], "c0 double, c1 double, c2 double, c3 double")
+
+
 @query(
     """with m as (select sum(1.0::double) as n, sum(l_quantity) as sx, sum(l_quantity * l_quantity) as sxx, sum(l_extendedprice) as sy, sum(l_quantity * l_extendedprice) as sxy from lineitem)
 select 1::bigint as power, round((n * sxy - sx * sy) / (n * sxx - sx * sx), 3) as coefficient from m union all select 0, round((sxx * sy - sx * sxy) / (n * sxx - sx * sx), 3) from m"""
@@ -633,19 +686,19 @@ def q_polyfit(t: Tables):
 
 
 @query(
-    """select lpad((s_suppkey % 100000)::varchar, 5, '0') as station_id, '2001-02-03' as valid_from, round(s_acctbal, 2) as height, (40 + s_nationkey)::double as latitude, s_name as name, 'wind' as variable from supplier"""
+    """select lpad((s_suppkey % 100000)::varchar, 5, '0') as station_id, '2001-02-03' as valid_from, case s_suppkey % 3 when 0 then '2024-05-01' end as valid_to, round(s_acctbal, 2) as height, (40 + s_nationkey)::double as latitude, s_name as name, 'wind' as variable from supplier"""
 )
 def q_registry_lines(t: Tables):
-    """Fixed-width lines, as the registry has them, made from suppliers and read."""
+    """Fixed-width lines, as the registry has them, made from suppliers and read: every third with an end, one without, one with no day of a calendar."""
     from gustframe.sources.files import registry_lines
 
     line = F.concat(
-        F.lpad((F.col("s_suppkey") % 100000).cast("string"), 5, "0"), F.lit(" 20010203 20240501 "), F.lpad(F.format_string("%.2f", "s_acctbal"), 14, " "),
+        F.lpad((F.col("s_suppkey") % 100000).cast("string"), 5, "0"), F.when(F.col("s_suppkey") % 3 == 0, " 20010203 20240501 ").when(F.col("s_suppkey") % 3 == 1, " 20010203          ").otherwise(" 20010203 20240231 "), F.lpad(F.format_string("%.2f", "s_acctbal"), 14, " "),
         F.lpad((40 + F.col("s_nationkey")).cast("string"), 12, " "), F.lpad(F.lit("10.5"), 10, " "), F.lit(" "), F.rpad("s_name", 41, " "), F.lit("Nord"),
     )
     head = t.spark.createDataFrame([("Stations_id von_datum",), ("----------- ---------",)], "line string")
     rows = registry_lines(t("supplier").select(line.alias("line")).unionByName(head).withColumn("path", F.lit("file:/data/wind/list.txt")))
-    return rows.select("station_id", F.col("valid_from").cast("string").alias("valid_from"), r6("height", 2).alias("height"), "latitude", "name", "variable")
+    return rows.select("station_id", F.col("valid_from").cast("string").alias("valid_from"), F.col("valid_to").cast("string").alias("valid_to"), r6("height", 2).alias("height"), "latitude", "name", "variable")
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gustframe.config import PvParams
 from gustframe.functions import solar
 from gustframe.operators.asof import CHUNK_SECONDS, asof_backward
-from gustframe.operators.impute import impute
+from gustframe.operators.impute import impute, impute_in_blocks
 from gustframe.operators.quality import complete_enough
 from gustframe.operators.relational import with_grid
 from gustframe.operators.sequences import ageing, ageing_from, drawn_dust, dust
@@ -17,15 +17,17 @@ from gustframe.operators.timegrid import resample
 WEATHER = ["ghi", "dhi", "temperature_2m", "wind_speed", "precipitation_rate", "precipitation_duration"]
 
 
-def prepare(stations: DataFrame, aerosol: DataFrame | None = None, threshold: float = 1.0, hourly: bool = True, by: str = "station_id", ts: str = "timestamp") -> DataFrame:
-    """Series with something in every column, imputed, hourly (rates are summed, durations averaged), with the last aerosol, imputed again."""
-    df = impute(complete_enough(stations, by, WEATHER, threshold, never_empty=True), by, ts, WEATHER)
+def prepare(stations: DataFrame, aerosol: DataFrame | None = None, threshold: float = 1.0, hourly: bool = True, long_series: bool = False, by: str = "station_id", ts: str = "timestamp") -> DataFrame:
+    """Series with something in every column, imputed, hourly (rates are summed, durations averaged), with the last aerosol, imputed again. long_series: no task
+    holds a series while it is imputed."""
+    fill = impute_in_blocks if long_series else impute
+    df = fill(complete_enough(stations, by, WEATHER, threshold, never_empty=True), by, ts, WEATHER)
     if hourly:
         df = resample(df, by, ts, {c: "sum" if c == "precipitation_rate" else "mean" for c in WEATHER})
     if aerosol is not None:
         dense = resample(aerosol, by, ts, {"pm2_5": "mean", "pm10": "mean"})
         df = asof_backward(df, dense, by, ts, ["pm2_5", "pm10"], clip=True, chunk=None if hourly else CHUNK_SECONDS)
-        df = impute(df, by, ts, [*WEATHER, "pm2_5", "pm10"], zero=0.0)
+        df = fill(df, by, ts, [*WEATHER, "pm2_5", "pm10"], zero=0.0)
     return df
 
 

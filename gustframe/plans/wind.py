@@ -14,7 +14,7 @@ from gustframe.functions.nulls import round_even
 from gustframe.functions.times import in_days
 from gustframe.operators.asof import CHUNK_SECONDS, asof_backward
 from gustframe.operators.curves import interpolated
-from gustframe.operators.impute import impute
+from gustframe.operators.impute import impute, impute_in_blocks
 from gustframe.operators.quality import complete_enough
 from gustframe.operators.relational import sent_if_small, with_grid
 from gustframe.operators.sequences import ageing, ageing_from
@@ -40,12 +40,13 @@ class Site:
     components: bool = False  # speeds come as u and v
 
 
-def prepare(stations: DataFrame, vertical: DataFrame | None = None, columns: list[str] | None = None, threshold: float = 1.0, fill: bool = True, hourly: bool = True, by: str = "station_id", ts: str = "timestamp") -> DataFrame:
-    """Complete enough series, imputed, then hourly, then with the last vertical wind at or before each hour."""
+def prepare(stations: DataFrame, vertical: DataFrame | None = None, columns: list[str] | None = None, threshold: float = 1.0, fill: bool = True, hourly: bool = True, long_series: bool = False, by: str = "station_id", ts: str = "timestamp") -> DataFrame:
+    """Complete enough series, imputed, then hourly, then with the last vertical wind at or before each hour. long_series: no task holds a
+    series while it is imputed."""
     columns = columns or WEATHER
     df = complete_enough(stations, by, columns, threshold)
     if fill:
-        df = impute(df, by, ts, columns)
+        df = (impute_in_blocks if long_series else impute)(df, by, ts, columns)
     if hourly:
         df = resample(df, by, ts, dict.fromkeys(columns, "mean"))
     if vertical is not None:

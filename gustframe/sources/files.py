@@ -63,7 +63,8 @@ def registry(spark: SparkSession, path: str, fields: dict[str, tuple[int, int]]
 
 
 def registry_lines(lines: DataFrame, fields: dict[str, tuple[int, int]] | None = None) -> DataFrame:
-    """The same from lines (line, path); headers and other lines that don't begin with an id and a date go."""
+    """The same from lines (line, path); headers and other lines that don't begin with an id and a date go. Dates that
+    are blank or no days of a calendar are null: a station without an end is still there."""
     at = fields or REGISTRY_FIELDS
 
     def cut(name: str):
@@ -72,8 +73,8 @@ def registry_lines(lines: DataFrame, fields: dict[str, tuple[int, int]] | None =
 
     return lines.filter(F.col("line").rlike(r"^\s*\d+\s+\d{8}")).select(
         station_id(cut("id")).alias("station_id"),
-        F.to_date(cut("von"), "yyyyMMdd").alias("valid_from"),
-        F.to_date(cut("bis"), "yyyyMMdd").alias("valid_to"),
+        F.try_to_date(cut("von"), "yyyyMMdd").alias("valid_from"),
+        F.try_to_date(cut("bis"), "yyyyMMdd").alias("valid_to"),
         *[cut(c).try_cast("double").alias(c) for c in ("height", "latitude", "longitude")],
         cut("name").alias("name"),
         cut("state").alias("state"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gustframe.operators.relational import upsert_windowed
+from gustframe.sources import tables
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType, files: int = 100) -> DataFrame:
@@ -26,14 +27,21 @@ def upsert_to(stream: DataFrame, path: str, keys: list[str], checkpoint: str, on
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = f"{path}/v={number - 1}"
-        try:
-            old = spark.read.schema(batch.schema).parquet(before)
-            old.limit(0).count()
-        except Exception as e:  # the first batch has no version before it
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = spark.createDataFrame([], batch.schema)
+        # The first batch has no version before it.
+        old = spark.read.schema(batch.schema).parquet(before) if tables.exists(spark, before) else spark.createDataFrame([], batch.schema)
         upsert_windowed(old, batch, keys).write.mode("overwrite").parquet(f"{path}/v={number}")
+        if number > 1:
+            tables.remove(spark, f"{path}/v={number - 2}")  # a batch that runs again needs the one before it only
+
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
+
+
+def merge_to(stream: DataFrame, path: str, keys: list[str], ts: str, checkpoint: str, once: bool = True):
+    """upsert_to() for a table by month: a micro-batch rewrites the months of its rows only. A batch that runs again ends in the same rows."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        tables.merge_months(batch.sparkSession, path, batch, keys, ts, True, f"{checkpoint}/staging-{number}")
 
     writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
