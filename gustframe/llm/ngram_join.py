@@ -152,34 +152,34 @@ def _able(a_n: np.ndarray, b_n: np.ndarray, common: np.ndarray, percent: int) ->
     return common * (100 + percent) >= percent * (a_n + b_n)
 
 
-def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) that sizes and the summed minima of the counts leave possible; of two long sets those of the finer counts."""
+def _held(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b, na, nb) that the summed minima of counts (node, x) leave possible. Files say little about what counts take in
+    memory, so nothing is broadcast."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            if not x.num_rows:
-                continue
-            a, b = x.column("na").to_numpy(), x.column("nb").to_numpy()
-            ok = np.zeros(len(a), bool)
-            long = (a > LONG) & (b > LONG)
-            for kind, names in ((long, ("fa", "fb")), (~long, ("ca", "cb"))):
-                at = np.flatnonzero(kind)
-                for k in range(0, len(at), 1024):
-                    own = at[k : k + 1024]
-                    u, v = (_corners(x.column(c).take(pa.array(own))) for c in names)
-                    ok[own] = _able(a[own], b[own], minima(u, v), percent)
-            yield x.select(["a", "b"]).filter(pa.array(ok))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                x = batch.slice(at, 1024)
+                common = minima(_corners(x.column("xa")), _corners(x.column("xb")))
+                ok = _able(x.column("na").to_numpy(), x.column("nb").to_numpy(), common, percent)
+                yield x.select(["a", "b", "na", "nb"]).filter(pa.array(ok))
 
+    counts = counts.hint("merge")
+    both = pairs.join(counts.withColumnsRenamed({"node": "a", "x": "xa"}), "a").join(counts.withColumnsRenamed({"node": "b", "x": "xb"}), "b")
+    return both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(keep, "a long, b long, na long, nb long")
+
+
+def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int, name: str) -> DataFrame:
+    """pairs (a, b) that sizes and the summed minima of the counts leave possible, of two long sets those of the finer counts too; written."""
     size = nodes.select("node", "n")
     near = pairs.join(size.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(size.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
     near = near.filter(f"na * {percent} <= nb * 100 and nb * {percent} <= na * 100")
-    # Finer counts travel for pairs of long sets only. Files say little about what counts take in memory, so nothing is broadcast.
-    held = nodes.select("node", "counts", "fine").hint("merge")
-    both = near
-    for c in ("a", "b"):
-        own = held.withColumnsRenamed({"node": c, "counts": f"c{c}", "fine": f"f{c}"})
-        both = both.join(own, c).withColumn(f"f{c}", F.when((F.col("na") > LONG) & (F.col("nb") > LONG), F.col(f"f{c}")))
-    return both.select("a", "b", "na", "nb", "ca", "cb", "fa", "fb").mapInArrow(keep, "a long, b long")
+    coarse = written(_held(near, nodes.select("node", F.col("counts").alias("x")), percent), "coarse")
+    long = f"na > {LONG} and nb > {LONG}"
+    fine = _held(coarse.filter(long), nodes.filter("fine is not null").select("node", F.col("fine").alias("x")), percent)
+    out = written(coarse.filter(f"not ({long})").unionByName(fine).select("a", "b"), name)
+    discard(coarse)
+    return out
 
 
 def _order(nodes: DataFrame) -> DataFrame:
@@ -312,7 +312,7 @@ def jaccard_components(df: DataFrame, words: int = 5, threshold_percent: int = 8
     least = branches.groupBy("branch").agg(F.min_by("node", "id").alias("pivot"), F.count(F.lit(1)).alias("met")).filter("met > 1").select("branch", "pivot")
     held = written(branches.join(least, "branch").filter("node <> pivot").select("node", "pivot").distinct(), "held")
     # First each node against one of its branches' least ones, that of the least id with which a link is possible.
-    able = written(_bounded(held.select(F.col("node").alias("a"), F.col("pivot").alias("b")), nodes, t), "able")
+    able = _bounded(held.select(F.col("node").alias("a"), F.col("pivot").alias("b")), nodes, t, "able")
     name = nodes.select(F.col("node").alias("b"), "id")
     stars = written(able.join(name, "b").groupBy("a").agg(F.min_by("b", "id").alias("b")), "stars")
     linked = F.expr(f"100 * common >= {t} * (na + nb - common)")
@@ -329,7 +329,7 @@ def jaccard_components(df: DataFrame, words: int = 5, threshold_percent: int = 8
     points = written(_order(inside), "placed_points")
     near, used = _tree_pairs(points, t)
     near = written(near, "near")
-    late = written(_bounded(near, nodes, t), "late")
+    late = _bounded(near, nodes, t, "late")
     more = _verified(df, late, nodes, words, doc_id, text, t).filter(linked).select("a", "b")
     final = components(edges.unionByName(more))
     # A component is named by its least id.

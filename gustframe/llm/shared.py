@@ -103,7 +103,7 @@ class Frequent:
     Where more keys are met, the count of the first that has no place is taken from all alike, so counts are lower bounds."""
 
     #: Keys that wait until they are merged.
-    DUE = 1 << 20
+    DUE = 1 << 18
 
     def __init__(self, most: int) -> None:
         self.most, self.keys, self.counts = most, np.empty(0, np.uint64), np.empty(0, np.int64)
