@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gustframe.functions import atmosphere as air
 from gustframe.functions import solar, wind
 from gustframe.functions.nulls import round_even
+from gustframe.operators import sun
 from gustframe.operators.curves import interpolated, spline_curves, with_next
 from gustframe.operators.timegrid import resample
 from gustframe.plans.registry import Tables, epoch, query, r6
@@ -231,6 +232,37 @@ def q_solar_position(t: Tables):
     return p.select("event_id", r6("s.zenith", 4).alias("zenith"), r6("s.azimuth", 4).alias("azimuth"))
 
 
+def _cosines(terms, at: str) -> str:
+    return " + ".join(f"{a!r}::double * cos({p!r}::double + {float(w)!r}::double * {at})" for a, p, w in terms)
+
+
+_PSI, _EPS = sun.nutation_terms()
+#: Heights of places from 0 to 2990 m, latitudes from -60 to 60, all longitudes.
+_SUN_SQL = f"""with a as (select event_id, epoch_us(ts) / 86400e6::double - 10957.5::double as n, (event_id % 300 * 10)::double as alt, 100 * power((44331.514::double - event_id % 300 * 10) / 11880.516::double, 1 / 0.1902632::double) as pa,
+  (event_id % 40 - 5)::double as air, radians((event_id % 121 - 60)::double) as phi, (event_id % 360 - 180)::double as lon from events),
+b as (select *, (n + {sun.DELTA_T!r}::double / 86400) / 36525 as ce, (n + {sun.DELTA_T!r}::double / 86400) / 365250 as me from a),
+c as (select *, {_cosines(sun.LONGITUDE, "me")} + 175347046.0::double as l0, {_cosines(sun.LONGITUDE_1, "me")} + 628331966747.0::double as l1, {_cosines(sun.LONGITUDE_2, "me")} + 52919.0::double as l2,
+  -({_cosines(sun.LATITUDE, "me")}) / 1e8::double as b, ({_cosines(sun.DISTANCE, "me")} + 100013989.0::double) / 1e8::double as r,
+  radians(({_cosines(_PSI, "ce")}) / 36e6::double) as psi, radians(23.4392911::double - 0.0130042::double * ce + ({_cosines(_EPS, "ce")}) / 36e6::double) as eps from b),
+d as (select *, (l0 + me * (l1 + me * l2)) / 1e8::double + pi() + psi - radians(20.4898::double / (3600 * r)) as lam from c),
+e as (select *, atan2(sin(lam) * cos(eps) - tan(b) * sin(eps), cos(lam)) as ra, asin(sin(b) * cos(eps) + cos(b) * sin(eps) * sin(lam)) as de, sin(radians(8.794::double / (3600 * r))) as xi, atan(0.99664719::double * tan(phi)) as u from d),
+f as (select *, radians(280.46061837::double + 360.98564736629::double * n + lon) + psi * cos(eps) - ra as h, cos(u) + alt / 6378140 * cos(phi) as x, 0.99664719::double * sin(u) + alt / 6378140 * sin(phi) as y from e),
+g as (select *, atan2(-x * xi * sin(h), cos(de) - x * xi * cos(h)) as da from f),
+i as (select *, h - da as h2, atan2((sin(de) - y * xi) * cos(da), cos(de) - x * xi * cos(h)) as de2 from g),
+j as (select *, degrees(asin(greatest(-1, least(1, sin(phi) * sin(de2) + cos(phi) * cos(de2) * cos(h2))))) as el from i)
+select event_id, round(90 - el, 4) as zenith, round(degrees(atan2(sin(h2), cos(h2) * sin(phi) - tan(de2) * cos(phi))) + 180, 4) as azimuth, round(degrees(de2), 5) as declination, round(r, 7) as distance,
+  round(case when el >= -{sun.RISE!r}::double then 90 - el - pa / 101000.0::double * (283.0::double / (273.0::double + air)) * 1.02::double / (60 * tan(radians(el + 10.3::double / (el + 5.11::double)))) else 90 - el end, 4) as apparent_zenith from j"""
+
+
+@query(_SUN_SQL)
+def q_sun_seen(t: Tables):
+    """The sun at each event's time, seen from a place that the event's number gives."""
+    i, alt = F.col("event_id"), F.col("event_id") % 300 * 10
+    e = t("events").select(i, F.col("ts").cast("timestamp").alias("ts"))
+    d = sun.with_sun(e, "ts", (i % 121 - 60).cast("double"), (i % 360 - 180).cast("double"), alt.cast("double"), solar.pressure_at(alt), (i % 40 - 5).cast("double"))
+    return d.select("event_id", *[r6(f"sun.{c}", k).alias(c) for c, k in (("zenith", 4), ("azimuth", 4), ("declination", 5), ("distance", 7), ("apparent_zenith", 4))])
+
+
 @query(
     """with x as (select event_id, 90 - event_id % 100::double as e, 100 * power((44331.514::double - event_id % 3000) / 11880.516::double, 1 / 0.1902632::double) as p, event_id % 35::double as t from events)
 select event_id, round(p, 3) as pressure, round(case when e > -0.83337::double then e + p / 101000.0::double * (283.0::double / (273.0::double + t)) * 1.02::double / (60 * tan(radians(e + 10.3::double / (e + 5.11::double)))) else e end, 6) as elevation from x"""
