@@ -8,6 +8,10 @@ The seeds of all items are a table, and those of the documents are joined with i
 bits whatever the benchmark's size, keeps most of the documents' seeds out of the join beforehand. Around each hit, document and
 item are compared word by word on every diagonal on which they share a seed.
 
+Items often share a line that many documents quote. A text with many items is compared in rows of some items each, dealt out over the
+tasks. Where it only counts whether a text has an overlap (`clean`), each of its seeds is first followed to one item; only texts
+that have no overlap with these are compared with the others, so that a quoted line costs a comparison a document, not one a pair.
+
 An overlap is reported where thirteen words in a row (all words of a shorter item) agree in at least 80 % of places; for each document
 and item the one with the most agreeing words, of these the first. Items of up to four words have to be met word for word.
 
@@ -27,10 +31,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gustframe.llm.shared import map_texts, slices, word_hashes, written
+from gustframe.llm.shared import discard, map_texts, slices, word_hashes, written
 
 #: Words in which an overlap is judged, and the percentage of them that has to agree.
 SPAN, AGREE = 13, 80
@@ -40,6 +45,8 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 8, 9))
 MOST_BITS, BITS_A_SEED = 27, 64
 #: Up to so many keys of texts (16 MB), or so many overlaps (about as much), are sent to every executor; more are joined by a shuffle.
 BROADCAST_KEYS, BROADCAST_OVERLAPS = 1_000_000, 250_000
+#: Items with their words that one row holds at most, about: a text that shares seeds with more is compared in several rows.
+ITEMS_A_ROW = 64
 _WORD = re.compile(r"[^\W_]+")
 _MUL, _M1 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -164,8 +171,42 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text).alias("text"), F.xxhash64(whole).alias("k1"), F.xxhash64(F.lit(17), whole).alias("k2"))
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str) -> DataFrame:
-    """(k1, k2, overlaps) of the distinct texts that have any."""
+def _verified(keyed: DataFrame, pairs: DataFrame, items: DataFrame, kind: T.DataType, any_one: bool) -> DataFrame:
+    """(k1, k2, overlaps: those of one row of items), where there are any, of pairs (k1, k2, num). any_one: the first found in a row ends it."""
+    keys = pairs.select("k1", "k2").distinct()
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    texts = keyed.join(keys, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    rows = F.ceil(F.count(F.lit(1)).over(W.partitionBy("k1", "k2")) / ITEMS_A_ROW)
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("num"), rows))
+    against = dealt.join(items, "num").groupBy("k1", "k2", "part").agg(F.collect_list(F.struct("num", "item", "words")).alias("items"))
+    schema = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("overlaps", kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out = to_arrow_schema(schema)
+        for batch in batches:
+            for part in slices([batch], "text"):
+                rows = []
+                for t, given in zip(part.column(2).to_pylist(), part.column(3), strict=True):
+                    words, own, found = hashed_words(t), given.values, []
+                    nums, ids, lists = own.field("num").to_pylist(), own.field("item").to_pylist(), own.field("words")
+                    for i, (num, item) in enumerate(zip(nums, ids, strict=True)):
+                        got = overlap(words, lists[i].values.to_numpy().view(np.uint64))
+                        if got:
+                            found.append({"num": num, "item_id": item, **got})
+                            if any_one:
+                                break
+                    rows.append(found)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, out.field(2).type)], schema=out)
+
+    every = texts.join(against, ["k1", "k2"]).repartition("k1", "k2", "part").select("k1", "k2", "text", "items")
+    return every.mapInArrow(run, schema).filter("size(overlaps) > 0")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, any_one: bool = False) -> DataFrame:
+    """(k1, k2, overlaps) of the distinct texts that have any, written. any_one: (k1, k2) only, several rows for a text perhaps."""
     items = written(_items(benchmark, item_id, item_text), "items")
     lengths = [r["n"] for r in items.select(F.least(F.size("words"), F.lit(SPAN)).alias("n")).distinct().collect()]
     masks = sorted({m for n in lengths for m in masks_for(n)})
@@ -189,34 +230,24 @@ def _found(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_
         return f
 
     keyed = _keyed(docs, text).select("k1", "k2", "text")
-    hits = map_texts(keyed, "text", ["k1", "k2"], make, [T.StructField("hits", T.ArrayType(T.LongType(), False))]).select("k1", "k2", F.explode("hits").alias("h"))
-    pairs = written(hits.join(own, "h").select("k1", "k2", "num").distinct(), "pairs")
-    keys = pairs.select("k1", "k2").distinct()
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    texts = keyed.join(keys, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    against = pairs.join(items, "num").groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("num", "item", "words"))).alias("items"))
-    kind = T.ArrayType(T.StructType([T.StructField("item_id", benchmark.schema[item_id].dataType)] + [T.StructField(n, T.IntegerType()) for n in ("start", "end", "words", "matched", "item_words")]))
-    schema = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("overlaps", kind)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        out = to_arrow_schema(schema)
-        for batch in batches:
-            for part in slices([batch], "text"):
-                rows = []
-                for t, given in zip(part.column(2).to_pylist(), part.column(3), strict=True):
-                    words, own = hashed_words(t), given.values
-                    ids, lists, first = own.field("item").to_pylist(), own.field("words"), []
-                    for i, item in enumerate(ids):
-                        got = overlap(words, lists[i].values.to_numpy().view(np.uint64))
-                        if got:
-                            first.append({"item_id": item, **got})
-                    rows.append(first)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, out.field(2).type)], schema=out)
-
-    return written(texts.join(against, ["k1", "k2"]).mapInArrow(run, schema).filter("size(overlaps) > 0"), "overlaps")
+    hits = map_texts(keyed, "text", ["k1", "k2"], make, [T.StructField("hits", T.ArrayType(T.LongType(), False))]).select("k1", "k2", F.explode("hits").alias("h")).distinct()
+    fields = [T.StructField("num", T.LongType()), T.StructField("item_id", benchmark.schema[item_id].dataType)]
+    kind = T.ArrayType(T.StructType(fields + [T.StructField(n, T.IntegerType()) for n in ("start", "end", "words", "matched", "item_words")]))
+    if not any_one:
+        pairs = written(hits.join(own, "h").select("k1", "k2", "num").distinct(), "pairs")
+        every = F.sort_array(F.flatten(F.collect_list("overlaps")))  # in the items' order
+        merged = _verified(keyed, pairs, items, kind, False).groupBy("k1", "k2").agg(every.alias("overlaps"))
+        found = written(merged.withColumn("overlaps", F.transform("overlaps", lambda o: o.dropFields("num"))), "overlaps")
+        discard(items, own, pairs)
+        return found
+    hits = written(hits, "hits")
+    firsts = written(hits.join(own.groupBy("h").agg(F.min("num").alias("num")), "h").select("k1", "k2", "num").distinct(), "pairs")
+    soon = written(_verified(keyed, firsts, items, kind, True).select("k1", "k2").distinct(), "overlaps")
+    left = hits.join(soon, ["k1", "k2"], "left_anti").join(own, "h").select("k1", "k2", "num").distinct()
+    pairs = written(left.join(firsts, ["k1", "k2", "num"], "left_anti"), "pairs")
+    found = written(soon.union(_verified(keyed, pairs, items, kind, True).select("k1", "k2")), "overlaps")
+    discard(items, own, hits, firsts, soon, pairs)
+    return found
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "overlaps", keep: list[str] | None = None) -> DataFrame:
@@ -231,7 +262,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents without an overlap, with docs' columns."""
-    found = _found(docs, benchmark, text, item_id, item_text).select("k1", "k2")
+    found = _found(docs, benchmark, text, item_id, item_text, any_one=True).distinct()
     if found.count() <= BROADCAST_KEYS:
         found = F.broadcast(found)
     return _keyed(docs, text).drop("text").join(found, ["k1", "k2"], "left_anti").select("row.*")

@@ -60,6 +60,30 @@ def test_shuffled_joins_give_the_same(spark, monkeypatch):
     assert decontam.clean(docs, benchmark).count() == 0
 
 
+def test_a_line_that_many_items_share(spark, monkeypatch):
+    """Texts that quote it are compared once where any overlap will do, and with all items in rows of a few otherwise."""
+    dice = random.Random(9)
+    line = prose(dice, 15)
+    items = [f"{line} q{i}a q{i}b q{i}c q{i}d" for i in range(300)]
+    texts = [f"{prose(dice, 9)} d{i} {line} e{i}" for i in range(200)] + [f"{prose(dice, 20)} f{i}" for i in range(50)]
+    texts += [" ".join(line.split()[:10]) + f" g{i} h{i} i{i} j{i} k{i}" for i in range(3)]  # a part of the line only
+    docs, benchmark = documents(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    made = []
+
+    def counted(df, name, write=decontam.written):
+        back = write(df, name)
+        made.append((name, back.count()))
+        return back
+
+    monkeypatch.setattr(decontam, "written", counted)
+    kept = {r["doc_id"] for r in decontam.clean(docs, benchmark).collect()}
+    assert kept == set(range(200, 253)) == {i for i, t in enumerate(texts) if not _slowly(t, items[0])}
+    assert sum(n for name, n in made if name == "pairs") < 200 * 5 + 3 * len(items) + 1
+    monkeypatch.setattr(decontam, "ITEMS_A_ROW", 7)
+    marked = _found(decontam.mark(docs.filter("doc_id < 5 or doc_id >= 250"), benchmark))
+    assert {k: len(v) for k, v in marked.items() if v} == dict.fromkeys(range(5), 300)
+
+
 def test_odd_rows_and_names(spark):
     docs = documents(spark, ODD).selectExpr("*", "1 as row", "2 as k1", "3 as overlaps", "4 as items")
     benchmark = spark.createDataFrame([(1, None), (2, ""), (None, "a b c d e f g"), (4, "x"), (4, "x")], "item_id long, text string")
