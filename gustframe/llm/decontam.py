@@ -230,7 +230,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_
         return f
 
     keyed = _keyed(docs, text).select("k1", "k2", "text")
-    hits = map_texts(keyed, "text", ["k1", "k2"], make, [T.StructField("hits", T.ArrayType(T.LongType(), False))]).select("k1", "k2", F.explode("hits").alias("h")).distinct()
+    hits = map_texts(keyed, "text", ["k1", "k2"], make, [T.StructField("hits", T.ArrayType(T.LongType(), False))]).select("k1", "k2", F.explode("hits").alias("h"))
     fields = [T.StructField("num", T.LongType()), T.StructField("item_id", benchmark.schema[item_id].dataType)]
     kind = T.ArrayType(T.StructType(fields + [T.StructField(n, T.IntegerType()) for n in ("start", "end", "words", "matched", "item_words")]))
     if not any_one:
@@ -240,7 +240,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_
         found = written(merged.withColumn("overlaps", F.transform("overlaps", lambda o: o.dropFields("num"))), "overlaps")
         discard(items, own, pairs)
         return found
-    hits = written(hits, "hits")
+    hits = written(hits.join(own, "h", "left_semi"), "hits")  # without those that the bitmap let through for nothing
     firsts = written(hits.join(own.groupBy("h").agg(F.min("num").alias("num")), "h").select("k1", "k2", "num").distinct(), "pairs")
     soon = written(_verified(keyed, firsts, items, kind, True).select("k1", "k2").distinct(), "overlaps")
     left = hits.join(soon, ["k1", "k2"], "left_anti").join(own, "h").select("k1", "k2", "num").distinct()
