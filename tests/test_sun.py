@@ -40,3 +40,16 @@ def test_each_angle_once(spark):
     plan = with_sun(d, "ts", F.lit(50.0), F.lit(8.0))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.upper().count("AGGREGATE(") == 7
     assert "Python" not in plan
+
+
+def test_plan_with_the_fine_sun(spark):
+    from gustframe.config import PvParams
+    from gustframe.plans.pv import simulate
+
+    w = spark.range(24).select(F.lit("a").alias("station_id"), (F.lit(1590969600) + F.col("id") * 3600).cast("timestamp").alias("timestamp"), *[F.lit(v).alias(c) for c, v in {"ghi": 12.0, "dhi": 6.0, "temperature_2m": 15.0, "wind_speed": 3.0}.items()])
+    sites = spark.createDataFrame([("a", 50.0, 8.0)], "station_id string, latitude double, longitude double")
+    coarse, fine = (simulate(w, sites, PvParams(planes=((35.0, 180.0),)), fine_sun=f) for f in (False, True))
+    assert coarse.columns == fine.columns
+    (n, z, p), (n2, z2, p2) = (d.agg(F.count("*"), F.sum("solar_zenith"), F.sum("power")).first() for d in (coarse, fine))
+    assert n == n2 == 24 and z2 == pytest.approx(z, abs=24 * 0.02) and z2 != z
+    assert p > 0 and p2 == pytest.approx(p, rel=0.01)
