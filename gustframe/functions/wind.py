@@ -49,27 +49,38 @@ def shear_friction(v: Column | str, sigma: Column | str, friction: Column | str,
     return F.when((col(v) > 0) & (col(sigma) > 0), div(friction, karman * col(v)))
 
 
-def shear_levels(v1: Column | str, v2: Column | str, h1: float, h2: float, clamp: bool = True, missing: float | None = None) -> Column:
-    """ln(v2 / v1) / ln(h2 / h1), between 0 and 0.4; `missing` where a speed isn't positive."""
+def _float_ln(above: Column, below: Column) -> Column:
+    """ln(above / below) as floats have it, where Spark's own would be null: infinite at 0, NaN below it."""
+    ratio = F.when(below == 0, above * F.pow(below, F.lit(-1.0))).otherwise(F.try_divide(above, below))
+    return F.when(ratio > 0, F.ln(ratio)).when(ratio == 0, F.lit(-math.inf)).when(ratio < 0, F.lit(math.nan))
+
+
+def shear_levels(v1: Column | str, v2: Column | str, h1: float, h2: float, clamp: bool = True, missing: float | None = None, masked: bool = True) -> Column:
+    """ln(v2 / v1) / ln(h2 / h1), between 0 and 0.4; `missing` where a speed isn't positive.
+
+    masked False: there it is what floats give, so over calm air it is infinite (0.4 when clamped)."""
     if h1 == h2:
         raise ValueError("the heights must differ")
-    both = (col(v1) > 0) & (col(v2) > 0)
-    a = F.when(both, F.ln(div(v2, v1)) / F.lit(math.log(h2 / h1)))
+    ln = F.when((col(v1) > 0) & (col(v2) > 0), F.ln(div(v2, v1))) if masked else _float_ln(col(v2), col(v1))
+    a = ln / F.lit(math.log(h2 / h1))
     a = clip(a, 0, 0.4) if clamp else a
     return a if missing is None else F.coalesce(a, F.lit(missing))
 
 
-def layer_speed(levels: dict[float, str], hub: Column, compat: bool = False) -> Column:
+def layer_speed(levels: dict[float, str], hub: Column, compat: bool = False, masked: bool = True) -> Column:
     """Speed at hub height from the two levels around it; null outside them.
 
-    compat: the lower level's speed itself, without the power law.
+    compat: the lower level's speed itself, without the power law. masked: as in shear_levels(); without it, air that is calm at the
+    lower level only has that speed at this level and NaN above it.
     """
     heights = sorted(levels)
     out = F.lit(None).cast("double")
     for low, high in reversed(list(zip(heights, heights[1:], strict=False))):
         a, b = levels[low], levels[high]
-        alpha = shear_levels(a, b, low, high, clamp=False)
+        alpha = shear_levels(a, b, low, high, clamp=False, masked=masked)
         inside = F.col(a) if compat else power_law(a, hub, low, alpha)
+        # 1 to the power of anything is 1, but not for the JVM.
+        inside = inside if masked else F.when(hub == low, F.col(a)).otherwise(inside)
         out = F.when((hub >= low) & (hub <= high), inside).otherwise(out)
     return out
 
