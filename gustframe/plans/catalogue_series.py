@@ -9,7 +9,7 @@ from gustframe.operators import relational, sequences, stats
 from gustframe.operators.asof import asof_backward, clip_to_range
 from gustframe.operators.impute import impute_in_blocks
 from gustframe.operators.timegrid import resample
-from gustframe.plans.registry import FEED, HOLES, Tables, epoch, query, r6
+from gustframe.plans.registry import FEED, HOLES, Tables, epoch, query, r6, rounded
 
 
 def _grid(step: int, origin: str, aggs: str, holes: bool = False, fill: dict[str, str] | None = None) -> str:
@@ -243,7 +243,7 @@ def q_evaluation(t: Tables):
     h = p.groupBy("station_id", "b").agg(F.avg("s").alias("synthetic"), F.avg("r").alias("real"))
     capacity = h.select("station_id").distinct().withColumn("capacity", F.lit(500.0))
     out = scores(h, "station_id", capacity).filter("n > 5")
-    return out.select("station_id", r6("r2", 5).alias("r2"), r6("mae").alias("mae"), r6("bias").alias("bias"), r6("energy_synthetic", 4).alias("energy_synthetic"), r6("energy_real", 4).alias("energy_real"), "n")
+    return out.select("station_id", rounded("r2", 5).alias("r2"), rounded("mae").alias("mae"), rounded("bias").alias("bias"), rounded("energy_synthetic", 4).alias("energy_synthetic"), rounded("energy_real", 4).alias("energy_real"), "n")
 
 
 def _filled(c: str) -> str:

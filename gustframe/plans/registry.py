@@ -48,5 +48,11 @@ def r6(c: Column | str, digits: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
 
+def rounded(c: Column | str, digits: int = 6) -> Column:
+    """Scaled, rounded to a whole number and scaled back, as DuckDB rounds a double. Spark's round, in r6(), takes the shortest decimal that a double
+    prints as, so the two differ where that ends in a 5 behind the digits."""
+    return F.round((F.col(c) if isinstance(c, str) else c) * F.lit(10.0**digits)) / F.lit(10.0**digits)
+
+
 def epoch(c: Column | str) -> Column:
     return F.unix_seconds((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
