@@ -30,9 +30,9 @@ from pyspark.sql import types as T
 from gustframe.llm.shared import map_texts
 
 #: Chunks, and half as many pieces of them, whose ids a worker remembers in each of two halves, the recent and the older one.
-CACHE_PIECES = 1 << 17
+CACHE_PIECES = 1 << 18
 #: Pairs whose compatibility a worker remembers.
-CACHE_PAIRS = 1 << 18
+CACHE_PAIRS = 1 << 19
 #: White space, by Unicode's property of that name.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Runs without white space and the one blank before them, or white space. Splitting these one by one gives the same pieces as
@@ -78,7 +78,8 @@ class Vocabulary:
         self.prefixes: dict[int, tuple[int, ...]] = {}  # a token and those it begins with, longest first
         self.halves: dict[int, tuple[int, int]] = {}  # the last merge that makes a token
         self.merged: dict[tuple[int, int], int] = {}
-        self.known: dict[int, bool] = {}  # by left << 32 | right: whether the two can be neighbours
+        self.known: list[dict[int, bool]] = [{} for _ in range(max(ranks.values()) + 1)]  # by left, then right: whether the two can be neighbours
+        self.pairs = 0
         self.size = {r: len(t) for t, r in ranks.items()}
         for token, r in sorted(ranks.items(), key=lambda x: x[1]):
             prefixes = [k for k in range(len(token) - 1, 0, -1) if token[:k] in ranks]
@@ -108,19 +109,28 @@ class Vocabulary:
             else:
                 a = self.halves[a][1]
 
+    def _remember(self, left: int, right: int) -> bool:
+        if self.pairs >= CACHE_PAIRS:
+            for row in self.known:
+                row.clear()
+            self.pairs = 0
+        self.pairs += 1
+        apart = self.known[left][right] = self._stay_apart(left, right)
+        return apart
+
     def split(self, piece: bytes) -> list[int]:
         """The ids of one piece."""
         s = piece.decode("latin-1")
         whole = self.rank.get(s)
         if whole is not None:
             return [whole]
-        size, known, ids, last = self.size, self.known, [], -1
+        size, known, ids, row = self.size, self.known, [], None  # row: what may follow the last token
         # The longest match each time: for about half of the pieces no step has to be taken back.
         for _, (_, r) in self.longest.iter_long(s):
-            if last >= 0 and not known.get(last << 32 | r):
+            if row is not None and not row.get(r):
                 break
             ids.append(r)
-            last = r
+            row = known[r]
         else:
             return ids
         n = len(s)
@@ -128,28 +138,27 @@ class Vocabulary:
         for end, (back, r) in self.longest.iter(s):  # ends ascend, so the longest comes last
             first[end - back] = r
         dead, prefixes = bytearray(n + 1), self.prefixes
-        ids, at, last, options = [], 0, -1, prefixes[first[0]]
+        at = sum(map(size.__getitem__, ids))
+        options = prefixes[first[at]]
         while at < n:
             for r in options:
                 end = at + size[r]
                 if not dead[end]:
-                    if last < 0:
+                    if row is None:
                         break
-                    apart = known.get(pair := last << 32 | r)
+                    apart = row.get(r)
                     if apart is None:
-                        if len(known) >= CACHE_PAIRS:
-                            known.clear()
-                        apart = known[pair] = self._stay_apart(last, r)
+                        apart = self._remember(ids[-1], r)
                     if apart:
                         break
             else:
                 dead[at] = 1
                 r = ids.pop()
                 at -= size[r]
-                last, options = ids[-1] if ids else -1, prefixes[r][1:]
+                row, options = known[ids[-1]] if ids else None, prefixes[r][1:]
                 continue
             ids.append(r)
-            at, last = end, r
+            at, row = end, known[r]
             if at < n:
                 options = prefixes[first[at]]
         return ids

@@ -54,3 +54,13 @@ def test_odd_rows_and_clashing_columns(spark, other):
     assert [r["ids"] for r in got] == [other.encode_ordinary(t or "") for t in [*ODD, "twice", "twice"]]
     assert [bytes(r["decoded"]).decode() for r in got] == [t or "" for t in [*ODD, "twice", "twice"]]
     assert bpe.encode(df.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_forgotten_pairs(other, monkeypatch):
+    """Pairs are forgotten at a bound, which changes no result, also while a piece is being split."""
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 3)
+    words, dice = bpe.Vocabulary(PATH), random.Random(3)
+    for _ in range(400):
+        text = "".join(dice.choice("abceinorstß") for _ in range(dice.randrange(1, 30)))
+        assert words.split(text.encode()) == other.encode_ordinary(text)
+        assert sum(map(len, words.known)) == words.pairs <= 3
