@@ -20,6 +20,8 @@ from gustframe.operators.relational import sent_if_small
 CATALOGUE_TICKS = 1_000_000
 #: Ticks that a task hands on at a time.
 CURVE_ROWS = 100_000
+#: Points that a task gathers into curves.
+POINT_ROWS = 100_000
 
 
 def cubic(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -63,8 +65,12 @@ def dense_curves(spark: SparkSession, points: dict[str, tuple[list[float], list[
 def spline_curves(points: DataFrame, rated: DataFrame | None = None, turbine: str = "turbine", speed: str = "wind_speed", power: str = "power_w") -> DataFrame:
     """dense_curves() of a table of points, a row each: a curve is solved by the task that has its points, so a catalogue of any size
     is spread. rated: (turbine, rated_w); a curve without one ends at its highest point. Points without speed or power don't count, of
-    several at one speed the highest does; a curve of one point is that tick, with nothing below it."""
-    own = points.filter(F.col(speed).isNotNull() & F.col(power).isNotNull()).groupBy(turbine, F.rint(F.col(speed) * 100).cast("int").alias("x")).agg(F.max(F.col(power).cast("double")).alias("y"))
+    several at one speed the highest does; a curve of one point is that tick, with nothing below it.
+
+    The points are counted and dealt out by curve, about POINT_ROWS to a task, before any are held: files of a catalogue are small,
+    so one task may read, and would hold, all of them."""
+    parts = points.count() // POINT_ROWS + 1
+    own = points.repartition(parts, turbine).filter(F.col(speed).isNotNull() & F.col(power).isNotNull()).groupBy(turbine, F.rint(F.col(speed) * 100).cast("int").alias("x")).agg(F.max(F.col(power).cast("double")).alias("y"))
     held = own.groupBy(turbine).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("p"))
     known = held.join(rated.select(F.col(turbine).alias("__t"), F.col("rated_w").cast("double").alias("top")), F.col(turbine).eqNullSafe(F.col("__t")), "left").drop("__t") if rated is not None else held.withColumn("top", F.lit(None).cast("double"))
 
