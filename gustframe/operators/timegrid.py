@@ -12,11 +12,12 @@ from gustframe.operators.relational import sent_if_small
 RULES = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "first": F.first, "last": F.last}
 
 
-def resample(df: DataFrame, by: str, ts: str, rules: dict[str, str], seconds: int = 3600, origin: str = "start", fill: bool = True, partial: bool = False) -> DataFrame:
+def resample(df: DataFrame, by: str, ts: str, rules: dict[str, str], seconds: int = 3600, origin: str = "start", fill: bool | str = True, partial: bool = False) -> DataFrame:
     """Bins of `seconds`, closed and labelled left, per series `by`: (by, ts, one column a rule).
 
     origin "start": bins count from the series' first stamp; "midnight": from a whole multiple of the bin since 1970, which is
-    midnight for bins that divide a day. Bins without rows are emitted (fill): sums are 0 there, everything else null.
+    midnight for bins that divide a day. Bins without rows are emitted (fill): sums are 0 there, everything else null. fill "first": of
+    a run of empty bins only the first is emitted, which is all that an as-of join has to meet.
 
     One exchange, on `by`: the window, the aggregate (by is a prefix of its keys) and the spine share its partitioning. With
     partial, a series' start is an aggregate of its own that the rows meet before anything is dealt out, so that bins are summed where
@@ -42,7 +43,9 @@ def resample(df: DataFrame, by: str, ts: str, rules: dict[str, str], seconds: in
         # Each bin emits itself and the empty ones before the next, so no second read and no join is needed.
         w = W.partitionBy(by).orderBy("__bin")
         gap = F.coalesce(F.lead("__bin").over(w), F.col("__bin") + 1)
-        found = found.withColumn("__next", gap).withColumn("__fill", F.explode(F.sequence(F.col("__bin"), F.col("__next") - 1)))
+        last = F.col("__next") - 1
+        last = F.least(last, F.col("__bin") + 1) if fill == "first" else last
+        found = found.withColumn("__next", gap).withColumn("__fill", F.explode(F.sequence(F.col("__bin"), last)))
         own = F.col("__fill") == F.col("__bin")
         empty = {c: F.lit(0.0) if r == "sum" else F.lit(None) for c, r in rules.items()}
         found = found.select(by, "__start", F.col("__fill").alias("__bin"), *[F.when(own, F.coalesce(F.col(c), F.lit(0.0)) if r == "sum" else F.col(c)).otherwise(empty[c]).alias(c) for c, r in rules.items()])

@@ -77,7 +77,7 @@ select event_id, round(pm, 6) as pm from l asof left join h on l.station_id = h.
 )
 def q_asof_resampled(t: Tables):
     left, right = _sides(t)
-    hourly = resample(right.select("station_id", "timestamp", "pm"), "station_id", "timestamp", {"pm": "mean"}, partial=True)
+    hourly = resample(right.select("station_id", "timestamp", "pm"), "station_id", "timestamp", {"pm": "mean"}, fill="first", partial=True)
     return asof_backward(left, hourly, "station_id", "timestamp", ["pm"]).select("event_id", r6("pm").alias("pm"))
 
 
