@@ -2,8 +2,8 @@
 
 Such steps are associative: two of them, one after the other, are one such step. A series is cut into chunks of a week; in a chunk, which is
 one row that holds an array, steps are put together by doubling, all in built-in expressions. What the chunks before leave is found
-the same way on one row for each chunk, and handed to each. So a series of any length is spread over the tasks. The rows are dealt
-out once: both uses of the chunks are the same exchange, which Spark runs once.
+the same way on one row for each chunk, and handed to each. So a series of any length is spread over the tasks. Chunks are put together
+once: both uses of them are the same exchange, which Spark runs once, however the rows lay before.
 """
 
 from __future__ import annotations
@@ -52,11 +52,15 @@ def affine_scan(df: DataFrame, by: list[str], ts: str, inputs: dict[str, Column]
     first = F.array(_step(F.lit(1.0), F.lit(0.0)))
     held = held.withColumn("m", composed(F.when(F.size("x") > 1, F.concat(first, inner)).otherwise(first)))
 
+    # Chunk and steps whole on both sides, or Spark would prune one of them and run both. A struct of keys meets null keys too, and
+    # what is dealt out by it needs no other exchange for the join.
+    dealt = held.select(F.struct(*keys, "__chunk").alias("__key"), F.struct("x", "m").alias("h")).repartition("__key")
+
     def ends(at: int) -> Column:
-        return F.struct(*[F.element_at("x", at)[n].alias(n) for n in inputs])
+        return F.struct(*[F.element_at("h.x", at)[n].alias(n) for n in inputs])
 
     line = W.partitionBy(*keys).orderBy("__chunk")
-    sums = held.select(*keys, "__chunk", ends(1).alias("head"), ends(-1).alias("last"), F.element_at("m", -1).alias("m"))
+    sums = dealt.select(*[F.col(f"__key.{k}").alias(k) for k in (*keys, "__chunk")], ends(1).alias("head"), ends(-1).alias("last"), F.element_at("h.m", -1).alias("m"))
     sums = sums.withColumn("p", F.lag(F.struct("last", "m")).over(line))
     # A chunk's first value from the first value of the chunk before; the series' first chunk begins with start, whatever was before.
     begin = F.when(F.col("p").isNull(), _step(F.lit(0.0), start if isinstance(start, Column) else F.lit(start)))
@@ -64,12 +68,10 @@ def affine_scan(df: DataFrame, by: list[str], ts: str, inputs: dict[str, Column]
     named = sums.select("*", *[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)])
     steps = named.select(*keys, F.struct("__chunk", begin.alias("m")).alias("s")).groupBy(*keys).agg(F.array_sort(F.collect_list("s")).alias("s"))
     values = F.arrays_zip(F.transform("s", lambda s: s["__chunk"]).alias("c"), composed(F.transform("s", lambda s: s["m"])).alias("m"))
-    begins = steps.select(*[F.col(k).alias(f"{k}_") for k in keys], F.posexplode(values).alias("at", "v"))
-    begins = begins.select(*[f"{k}_" for k in keys], F.col("v.c").alias("__c"), F.col("v.m.b").alias("__w"), (F.col("at") == 0).alias("__new"))
-    same = F.col("__chunk").eqNullSafe(F.col("__c"))
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
-    each = held.join(begins, same).select("__w", "__new", F.posexplode(F.arrays_zip("x", "m")).alias("at", "v"))
+    begins = steps.select(*keys, F.posexplode(values).alias("at", "v"))
+    begins = begins.select(F.struct(*keys, F.col("v.c").alias("__chunk")).alias("__begun"), F.col("v.m.b").alias("__w"), (F.col("at") == 0).alias("__new"))
+    met = dealt.join(begins, F.col("__key") == F.col("__begun"))
+    each = met.select("__w", "__new", F.posexplode(F.arrays_zip(F.col("h.x").alias("x"), F.col("h.m").alias("m"))).alias("at", "v"))
     value = F.col("v.m.a") * F.col("__w") + F.col("v.m.b")
     if shown_first:
         value = F.when(F.col("__new") & (F.col("at") == 0), F.col(f"v.x.{shown_first}").cast("double")).otherwise(value)

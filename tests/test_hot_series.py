@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gustframe.operators.asof import asof_backward, clip_to_range
@@ -143,3 +144,11 @@ def test_scans_run_what_comes_before_them_once(spark, name, scans, imputed):
     assert plan.count("FileScan") == scans
     assert plan.count("FlatMapGroupsInArrow") == imputed and "FlatMapGroupsInPandas" not in plan
     assert "ReusedExchange" in plan
+
+
+def test_a_scan_over_rows_that_lie_by_series_runs_them_once(spark):
+    """Rows that a window has dealt out by series need no exchange for the chunks, which must still be put together once."""
+    df, _ = _table(spark, {"a": 300, "b": 30}, 24 * 60, 8)
+    numbered = df.withColumns({"i": F.row_number().over(W.partitionBy("station_id").orderBy("timestamp")), "m": F.lit(1.0)})
+    plan = _final(dust(numbered, ["station_id"], "timestamp", "v", "m", "v", 4.0, 40.0, 0.5, 10))
+    assert plan.count("row_number()") == 1 and "ReusedExchange" in plan, plan
