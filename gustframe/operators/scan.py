@@ -3,7 +3,8 @@
 Such steps are associative: two of them, one after the other, are one such step. A series is cut into chunks of a week; in a chunk, which is
 one row that holds an array, steps are put together by doubling, all in built-in expressions. What the chunks before leave is found
 the same way on one row for each chunk, and handed to each. So a series of any length is spread over the tasks. Chunks are put together
-once: both uses of them are the same exchange, which Spark runs once, however the rows lay before.
+once: both uses of them are the same exchange, which Spark runs once, however the rows lay before. Only rows travel, no steps; recurrences
+that share their a go together, so the rows travel once for all of them.
 """
 
 from __future__ import annotations
@@ -20,59 +21,68 @@ from gustframe.operators.asof import CHUNK_SECONDS, chunk_of
 _STRIDES = [2**k for k in range(24)]
 
 
-def _step(a: Column, b: Column) -> Column:
-    return F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"))
+def _step(a: Column, *bs: Column) -> Column:
+    return F.struct(a.cast("double").alias("a"), *[b.cast("double").alias(f"b{i}") for i, b in enumerate(bs)])
 
 
-def _then(first: Column, next_one: Column) -> Column:
-    return _step(next_one["a"] * first["a"], next_one["a"] * first["b"] + next_one["b"])
+def _then(first: Column, next_one: Column, n: int) -> Column:
+    return _step(next_one["a"] * first["a"], *[next_one["a"] * first[f"b{i}"] + next_one[f"b{i}"] for i in range(n)])
 
 
-def composed(steps: Column) -> Column:
-    """For an array of steps (a, b), the array of what the first, the first two, the first three come to."""
-    same = _step(F.lit(1.0), F.lit(0.0))
+def _same(n: int) -> Column:
+    return _step(F.lit(1.0), *[F.lit(0.0)] * n)
+
+
+def composed(steps: Column, n: int = 1) -> Column:
+    """For an array of steps (a, b0 to b of n - 1), the array of what the first, the first two, the first three come to."""
     strides = F.filter(F.array(*map(F.lit, _STRIDES)), lambda d: d < F.size(steps))
-    return F.aggregate(strides, steps, lambda m, d: F.zip_with(m, F.concat(F.array_repeat(same, d), F.slice(m, F.lit(1), F.size(m) - d)), lambda now, before: _then(before, now)))
+    return F.aggregate(strides, steps, lambda m, d: F.zip_with(m, F.concat(F.array_repeat(_same(n), d), F.slice(m, F.lit(1), F.size(m) - d)), lambda now, before: _then(before, now, n)))
 
 
-def affine_scan(df: DataFrame, by: list[str], ts: str, inputs: dict[str, Column], step: Callable[[Column, Column], tuple[Column, Column]], start: Column | float, name: str, shown_first: str | None = None, chunk: int = CHUNK_SECONDS) -> DataFrame:
-    """df with `name`, in order of ts: `start` (a number, or a column of `by`) in a series' first row, then a * the value before + b.
+def affine_scan(df: DataFrame, by: list[str], ts: str, inputs: dict[str, Column], step: Callable[[Column, Column], tuple[Column, ...]], start: dict[str, Column | float], shown_first: str | None = None, chunk: int = CHUNK_SECONDS) -> DataFrame:
+    """df with a column for each name of start, in order of ts: its start (a number, or a column of `by`) in a series' first row, then
+    a * the value before + its b.
 
-    step(before, row) gives a and b from the inputs of the row before and of the row. shown_first: the input that the first row
-    shows instead, while the recurrence goes on from start. Rows of one time come in the order of their inputs, then of all columns.
+    step(before, row) gives a and a b for each name from the inputs of the row before and of the row. shown_first: the input that the
+    first row shows instead, while the recurrence goes on from start. Rows of one time come in the order of their inputs, then of all columns.
     """
-    own, keys = df.columns, [f"__k{i}" for i in range(len(by))]
+    own, keys, n = df.columns, [f"__k{i}" for i in range(len(by))], len(start)
     rows = df.select(
         *[F.col(c).alias(k) for k, c in zip(keys, by, strict=True)],
         chunk_of(df, ts, chunk).alias("__chunk"),
-        F.struct(F.col(ts).alias("t"), *[c.alias(n) for n, c in inputs.items()], F.struct(*own).alias("row")).alias("x"),
+        F.struct(F.col(ts).alias("t"), *[c.alias(i) for i, c in inputs.items()], F.struct(*own).alias("row")).alias("x"),
     )
     held = rows.groupBy(*keys, "__chunk").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    inner = F.transform(F.sequence(F.lit(2), F.size("x")), lambda i: _step(*step(F.element_at("x", i - 1), F.element_at("x", i))))
-    first = F.array(_step(F.lit(1.0), F.lit(0.0)))
-    held = held.withColumn("m", composed(F.when(F.size("x") > 1, F.concat(first, inner)).otherwise(first)))
 
-    # Chunk and steps whole on both sides, or Spark would prune one of them and run both. A struct of keys meets null keys too, and
-    # what is dealt out by it needs no other exchange for the join.
-    dealt = held.select(F.struct(*keys, "__chunk").alias("__key"), F.struct("x", "m").alias("h")).repartition("__key")
+    def steps_of(x: Column) -> Column:
+        inner = F.transform(F.sequence(F.lit(2), F.size(x)), lambda i: _step(*step(F.element_at(x, i - 1), F.element_at(x, i))))
+        return F.when(F.size(x) > 1, F.concat(F.array(_same(n)), inner)).otherwise(F.array(_same(n)))
+
+    # Both sides take the chunk's one array and find their steps themselves: of several columns Spark would prune one side's, and run
+    # both. A struct of keys meets null keys too, and what is dealt out by it needs no other exchange for the join.
+    dealt = held.select(F.struct(*keys, "__chunk").alias("__key"), "x").repartition("__key")
 
     def ends(at: int) -> Column:
-        return F.struct(*[F.element_at("h.x", at)[n].alias(n) for n in inputs])
+        return F.struct(*[F.element_at("x", at)[i].alias(i) for i in inputs])
 
     line = W.partitionBy(*keys).orderBy("__chunk")
-    sums = dealt.select(*[F.col(f"__key.{k}").alias(k) for k in (*keys, "__chunk")], ends(1).alias("head"), ends(-1).alias("last"), F.element_at("h.m", -1).alias("m"))
+    total = F.aggregate(steps_of(F.col("x")), _same(n), lambda m, s: _then(m, s, n))
+    sums = dealt.select(*[F.col(f"__key.{k}").alias(k) for k in (*keys, "__chunk")], ends(1).alias("head"), ends(-1).alias("last"), total.alias("m"))
     sums = sums.withColumn("p", F.lag(F.struct("last", "m")).over(line))
     # A chunk's first value from the first value of the chunk before; the series' first chunk begins with start, whatever was before.
-    begin = F.when(F.col("p").isNull(), _step(F.lit(0.0), start if isinstance(start, Column) else F.lit(start)))
-    begin = begin.otherwise(_then(F.col("p.m"), _step(*step(F.col("p.last"), F.col("head")))))
+    begin = F.when(F.col("p").isNull(), _step(F.lit(0.0), *[s if isinstance(s, Column) else F.lit(s) for s in start.values()]))
+    begin = begin.otherwise(_then(F.col("p.m"), _step(*step(F.col("p.last"), F.col("head"))), n))
     named = sums.select("*", *[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)])
     steps = named.select(*keys, F.struct("__chunk", begin.alias("m")).alias("s")).groupBy(*keys).agg(F.array_sort(F.collect_list("s")).alias("s"))
-    values = F.arrays_zip(F.transform("s", lambda s: s["__chunk"]).alias("c"), composed(F.transform("s", lambda s: s["m"])).alias("m"))
+    values = F.arrays_zip(F.transform("s", lambda s: s["__chunk"]).alias("c"), composed(F.transform("s", lambda s: s["m"]), n).alias("m"))
     begins = steps.select(*keys, F.posexplode(values).alias("at", "v"))
-    begins = begins.select(F.struct(*keys, F.col("v.c").alias("__chunk")).alias("__begun"), F.col("v.m.b").alias("__w"), (F.col("at") == 0).alias("__new"))
+    begins = begins.select(F.struct(*keys, F.col("v.c").alias("__chunk")).alias("__begun"), F.col("v.m").alias("__w"), (F.col("at") == 0).alias("__new"))
     met = dealt.join(begins, F.col("__key") == F.col("__begun"))
-    each = met.select("__w", "__new", F.posexplode(F.arrays_zip(F.col("h.x").alias("x"), F.col("h.m").alias("m"))).alias("at", "v"))
-    value = F.col("v.m.a") * F.col("__w") + F.col("v.m.b")
-    if shown_first:
-        value = F.when(F.col("__new") & (F.col("at") == 0), F.col(f"v.x.{shown_first}").cast("double")).otherwise(value)
-    return each.select(*[F.col(f"v.x.row.`{c}`").alias(c) for c in own], value.alias(name))
+    each = met.select("__w", "__new", F.posexplode(F.arrays_zip(F.col("x"), composed(steps_of(F.col("x")), n).alias("m"))).alias("at", "v"))
+    out = []
+    for i, name in enumerate(start):
+        value = F.col("v.m.a") * F.col(f"__w.b{i}") + F.col(f"v.m.b{i}")
+        if shown_first:
+            value = F.when(F.col("__new") & (F.col("at") == 0), F.col(f"v.x.{shown_first}").cast("double")).otherwise(value)
+        out.append(value.alias(name))
+    return each.select(*[F.col(f"v.x.row.`{c}`").alias(c) for c in own], *out)

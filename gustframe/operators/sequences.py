@@ -53,16 +53,17 @@ def ageing_from(df: DataFrame, by: str, ts: str, years: Column | str, rate: floa
     return own.withColumn(name, F.col("__a") + (F.col("__b") - F.col("__a")) * F.coalesce(F.try_divide(F.col("__i"), F.col("__n") - 1), F.lit(0.0))).drop("__a", "__b", "__i", "__n")
 
 
+def _washed(rain: str, minutes: str, settled: list[Column], threshold: float, cleaning: float, step_minutes: float) -> tuple[Column, list[Column]]:
+    """The step from one row's dust to the next as a * dust + b: a, and b for each plane."""
+    rained = F.coalesce(F.col(rain) >= threshold, F.lit(False))
+    a = F.when(rained, 1 - cleaning * F.coalesce(F.col(minutes), F.lit(0.0)) / step_minutes).otherwise(1.0).cast("double")
+    return a, [F.when(rained, 0.0).otherwise(F.coalesce(F.nanvl(s, F.lit(0.0)), F.lit(0.0))).cast("double") for s in settled]
+
+
 def _wash(df: DataFrame, ts: str, rain: str, minutes: str, settled: Column | str, threshold: float, cleaning: float, step_minutes: float) -> DataFrame:
     """df with __a and __b, the step from one row's dust to the next as a * dust + b, and __chunk."""
-    rained = F.coalesce(F.col(rain) >= threshold, F.lit(False))
-    return df.withColumns(
-        {
-            "__a": F.when(rained, 1 - cleaning * F.coalesce(F.col(minutes), F.lit(0.0)) / step_minutes).otherwise(1.0).cast("double"),
-            "__b": F.when(rained, 0.0).otherwise(F.coalesce(F.nanvl(col(settled), F.lit(0.0)), F.lit(0.0))).cast("double"),
-            "__chunk": F.floor(micros(ts) / F.lit(CHUNK_SECONDS * 1_000_000)).cast("long"),
-        }
-    )
+    a, (b,) = _washed(rain, minutes, [col(settled)], threshold, cleaning, step_minutes)
+    return df.withColumns({"__a": a, "__b": b, "__chunk": F.floor(micros(ts) / F.lit(CHUNK_SECONDS * 1_000_000)).cast("long")})
 
 
 def _chunks(steps: DataFrame, by: list[str], ts: str, start: float) -> DataFrame:
@@ -89,12 +90,17 @@ def final_dust(df: DataFrame, by: str, ts: str, rain: str, minutes: str, settled
 def dust(df: DataFrame, by: list[str], ts: str, rain: str, minutes: str, settled: str, start: Column | float, threshold: float, cleaning: float, step_minutes: float) -> DataFrame:
     """df with `dust` at every row, as in final_dust(). A series is one station and tilt. start: a number, or a column of `by`, such
     as drawn_dust()."""
-    steps = _wash(df, ts, rain, minutes, settled, threshold, cleaning, step_minutes)
-    out = affine_scan(steps, by, ts, {"a": F.col("__a"), "b": F.col("__b")}, lambda before, row: (row["a"], row["b"]), start, "dust", chunk=CHUNK_SECONDS)
-    return out.select(*df.columns, "dust")
+    return dusts(df, by, ts, rain, minutes, {"dust": (F.col(settled), start)}, threshold, cleaning, step_minutes)
+
+
+def dusts(df: DataFrame, by: list[str], ts: str, rain: str, minutes: str, planes: dict[str, tuple[Column, Column | float]], threshold: float, cleaning: float, step_minutes: float) -> DataFrame:
+    """dust() of several planes under one rain, in one scan: df with a column for each name of planes, from (settled, start)."""
+    a, bs = _washed(rain, minutes, [settled for settled, _ in planes.values()], threshold, cleaning, step_minutes)
+    inputs = {"a": a} | {f"b{i}": b for i, b in enumerate(bs)}
+    return affine_scan(df, by, ts, inputs, lambda _, row: tuple(row[i] for i in inputs), {name: start for name, (_, start) in planes.items()}, chunk=CHUNK_SECONDS)
 
 
-def drawn_dust(*by: str, seed: int = 42, mean: float = 4.0, deviation: float = 1.0, least: float = 0.0) -> Column:
+def drawn_dust(*by: Column | str, seed: int = 42, mean: float = 4.0, deviation: float = 1.0, least: float = 0.0) -> Column:
     """The dust that a series begins with, from N(mean, deviation), not below `least`: drawn by a hash of seed and keys."""
     return F.greatest(F.lit(mean) + deviation * normal(seed, *by), F.lit(float(least)))
 
@@ -110,7 +116,7 @@ def inertia(df: DataFrame, by: str, ts: str, power: str, speed: str, step_second
         fell = F.coalesce(row["p"] < before["p"], F.lit(False))
         return F.when(fell, row["decay"]).otherwise(0.0), F.when(fell, 0.0).otherwise(row["p"])
 
-    return affine_scan(df, [by], ts, {"p": F.col(power).cast("double"), "decay": decay}, step, 0.0, name, shown_first="p")
+    return affine_scan(df, [by], ts, {"p": F.col(power).cast("double"), "decay": decay}, step, {name: 0.0}, shown_first="p")
 
 
 def forward_fill(df: DataFrame, by: str, order: str, columns: list[str]) -> DataFrame:

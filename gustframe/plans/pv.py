@@ -11,7 +11,7 @@ from gustframe.operators.asof import CHUNK_SECONDS, asof_backward
 from gustframe.operators.impute import impute, impute_in_blocks
 from gustframe.operators.quality import complete_enough
 from gustframe.operators.relational import with_grid
-from gustframe.operators.sequences import ageing, ageing_from, drawn_dust, dust
+from gustframe.operators.sequences import ageing, ageing_from, drawn_dust, dusts
 from gustframe.operators.sun import with_sun
 from gustframe.operators.timegrid import resample
 
@@ -42,17 +42,27 @@ def simulate(weather: DataFrame, sites: DataFrame, params: PvParams, by: str = "
     """
     spark = weather.sparkSession
     df = weather.join(sites, by)
-    df = with_sun(df, ts, "latitude", "longitude") if fine_sun else df.withColumn("sun", solar.position(F.col(ts), "latitude", "longitude"))
-    df = df.withColumns({"solar_zenith": F.col("sun.zenith"), "solar_azimuth": F.col("sun.azimuth")}).drop("sun")
-    df = df.withColumns({"ghi": solar.watts("ghi"), "dhi": solar.watts("dhi")})
-    df = df.withColumns({"dni": solar.direct_normal("ghi", "dhi", "solar_zenith"), "extra": solar.extraterrestrial(ts)})
     if commissioned is not None:
         df = ageing(df, by, ts, commissioned, params.annual_degradation)
     elif start_age is not None:
         df = ageing_from(df, by, ts, start_age, params.annual_degradation)
     else:
         df = df.withColumn("degradation", F.lit(1.0))
-    planes = spark.createDataFrame(list(params.planes), "tilt double, azimuth double")
+    if params.soiling:
+        # Before anything is derived and before planes multiply the rows: the scan deals out whole rows, so here a row travels once
+        # for all planes, and is narrowest.
+        s = params.soiling
+        series = {}
+        for i, (tilt, azimuth) in enumerate(params.planes):
+            start = drawn_dust(by, F.lit(float(tilt)), F.lit(float(azimuth)), seed=int(s["seed"])) if "seed" in s else s.get("start", 4.0)
+            series[f"__dust{i}"] = (solar.deposition(F.col("pm10") * 1e3, s["velocity"], s["step_minutes"] * 60, F.lit(float(tilt))), start)
+        df = dusts(df, [by], ts, "precipitation_rate", "precipitation_duration", series, s["threshold"], s["cleaning"], s["step_minutes"])
+        df = df.withColumn("__dusts", F.array(*series)).drop(*series)
+    df = with_sun(df, ts, "latitude", "longitude") if fine_sun else df.withColumn("sun", solar.position(F.col(ts), "latitude", "longitude"))
+    df = df.withColumns({"solar_zenith": F.col("sun.zenith"), "solar_azimuth": F.col("sun.azimuth")}).drop("sun")
+    df = df.withColumns({"ghi": solar.watts("ghi"), "dhi": solar.watts("dhi")})
+    df = df.withColumns({"dni": solar.direct_normal("ghi", "dhi", "solar_zenith"), "extra": solar.extraterrestrial(ts)})
+    planes = spark.createDataFrame([(i, *p) for i, p in enumerate(params.planes, 1)], "__plane int, tilt double, azimuth double")
     df = with_grid(df, planes)
     poa = solar.plane_of_array("ghi", "dhi", "dni", "extra", "solar_zenith", "solar_azimuth", "tilt", "azimuth", params.albedo)
     df = df.withColumns({"direct": poa["direct"], "diffuse": poa["diffuse"], "poa": poa["global"]})
@@ -60,10 +70,7 @@ def simulate(weather: DataFrame, sites: DataFrame, params: PvParams, by: str = "
     dc = solar.dc_power("poa", "cell", params.dc_rating, params.gamma) * F.col("degradation")
     df = df.withColumn("dc", dc)
     if params.soiling:
-        s = params.soiling
-        df = df.withColumn("settled", solar.deposition(F.col("pm10") * 1e3, s["velocity"], s["step_minutes"] * 60, "tilt"))
-        start = drawn_dust(by, "tilt", "azimuth", seed=int(s["seed"])) if "seed" in s else s.get("start", 4.0)
-        df = dust(df, [by, "tilt", "azimuth"], ts, "precipitation_rate", "precipitation_duration", "settled", start, s["threshold"], s["cleaning"], s["step_minutes"])
+        df = df.withColumn("dust", F.element_at("__dusts", F.col("__plane")))
         df = df.withColumn("dc", solar.soiled("dc", "dust", compat))
     ac = solar.ac_power("dc", params.dc_rating / params.dc_ac_ratio, params.eta_nominal, params.eta_reference)
-    return df.withColumn("power", ac).drop("dc", "cell", "poa", "extra", "degradation")
+    return df.withColumn("power", ac).drop("dc", "cell", "poa", "extra", "degradation", "__dusts", "__plane")

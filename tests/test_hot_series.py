@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gustframe.operators.asof import asof_backward, clip_to_range
-from gustframe.operators.sequences import drawn_dust, dust, inertia
+from gustframe.operators.sequences import drawn_dust, dust, dusts, inertia
 from gustframe.operators.timegrid import resample
 from gustframe.plans import catalogue
 
@@ -152,3 +152,29 @@ def test_a_scan_over_rows_that_lie_by_series_runs_them_once(spark):
     numbered = df.withColumns({"i": F.row_number().over(W.partitionBy("station_id").orderBy("timestamp")), "m": F.lit(1.0)})
     plan = _final(dust(numbered, ["station_id"], "timestamp", "v", "m", "v", 4.0, 40.0, 0.5, 10))
     assert plan.count("row_number()") == 1 and "ReusedExchange" in plan, plan
+
+
+def test_planes_share_a_scan(spark):
+    df, _ = _table(spark, {"a": 200, "b": 20, None: 9}, 24 * 40, 9)
+    df = df.withColumns({"m": F.lit(3.0), "w": F.col("v") / 7})
+    both = dusts(df, ["station_id"], "timestamp", "v", "m", {"x": (F.col("v"), 4.0), "y": (F.col("w"), drawn_dust("station_id", F.lit(35.0), seed=7))}, 40.0, 0.5, 10)
+    for name, settled, start in (("x", "v", 4.0), ("y", "w", drawn_dust("station_id", F.lit(35.0), seed=7))):
+        alone = dust(df, ["station_id"], "timestamp", "v", "m", settled, start, 40.0, 0.5, 10).withColumnRenamed("dust", name)
+        got, want = (sorted(map(tuple, x.select(*df.columns, name).collect()), key=repr) for x in (both, alone))
+        assert len(got) == 229 and got == want
+
+
+@pytest.mark.parametrize("joined", ["10MB", "-1"])
+def test_rows_travel_once_for_all_planes(spark, joined):
+    """The scan deals rows out before planes multiply them, once, also where what chunks begin with is too large to be sent."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joined)
+    try:
+        plan = _final(catalogue.queries()["q_pv_plan_soiled"](spark, DATA))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.index("BroadcastNestedLoopJoin") < plan.index("REPARTITION_BY_COL") and plan.count("REPARTITION_BY_COL") == 2, plan
+    lines = plan.split("\n")
+    # Between the join that hands each chunk its first value and the exchange of the chunks there is no other.
+    at = next(i for i, x in enumerate(lines) if "REPARTITION_BY_COL" in x)
+    join = max(i for i, x in enumerate(lines[:at]) if "Join" in x)
+    assert "__begun" in lines[join] and not any("Exchange" in x for x in lines[join:at]), plan
