@@ -24,6 +24,9 @@ def prepare(stations: DataFrame, aerosol: DataFrame | None = None, threshold: fl
     fill = impute_in_blocks if long_series else impute
     df = fill(complete_enough(stations, by, WEATHER, threshold, never_empty=True), by, ts, WEATHER)
     if hourly:
+        # The grid can have ten times the rows that were imputed. Partitions put together by the size of these would be too large for
+        # the sorts that follow, which then spill; so there are as many as the session says.
+        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
         df = resample(df, by, ts, {c: "sum" if c == "precipitation_rate" else "mean" for c in WEATHER})
     if aerosol is not None:
         dense = resample(aerosol, by, ts, {"pm2_5": "mean", "pm10": "mean"})

@@ -178,3 +178,12 @@ def test_rows_travel_once_for_all_planes(spark, joined):
     at = next(i for i, x in enumerate(lines) if "REPARTITION_BY_COL" in x)
     join = max(i for i, x in enumerate(lines[:at]) if "Join" in x)
     assert "__begun" in lines[join] and not any("Exchange" in x for x in lines[join:at]), plan
+
+
+def test_the_hourly_grid_has_as_many_partitions_as_the_session(spark):
+    """Few and small rows become many hours, so partitions aren't put together by the size of what is imputed."""
+    plan = _final(catalogue.queries()["q_pv_plan_soiled"](spark, DATA)).split("\n")
+    at = next(i for i, x in enumerate(plan) if "FlatMapGroupsInArrow" in x)
+    dealt = max(i for i, x in enumerate(plan[:at]) if "Exchange" in x)
+    assert "REPARTITION_BY_NUM" in plan[dealt] and "hashpartitioning(station_id" in plan[dealt], plan
+    assert not any("AQEShuffleRead" in x for x in plan[dealt - 2 : dealt]), plan
